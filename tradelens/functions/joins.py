@@ -1,0 +1,27 @@
+"""Join helpers.
+
+Spark already broadcasts a join side whose estimated (static) or measured
+(AQE, at run time) size is below ``spark.sql.autoBroadcastJoinThreshold``;
+everything else is a shuffle join with AQE skew splitting. The only explicit
+hint in this library goes through :func:`broadcast_if_small`, which proves the
+row bound first and otherwise leaves the join to the planner.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DIMENSION_ROW_LIMIT = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT) -> DataFrame:
+    """Broadcast hint for ``df`` only if it holds at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (a bounded job), so it costs
+    little even when the side turns out to be large; in that case the plain
+    DataFrame is returned and AQE picks the join strategy at run time.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

@@ -1,0 +1 @@
+"""Incremental re-materialisation of the reports (see rebuild.py)."""

@@ -27,17 +27,19 @@ from tradelens.sources.roles import Roles, bind_test_tables
 from tradelens.sources.stopwords import default_stop_words
 
 Query = Callable[[SparkSession, str], DataFrame]
+Report = Callable[[Roles, SparkSession], DataFrame]
 REGISTRY: dict[str, Query] = {}
+REPORTS: dict[str, Report] = {}  # the same queries over any bound Roles
 
 
 def _q(name: str):
-    def deco(fn: Callable[[Roles, SparkSession], DataFrame]) -> Callable:
+    def deco(fn: Report) -> Report:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(bind_test_tables(spark, sf_dir), spark)
 
         run.__name__ = name
-        run.__doc__ = fn.__doc__
         REGISTRY[name] = run
+        REPORTS[name] = fn
         return fn
 
     return deco

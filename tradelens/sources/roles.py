@@ -88,9 +88,12 @@ class Roles:
     customers: DataFrame
     sellers: DataFrame
     reviews: DataFrame
+    cleaned: DataFrame | None = None  # materialised paid_orders, if any
 
     @property
     def paid_orders(self) -> DataFrame:
+        if self.cleaned is not None:
+            return self.cleaned
         from tradelens.operators.audits import keep_paid_orders
 
         return keep_paid_orders(self.orders, self.payments)

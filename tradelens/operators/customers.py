@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, mean_of, percent, rounded_ratio
-from tradelens.operators.common import person_order_counts
+from tradelens.operators.common import items_per_order, person_order_counts
 
 # ---------------------------------------------------------------------------
 # Customer-type labels and the zip-report minimum.
@@ -53,7 +53,7 @@ def order_gaps(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
     LAG over the person's orders by purchase time (order_id breaks ties).
     A window partition holds all orders of one person, so use the aggregate
-    form (:func:`person_gap_totals`) for anything that only needs sums.
+    form (:func:`person_purchase_profile`) for anything that only needs sums.
     """
     w = Window.partitionBy("customer_unique_id").orderBy(
         F.col("purchase_time").asc_nulls_first(), "order_id")
@@ -63,41 +63,42 @@ def order_gaps(orders: DataFrame, customers: DataFrame) -> DataFrame:
                     F.lag("purchase_time").over(w).alias("prev_purchase_time")))
 
 
-def person_gap_totals(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """customer_unique_id -> gap_count, gap_days, for persons with a gap.
+def person_purchase_profile(orders: DataFrame, customers: DataFrame,
+                            items: DataFrame) -> DataFrame:
+    """customer_unique_id -> gap_count, gap_days, total_orders, total_spent for
+    persons with at least one purchase gap and at least one order with items.
 
-    DATEDIFF counts calendar-date boundaries, so the gaps between consecutive
-    purchases telescope: their sum is DATEDIFF(last, first) and their number
-    is (purchases with a time) - 1. This is the LAG-then-aggregate of the
-    reference as one skew-safe aggregation (map-side partial min/max/count)
-    instead of a window that puts each person's orders in one task.
+    Gaps: DATEDIFF counts calendar-date boundaries, so the gaps between
+    consecutive purchases telescope -- their sum is DATEDIFF(last, first) and
+    their number is (purchases with a time) - 1. This is the reference's
+    LAG-then-aggregate as one aggregation with map-side partial min / max /
+    count, instead of a window that gathers each person's orders in one task.
+
+    Spend: items are summed per order first and joined to the same order rows,
+    so orders x customers is joined once for both halves.
     """
-    per_person = (orders.select("customer_id", "purchase_time")
-                  .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
-                  .groupBy("customer_unique_id")
+    per_order = items_per_order(items).select("order_id", "item_rows", "price_sum")
+    rows = (orders.select("order_id", "customer_id", "purchase_time")
+            .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+            .join(per_order, "order_id", "left"))
+    per_person = (rows.groupBy("customer_unique_id")
                   .agg(F.count("purchase_time").alias("n"),
                        F.min("purchase_time").alias("first"),
-                       F.max("purchase_time").alias("last")))
-    return (per_person.where(F.col("n") > 1)
+                       F.max("purchase_time").alias("last"),
+                       F.countDistinct(F.when(F.col("item_rows").isNotNull(), F.col("order_id")))
+                       .alias("orders_with_items"),
+                       F.sum("price_sum").alias("total_spent")))
+    return (per_person.where((F.col("n") > 1) & (F.col("orders_with_items") > 0))
             .select("customer_unique_id",
                     (F.col("n") - 1).alias("gap_count"),
-                    F.datediff(F.col("last"), F.col("first")).alias("gap_days")))
-
-
-def customer_spend_stats(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
-    """customer_unique_id -> total_orders (orders with items), total_spent."""
-    return (customers.select("customer_id", "customer_unique_id")
-            .join(orders.select("customer_id", "order_id"), "customer_id")
-            .join(items.select("order_id", "price"), "order_id")
-            .groupBy("customer_unique_id")
-            .agg(big(F.countDistinct("order_id")).alias("total_orders"),
-                 F.sum("price").alias("total_spent")))
+                    F.datediff(F.col("last"), F.col("first")).alias("gap_days"),
+                    big("orders_with_items").alias("total_orders"),
+                    "total_spent"))
 
 
 # R29 (reconstructed: the reference's final SELECT is missing) -- per person.
 def repeat_customer_gaps(orders: DataFrame, customers: DataFrame, items: DataFrame) -> DataFrame:
-    return (person_gap_totals(orders, customers)
-            .join(customer_spend_stats(customers, orders, items), "customer_unique_id")
+    return (person_purchase_profile(orders, customers, items)
             .select("customer_unique_id", "total_orders",
                     F.col("total_spent").cast("double").alias("total_spent"),
                     rounded_ratio(F.col("gap_days"), F.col("gap_count"))
@@ -108,9 +109,8 @@ def repeat_customer_gaps(orders: DataFrame, customers: DataFrame, items: DataFra
 # average spend over persons.
 def repeat_customer_order_stats(orders: DataFrame, customers: DataFrame,
                                 items: DataFrame) -> DataFrame:
-    rows = (person_gap_totals(orders, customers)
-            .join(customer_spend_stats(customers, orders, items), "customer_unique_id"))
-    return (rows.groupBy("total_orders")
+    return (person_purchase_profile(orders, customers, items)
+            .groupBy("total_orders")
             .agg(big(F.count(F.lit(1))).alias("customers"),
                  rounded_ratio(F.sum("gap_days"), F.sum("gap_count"))
                  .alias("avg_days_between_orders"),
@@ -182,9 +182,9 @@ def one_time_customer_product_distribution(customers: DataFrame, orders: DataFra
     per_person = (customers.select("customer_id", "customer_unique_id")
                   .join(one_time, "customer_unique_id", "left_semi")
                   .join(orders.select("customer_id", "order_id"), "customer_id")
-                  .join(items.select("order_id"), "order_id")
+                  .join(items_per_order(items).select("order_id", "item_rows"), "order_id")
                   .groupBy("customer_unique_id")
-                  .agg(F.count(F.lit(1)).alias("products_in_order")))
+                  .agg(F.sum("item_rows").alias("products_in_order")))
     return (per_person.groupBy(big("products_in_order").alias("products_in_order"))
             .agg(big(F.count(F.lit(1))).alias("customer_count"))
             .orderBy("products_in_order"))

@@ -23,7 +23,7 @@ from tradelens.functions.numeric import (
     rounded_ratio,
     safe_ratio,
 )
-from tradelens.operators.common import DELIVERED, FULFILLED, is_fulfilled
+from tradelens.operators.common import DELIVERED, FULFILLED, is_fulfilled, items_per_order
 
 # Divisor of the volumetric ("dimensional") weight, cm^3 per kg.
 DIM_WEIGHT_DIVISOR = 6000
@@ -43,7 +43,7 @@ def has_delivery_times() -> Column:
     return F.col("delivered_time").isNotNull() & F.col("purchase_time").isNotNull()
 
 
-def _weights(prefix: str = "") -> list[Column]:
+def _weights() -> list[Column]:
     dims = (F.col("product_length_cm") * F.col("product_height_cm")
             * F.col("product_width_cm"))
     # Summed before the division: exact for integral dimensions, and
@@ -92,9 +92,9 @@ def state_freight_bucket_summary(items: DataFrame, orders: DataFrame, customers:
     # The last join is on order_id, so the (order_id, state) aggregate reuses
     # that hash partitioning without another shuffle.
     per_order = (_orders_with_state(orders, customers, is_fulfilled(statuses), [])
-                 .join(items.select("order_id", "freight_value"), "order_id")
+                 .join(items_per_order(items).select("order_id", "freight_sum"), "order_id")
                  .groupBy("order_id", "customer_state")
-                 .agg(F.sum("freight_value").alias("total_freight")))
+                 .agg(F.sum("freight_sum").alias("total_freight")))
     return (per_order
             .groupBy("customer_state",
                      band(F.col("total_freight"), bands, otherwise).alias("freight_bucket"))
@@ -103,10 +103,13 @@ def state_freight_bucket_summary(items: DataFrame, orders: DataFrame, customers:
 
 
 def _value_vs_freight(items: DataFrame, orders: DataFrame, statuses) -> DataFrame:
-    return (items.select("order_id", "price", "freight_value")
+    # Per-order item aggregate first; the group-by after the join re-applies
+    # the reference's join-then-aggregate (a no-op for unique order ids, and
+    # free: the join output is already partitioned by order_id).
+    return (items_per_order(items).select("order_id", "price_sum", "freight_max")
             .join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
             .groupBy("order_id")
-            .agg(F.sum("price").alias("value"), F.max("freight_value").alias("freight")))
+            .agg(F.sum("price_sum").alias("value"), F.max("freight_max").alias("freight")))
 
 
 # R16
@@ -156,9 +159,13 @@ def freight_by_state(items: DataFrame, orders: DataFrame, customers: DataFrame,
                      status: str = DELIVERED) -> DataFrame:
     cond = ((F.col("order_status") == status) & has_delivery_times() & (delivery_days() > 0))
     rows = (_orders_with_state(orders, customers, cond, ["purchase_time", "delivered_time"])
-            .join(items.select("order_id", "freight_value"), "order_id")
+            .join(items_per_order(items).select("order_id", "item_rows", "freight_sum"),
+                  "order_id")
             .withColumn("days", delivery_days()))
-    freight, days, n = F.sum("freight_value"), F.sum("days"), F.countDistinct("order_id")
+    # Item grain from per-order aggregates: each item adds the order's days.
+    freight = F.sum("freight_sum")
+    days = F.sum(F.col("item_rows") * F.col("days"))
+    n = F.countDistinct("order_id")
     return (rows.groupBy("customer_state")
             .agg(round_half_up(freight, 2).alias("total_freight"),
                  big(days).alias("total_delivery_days"),

@@ -48,19 +48,39 @@ def customer_type_review_summary(reviews: DataFrame, orders: DataFrame,
 
 
 # R29 building block, row level: the previous purchase of the same person.
-def order_gaps(orders: DataFrame, customers: DataFrame) -> DataFrame:
+def order_gaps(orders: DataFrame, customers: DataFrame,
+               partitions: int | None = None) -> DataFrame:
     """customer_unique_id, order_id, purchase_time, prev_purchase_time.
 
-    LAG over the person's orders by purchase time (order_id breaks ties).
-    A window partition holds all orders of one person, so use the aggregate
-    form (:func:`person_purchase_profile`) for anything that only needs sums.
+    LAG(purchase_time) over each person's orders by purchase time (NULL
+    first, order_id breaking ties), without putting a person's orders in one
+    task: rows are range-partitioned on (person, time, order_id), so a person
+    with a huge share of the orders spans several contiguous partitions. LAG
+    runs per (partition, person); the first row of a person in a partition
+    then takes the last row of the previous non-empty partition when that row
+    belongs to the same person. That edge table has one row per partition
+    (a proven bound), so it is broadcast.
     """
-    w = Window.partitionBy("customer_unique_id").orderBy(
-        F.col("purchase_time").asc_nulls_first(), "order_id")
-    return (orders.select("order_id", "customer_id", "purchase_time")
-            .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
-            .select("customer_unique_id", "order_id", "purchase_time",
-                    F.lag("purchase_time").over(w).alias("prev_purchase_time")))
+    spark = orders.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    person, t, oid = "customer_unique_id", F.col("purchase_time").asc_nulls_first(), "order_id"
+    rows = (orders.select("order_id", "customer_id", "purchase_time")
+            .join(customers.select("customer_id", person), "customer_id")
+            .select(person, "order_id", "purchase_time"))
+    ranged = rows.repartitionByRange(n, person, t, oid).withColumn("pid", F.spark_partition_id())
+    w = Window.partitionBy("pid", person).orderBy(t, oid)
+    local = (ranged.withColumn("local_prev", F.lag("purchase_time").over(w))
+             .withColumn("local_rank", F.row_number().over(w)))
+    last = F.max(F.struct(F.col(person).alias("p"), F.col("purchase_time").alias("t"),
+                          F.col("order_id").alias("o")))
+    edges = (ranged.groupBy("pid").agg(last.alias("last"))
+             .select("pid", F.lag("last").over(Window.orderBy("pid")).alias("before")))
+    joined = local.join(F.broadcast(edges), "pid", "left")
+    continues = (F.col("local_rank") == 1) & (F.col("before.p") == F.col(person))
+    return joined.select(
+        person, "order_id", "purchase_time",
+        F.when(continues, F.col("before.t")).otherwise(F.col("local_prev"))
+        .alias("prev_purchase_time"))
 
 
 def person_purchase_profile(orders: DataFrame, customers: DataFrame,

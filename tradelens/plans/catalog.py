@@ -133,6 +133,7 @@ _q("customer_order_frequency")(
     lambda r, s: cust.customer_order_frequency(r.customers, r.paid_orders))
 _q("customer_type_review_summary")(
     lambda r, s: cust.customer_type_review_summary(r.reviews, r.paid_orders, r.customers))
+_q("order_gaps")(lambda r, s: cust.order_gaps(r.paid_orders, r.customers))
 _q("repeat_customer_gaps")(
     lambda r, s: cust.repeat_customer_gaps(r.paid_orders, r.customers, r.items))
 _q("repeat_customer_order_stats")(

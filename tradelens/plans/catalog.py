@@ -57,7 +57,7 @@ _q("payments_without_orders")(lambda r, s: audits.payments_without_orders(r.paym
 _q("orders_without_payments_count")(
     lambda r, s: audits.orders_without_payments_count(r.orders, r.payments))
 _q("orders_without_payments")(lambda r, s: audits.orders_without_payments(r.orders, r.payments))
-_q("paid_orders")(lambda r, s: r.paid_orders)
+_q("paid_orders")(lambda r, s: audits.keep_paid_orders(r.orders, r.payments))
 _q("order_status_histogram")(lambda r, s: audits.order_status_histogram(r.paid_orders))
 _q("total_revenue")(lambda r, s: audits.total_revenue(r.orders, r.payments))
 _q("revenue_by_year")(lambda r, s: audits.revenue_by_year(r.orders, r.payments))

@@ -22,6 +22,7 @@ from tradelens.functions.numeric import big, percent, round_half_up, mean_of
 from tradelens.operators.common import (
     FULFILLED,
     is_fulfilled,
+    items_per,
     person_order_counts,
 )
 
@@ -129,12 +130,15 @@ def sellers_with_no_sales(sellers: DataFrame, items: DataFrame) -> DataFrame:
 # A14
 def sellers_with_only_unfulfilled_orders(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                                          statuses=FULFILLED) -> DataFrame:
+    # Items are combined per (seller, order) first; the sellers join only tests
+    # membership (a repeated seller row cannot turn a zero into a non-zero).
     per_seller = (
-        sellers.select("seller_id")
-        .join(items.select("seller_id", "order_id"), "seller_id")
+        items_per(items, "seller_id", "order_id").select("seller_id", "order_id", "item_rows")
+        .join(sellers.select("seller_id"), "seller_id", "left_semi")
         .join(orders.select("order_id", "order_status"), "order_id")
         .groupBy("seller_id")
-        .agg(F.sum(F.when(is_fulfilled(statuses), 1).otherwise(0)).alias("fulfilled_rows"))
+        .agg(F.sum(F.when(is_fulfilled(statuses), F.col("item_rows")).otherwise(0))
+             .alias("fulfilled_rows"))
     )
     return (per_seller.where(F.col("fulfilled_rows") == 0)
             .agg(big(F.count(F.lit(1))).alias("sellers_with_only_unfulfilled_orders")))

@@ -43,19 +43,25 @@ def category_of(products: DataFrame, translation: DataFrame) -> DataFrame:
                   "product_category_name", "left"))
 
 
-def items_per_order(items: DataFrame) -> DataFrame:
-    """order_id -> item_rows, price_sum, freight_sum, freight_max.
-
-    Reports that group items by something an order determines (its state,
-    its person, the order itself) aggregate items per order *before* joining:
-    the partial aggregate runs map-side, so the shuffle carries at most one
-    row per order and map partition instead of every item row. SUM, COUNT and
-    MAX compose, so summing these per-order values over the join rows gives
-    exactly the item-level result, duplicates in the joined table included.
-    Unused columns are pruned from the aggregate by Catalyst.
+def items_per(items: DataFrame, *keys: str) -> DataFrame:
+    """Item aggregates per ``keys`` (order, order + product, product, ...):
+    item_rows, price_sum / price_n, freight_sum / freight_n, freight_max.
+
+    Reports that group items by something the keys determine aggregate items
+    *before* joining: the partial aggregate runs map-side, so the shuffle
+    carries at most one row per key and map partition instead of every item
+    row. SUM, COUNT and MAX compose, so summing these values over the join
+    rows gives exactly the item-level result, duplicates in the joined table
+    included. Unused columns are pruned from the aggregate by Catalyst.
     """
-    return items.groupBy("order_id").agg(
+    return items.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("item_rows"),
         F.sum("price").alias("price_sum"),
+        F.count("price").alias("price_n"),
         F.sum("freight_value").alias("freight_sum"),
+        F.count("freight_value").alias("freight_n"),
         F.max("freight_value").alias("freight_max"))
+
+
+def items_per_order(items: DataFrame) -> DataFrame:
+    return items_per(items, "order_id")

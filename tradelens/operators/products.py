@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, mean_of, percent
-from tradelens.operators.common import CANCELED, FULFILLED, category_of, is_fulfilled
+from tradelens.operators.common import CANCELED, FULFILLED, category_of, is_fulfilled, items_per
 
 _SUM_TYPE = "decimal(38,2)"
 
@@ -14,10 +14,12 @@ _SUM_TYPE = "decimal(38,2)"
 # R35 -- no status filter; ``k`` turns the ranking into a top-k report.
 def most_sold_products(items: DataFrame, products: DataFrame, translation: DataFrame,
                        k: int | None = None) -> DataFrame:
-    out = (items.select("product_id")
+    # Units are counted per product before the join (exact: each join row of
+    # a product carries that product's count).
+    out = (items_per(items, "product_id").select("product_id", "item_rows")
            .join(category_of(products, translation), "product_id")
            .groupBy("product_id", F.col("product_category_name_english").alias("category_name"))
-           .agg(big(F.count(F.lit(1))).alias("total_units_sold"))
+           .agg(big(F.sum("item_rows")).alias("total_units_sold"))
            .orderBy(F.desc("total_units_sold"), "product_id", "category_name"))
     return out if k is None else out.limit(k)
 
@@ -71,14 +73,17 @@ def avg_price_freight_by_category_in_state(single_items: DataFrame, orders: Data
             .orderBy(F.desc_nulls_last("avg_freight"), "category_name"))
 
 
-# R39 -- COUNT(*) counts item rows of cancelled orders.
+# R39 -- COUNT(*) counts item rows of cancelled orders; items are combined per
+# (order, product) before the joins.
 def cancelled_orders_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
                                  translation: DataFrame, canceled: str = CANCELED) -> DataFrame:
     rows = (orders.where(F.col("order_status") == canceled).select("order_id")
-            .join(items.select("order_id", "product_id", "price", "freight_value"), "order_id")
+            .join(items_per(items, "order_id", "product_id"), "order_id")
             .join(category_of(products, translation), "product_id"))
     return (rows.groupBy(F.col("product_category_name_english").alias("category_name"))
-            .agg(big(F.count(F.lit(1))).alias("cancelled_order_count"), *_price_freight_aggs())
+            .agg(big(F.sum("item_rows")).alias("cancelled_order_count"),
+                 mean_of(F.sum("price_sum"), F.sum("price_n")).alias("avg_price"),
+                 mean_of(F.sum("freight_sum"), F.sum("freight_n")).alias("avg_freight"))
             .orderBy(F.desc("cancelled_order_count"), "category_name"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, rounded_ratio
-from tradelens.operators.common import category_of
+from tradelens.operators.common import category_of, items_per
 from tradelens.operators.freight import delivery_days, has_delivery_times
 
 
@@ -19,14 +19,22 @@ def _avg_score(name: str = "avg_review_score"):
 
 
 # R23 -- review x item grain; untranslated categories form one NULL group.
+# Neither side is expanded: reviews are combined per order and items per
+# (order, product); a pair count is then reviews x items of the order.
 def category_review_summary(reviews: DataFrame, orders: DataFrame, items: DataFrame,
                             products: DataFrame, translation: DataFrame) -> DataFrame:
-    rows = (_scored(reviews)
+    per_order = (_scored(reviews).groupBy("order_id")
+                 .agg(F.count(F.lit(1)).alias("reviews"), F.sum("review_score").alias("scores")))
+    rows = (per_order
             .join(orders.select("order_id"), "order_id")
-            .join(items.select("order_id", "product_id"), "order_id")
+            .join(items_per(items, "order_id", "product_id")
+                  .select("order_id", "product_id", "item_rows"), "order_id")
             .join(category_of(products, translation), "product_id"))
+    pairs = F.sum(F.col("item_rows") * F.col("reviews"))
     return (rows.groupBy(F.col("product_category_name_english").alias("category_name"))
-            .agg(_avg_score(), big(F.count(F.lit(1))).alias("review_count"))
+            .agg(rounded_ratio(F.sum(F.col("item_rows") * F.col("scores")), pairs)
+                 .alias("avg_review_score"),
+                 big(pairs).alias("review_count"))
             .orderBy(F.desc_nulls_last("avg_review_score"), "category_name"))
 
 

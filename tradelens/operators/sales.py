@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, round_half_up, rounded_ratio
-from tradelens.operators.common import FULFILLED, is_fulfilled
+from tradelens.operators.common import FULFILLED, is_fulfilled, items_per
 
 
 def _month(col: str = "purchase_time"):
@@ -41,8 +41,10 @@ def monthly_orders_revenue_summary(merged: DataFrame) -> DataFrame:
 def _priced_categories(items: DataFrame, products: DataFrame, translation: DataFrame,
                        orders: DataFrame, statuses) -> DataFrame:
     # Inner joins on purpose: items without product metadata or without an
-    # English category name are not part of these two reports.
-    return (items.select("order_id", "product_id", "price")
+    # English category name are not part of these two reports. Items are
+    # combined per (order, product) before the joins (see items_per).
+    return (items_per(items, "order_id", "product_id")
+            .select("order_id", "product_id", "item_rows", "price_sum")
             .join(products.select("product_id", "product_category_name"), "product_id")
             .join(translation.select("product_category_name", "product_category_name_english"),
                   "product_category_name")
@@ -56,7 +58,7 @@ def monthly_category_revenue(items: DataFrame, products: DataFrame, translation:
     return (_priced_categories(items, products, translation, orders, statuses)
             .groupBy(_month().alias("month"),
                      F.col("product_category_name_english").alias("category"))
-            .agg(round_half_up(F.sum("price"), 2).alias("total_revenue"))
+            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"))
             .orderBy("month", F.desc("total_revenue"), "category"))
 
 
@@ -65,8 +67,8 @@ def category_sales_summary(items: DataFrame, products: DataFrame, translation: D
                            orders: DataFrame, statuses=FULFILLED) -> DataFrame:
     return (_priced_categories(items, products, translation, orders, statuses)
             .groupBy(F.col("product_category_name_english").alias("category"))
-            .agg(round_half_up(F.sum("price"), 2).alias("total_revenue"),
-                 big(F.count(F.lit(1))).alias("total_items_sold"))
+            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"),
+                 big(F.sum("item_rows")).alias("total_items_sold"))
             .orderBy(F.desc("total_revenue"), "category"))
 
 

@@ -98,15 +98,24 @@ def state_revenue_summary(orders: DataFrame, payments: DataFrame, customers: Dat
             .orderBy(F.desc("total_revenue"), "customer_state"))
 
 
-def _fulfilled_items(items: DataFrame, orders: DataFrame, statuses) -> DataFrame:
-    return items.join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
+def _seller_orders(items: DataFrame, orders: DataFrame, statuses) -> DataFrame:
+    """(seller_id, order_id) -> price_sum, n_items over fulfilled orders.
+
+    Items are combined per (seller, order) before the join; the group-by
+    after it keeps join-then-aggregate semantics for repeated order rows and
+    costs no shuffle (the join output is already partitioned by order_id)."""
+    return (items_per(items, "seller_id", "order_id")
+            .select("seller_id", "order_id", "item_rows", "price_sum")
+            .join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
+            .groupBy("seller_id", "order_id")
+            .agg(F.sum("price_sum").alias("price_sum"), F.sum("item_rows").alias("n_items")))
 
 
 # R07
 def seller_total_revenue(items: DataFrame, orders: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return (_fulfilled_items(items.select("order_id", "seller_id", "price"), orders, statuses)
+    return (_seller_orders(items, orders, statuses)
             .groupBy("seller_id")
-            .agg(*_revenue_aggs("price", "order_id", "avg_revenue_per_order"))
+            .agg(*_revenue_aggs("price_sum", "order_id", "avg_revenue_per_order"))
             .orderBy(F.desc("total_revenue"), "seller_id"))
 
 
@@ -121,10 +130,7 @@ def seller_total_revenue(items: DataFrame, orders: DataFrame, statuses=FULFILLED
 # The always-true "score IS NOT NULL OR score IS NULL" filter is dropped.
 def seller_revenue_review_summary(items: DataFrame, orders: DataFrame, reviews: DataFrame,
                                   statuses=FULFILLED) -> DataFrame:
-    seller_orders = (_fulfilled_items(items.select("order_id", "seller_id", "price"), orders,
-                                      statuses)
-                     .groupBy("seller_id", "order_id")
-                     .agg(F.sum("price").alias("price_sum"), F.count(F.lit(1)).alias("n_items")))
+    seller_orders = _seller_orders(items, orders, statuses)
     order_reviews = (reviews.groupBy("order_id")
                      .agg(F.count(F.lit(1)).alias("review_rows"),
                           F.sum("review_score").alias("score_sum"),

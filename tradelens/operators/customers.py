@@ -108,7 +108,10 @@ def person_purchase_profile(orders: DataFrame, customers: DataFrame,
                        F.countDistinct(F.when(F.col("item_rows").isNotNull(), F.col("order_id")))
                        .alias("orders_with_items"),
                        F.sum("price_sum").alias("total_spent")))
-    return (per_person.where((F.col("n") > 1) & (F.col("orders_with_items") > 0))
+    # The reference joins the gap and spend summaries on the person, so a NULL
+    # person never appears.
+    return (per_person.where((F.col("n") > 1) & (F.col("orders_with_items") > 0)
+                             & F.col("customer_unique_id").isNotNull())
             .select("customer_unique_id",
                     (F.col("n") - 1).alias("gap_count"),
                     F.datediff(F.col("last"), F.col("first")).alias("gap_days"),
@@ -146,11 +149,12 @@ def _orders_per_person_and(customers: DataFrame, orders: DataFrame, key: str) ->
             .agg(F.countDistinct("order_id").alias("order_count")))
 
 
-def _loyalty(rows: DataFrame, key: str) -> DataFrame:
+def _loyalty(rows: DataFrame, key: str, distinct_persons: bool) -> DataFrame:
     repeat = F.sum(F.when(F.col("order_count") > 1, 1).otherwise(0))
-    # Rows are unique per (person, key): COUNT(*) per key equals the
-    # reference's COUNT(DISTINCT customer_unique_id).
-    total = F.count(F.lit(1))
+    # Rows are unique per (person, key), so the reference's
+    # COUNT(DISTINCT customer_unique_id) is COUNT(customer_unique_id) here (no
+    # second distinct aggregation); the zip report counts rows, NULL person too.
+    total = F.count("customer_unique_id") if distinct_persons else F.count(F.lit(1))
     return rows.groupBy(key).agg(big(total).alias("total_customers"),
                                  big(repeat).alias("repeat_customers"),
                                  percent(repeat, total).alias("loyalty_percent"))
@@ -160,7 +164,7 @@ def _loyalty(rows: DataFrame, key: str) -> DataFrame:
 def zip_loyalty_summary(customers: DataFrame, orders: DataFrame,
                         min_customers: int = ZIP_MIN_CUSTOMERS) -> DataFrame:
     key = "customer_zip_code_prefix"
-    return (_loyalty(_orders_per_person_and(customers, orders, key), key)
+    return (_loyalty(_orders_per_person_and(customers, orders, key), key, distinct_persons=False)
             .where(F.col("total_customers") >= min_customers)
             .orderBy(F.desc("loyalty_percent"), key))
 
@@ -168,7 +172,8 @@ def zip_loyalty_summary(customers: DataFrame, orders: DataFrame,
 # R31
 def state_customer_loyalty(customers: DataFrame, orders: DataFrame) -> DataFrame:
     key = "customer_state"
-    return _loyalty(_orders_per_person_and(customers, orders, key), key).orderBy(key)
+    return (_loyalty(_orders_per_person_and(customers, orders, key), key, distinct_persons=True)
+            .orderBy(key))
 
 
 # R32 -- persons with more than one order anywhere; their scores by state.

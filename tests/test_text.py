@@ -44,3 +44,23 @@ def test_csv_round_trip_keeps_quotes_newlines_and_spaces(spark, tmp_path):
     write_csv(df.coalesce(1), path)
     back = read_csv(spark, path)
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
+def test_csv_hand_off_end_to_end(spark, tmp_path):
+    """R24 -> CSV (the original's manual export) -> read back -> top words -> CSV."""
+    from tradelens.operators.reviews import review_text_by_score
+    from tradelens.sources.files import WORD_FREQUENCY_SCHEMA
+    from tradelens.sources.roles import SCHEMAS
+
+    reviews = spark.createDataFrame(
+        [("r1", "o1", 5, None, "Ótimo produto, chegou rápido!"),
+         ("r2", "o2", 5, "Ótimo", "produto bom\nrecomendo"),
+         ("r3", "o3", 1, None, "não gostei do produto")], SCHEMAS["reviews"])
+    text_path, out_path = str(tmp_path / "review_text"), str(tmp_path / "words")
+    write_csv(review_text_by_score(reviews), text_path)
+    top = text_mining.review_word_frequency_by_score(read_csv(spark, text_path),
+                                                     default_stop_words(spark), k=2)
+    text_mining.export_word_frequency(top, out_path)
+    back = [tuple(r) for r in read_csv(spark, out_path, WORD_FREQUENCY_SCHEMA)
+            .orderBy("review_score", F.desc("count"), "word").collect()]
+    assert back == [(1, "gostei", 1), (1, "produto", 1), (5, "produto", 2), (5, "ótimo", 2)]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big
 from tradelens.functions.text import is_word, tokens
+from tradelens.sources.files import write_csv
 
 TOP_K = 10
 # String the notebook's astype(str) gives a missing text; it is then counted
@@ -60,3 +61,8 @@ def review_word_frequency_by_score(review_text: DataFrame, stop_words: Iterable[
     """T06 + T07, rows ordered by score then frequency (the export order)."""
     top = top_words_by_score(word_count_by_score(review_text, stop_words, missing_as_nan), k)
     return top.orderBy("review_score", F.desc("count"), "word")
+
+
+# T08 -- rows (review_score, word, count), scores ascending, as CSV part files.
+def export_word_frequency(top_words: DataFrame, path: str) -> None:
+    write_csv(top_words.orderBy("review_score", F.desc("count"), "word"), path)

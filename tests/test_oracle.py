@@ -81,3 +81,14 @@ def test_probes_are_anti_and_semi_joins(spark):
 def test_scans_are_pruned(spark):
     plan = queries()["total_revenue"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>" in plan
+
+
+@pytest.mark.parametrize("name", ["monthly_orders_revenue_summary", "revenue_by_year",
+                                  "delivery_time_distribution", "order_gaps"])
+def test_time_results_do_not_depend_on_session_time_zone(spark, duck, name):
+    previous = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        test_query_matches_oracle(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", previous)

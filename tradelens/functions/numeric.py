@@ -53,6 +53,12 @@ def mean_of(total: Column | str, count: Column | str, digits: int | None = 2) ->
     return r if digits is None else round_half_up(r, digits)
 
 
+def year_month(c: Column | str) -> Column:
+    """'yyyy-MM' of a timestamp from its calendar fields (no session time zone)."""
+    ts = _col(c)
+    return F.format_string("%04d-%02d", F.year(ts), F.month(ts))
+
+
 def big(c: Column | str) -> Column:
     """Integer outputs are BIGINT on both engines."""
     return _col(c).cast("bigint")

@@ -21,7 +21,7 @@ from tradelens.functions.bands import (
     band,
     band_order,
 )
-from tradelens.functions.numeric import big, percent, round_half_up, mean_of
+from tradelens.functions.numeric import big, mean_of, percent, round_half_up, year_month
 from tradelens.operators.common import (
     FULFILLED,
     is_fulfilled,
@@ -123,7 +123,7 @@ def revenue_by_year(orders: DataFrame, payments: DataFrame, statuses=FULFILLED)
 # A12
 def revenue_by_month(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
     return (_fulfilled_payments(orders, payments, statuses)
-            .groupBy(F.date_format("purchase_time", "yyyy-MM").alias("month"))
+            .groupBy(year_month("purchase_time").alias("month"))
             .agg(round_half_up(F.sum("payment_value"), 2).alias("total_revenue"))
             .orderBy("month"))
 

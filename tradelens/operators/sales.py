@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import big, round_half_up, rounded_ratio
+from tradelens.functions.numeric import big, round_half_up, rounded_ratio, year_month
 from tradelens.operators.common import FULFILLED, is_fulfilled, items_per
 
 
 def _month(col: str = "purchase_time"):
-    return F.date_format(F.col(col), "yyyy-MM")
+    return year_month(col)
 
 
 # R01

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
 import pytest
 from conftest import make_roles, order
@@ -42,3 +43,20 @@ def test_rebuild_on_arrival_appends_and_rebuilds(spark, tmp_path):
                            name=f"t{os.getpid()}{tmp_path.name}")
     q.awaitTermination(120)
     assert seen and seen[-1] == [("canceled", 1), ("delivered", 1)]
+
+
+def test_read_roles_with_declared_schemas(spark, tmp_path):
+    from tradelens.operators import sales
+    from tradelens.sources.roles import read_roles
+
+    r = make_roles(spark, orders=[order("o1", "c1")],
+                   payments=[("o1", "card", 2, Decimal("12.34"))])
+    paths = {}
+    for role in SCHEMAS:
+        paths[role] = str(tmp_path / role)
+        getattr(r, role).write.option("header", "true").csv(paths[role])
+    back = read_roles(spark, paths, fmt="csv", header="true")
+    assert back.payments.schema == SCHEMAS["payments"]
+    out = sales.monthly_orders_revenue_summary(
+        sales.merged_orders_payments(back.paid_orders, back.payments)).collect()
+    assert [tuple(x) for x in out] == [("2020-01", 12.34, 1, 12.34)]

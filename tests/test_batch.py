@@ -60,3 +60,14 @@ def test_read_roles_with_declared_schemas(spark, tmp_path):
     out = sales.monthly_orders_revenue_summary(
         sales.merged_orders_payments(back.paid_orders, back.payments)).collect()
     assert [tuple(x) for x in out] == [("2020-01", 12.34, 1, 12.34)]
+
+
+def test_cluster_settings_size_partitions_to_the_target():
+    from tradelens.session import cluster_settings
+
+    s = cluster_settings(20 << 40, executors=1000, cores_per_executor=8)
+    parts = int(s["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and (20 << 40) / parts <= 256 << 20
+    assert s["spark.sql.adaptive.enabled"] == "true"
+    small = cluster_settings(1 << 20, executors=2, cores_per_executor=4)
+    assert small["spark.sql.shuffle.partitions"] == "8"

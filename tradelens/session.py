@@ -51,3 +51,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cluster_settings(shuffle_bytes: int, executors: int, cores_per_executor: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Partition sizing for a large run, derived from the expected volume of
+    the largest shuffle (after pruning and partial aggregation; for the order-
+    keyed reports that is roughly the item and payment columns they read).
+
+    AQE starts from ``initialPartitionNum`` partitions of at most
+    ``target_partition_bytes`` each and coalesces small ones back to the
+    advisory size, so a partition always fits an executor core's memory share
+    and spills only in rare skewed cases, which the skew-join split handles.
+    The count is a multiple of the total core count so every wave is full.
+    """
+    cores = max(1, executors * cores_per_executor)
+    parts = max(cores, -(-shuffle_bytes // target_partition_bytes))
+    parts = -(-parts // cores) * cores
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        **SQL_DEFAULTS,
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
+    for key, value in settings.items():
+        spark.conf.set(key, value)

@@ -21,7 +21,14 @@ from tradelens.functions.bands import (
     band,
     band_order,
 )
-from tradelens.functions.numeric import big, mean_of, percent, round_half_up, year_month
+from tradelens.functions.numeric import (
+    big,
+    mean_of,
+    money_sum,
+    percent,
+    round_half_up,
+    year_month,
+)
 from tradelens.operators.common import (
     FULFILLED,
     is_fulfilled,
@@ -109,14 +116,14 @@ def _fulfilled_payments(orders: DataFrame, payments: DataFrame, statuses=FULFILL
 # A10
 def total_revenue(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
     return _fulfilled_payments(orders, payments, statuses).agg(
-        round_half_up(F.sum("payment_value"), 2).alias("total_revenue"))
+        round_half_up(money_sum("payment_value"), 2).alias("total_revenue"))
 
 
 # A11
 def revenue_by_year(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
     return (_fulfilled_payments(orders, payments, statuses)
             .groupBy(big(F.year("purchase_time")).alias("year"))
-            .agg(round_half_up(F.sum("payment_value"), 2).alias("revenue"))
+            .agg(round_half_up(money_sum("payment_value"), 2).alias("revenue"))
             .orderBy("year"))
 
 
@@ -124,7 +131,7 @@ def revenue_by_year(orders: DataFrame, payments: DataFrame, statuses=FULFILLED)
 def revenue_by_month(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
     return (_fulfilled_payments(orders, payments, statuses)
             .groupBy(year_month("purchase_time").alias("month"))
-            .agg(round_half_up(F.sum("payment_value"), 2).alias("total_revenue"))
+            .agg(round_half_up(money_sum("payment_value"), 2).alias("total_revenue"))
             .orderBy("month"))
 
 
@@ -157,14 +164,14 @@ def high_installment_profile(payments: DataFrame, threshold: int = 6) -> DataFra
     return (payments.where(F.col("payment_installments") > threshold)
             .groupBy("payment_installments")
             .agg(big(F.count(F.lit(1))).alias("count"),
-                 mean_of(F.sum("payment_value"), F.count("payment_value")).alias("avg_value"))
+                 mean_of(money_sum("payment_value"), F.count("payment_value")).alias("avg_value"))
             .orderBy(F.desc("count"), "payment_installments"))
 
 
 # A16 -- SUM of freight per order (R13 keeps the MAX).
 def order_freight_sum(items: DataFrame) -> DataFrame:
     return (items.groupBy("order_id")
-            .agg(F.sum("freight_value").cast("double").alias("total_freight")))
+            .agg(money_sum("freight_value").cast("double").alias("total_freight")))
 
 
 # A17

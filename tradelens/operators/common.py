@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import big
+from tradelens.functions.numeric import big, money_sum
 
 # ---------------------------------------------------------------------------
 # Order statuses the reports count as revenue, and the literal
@@ -56,9 +56,9 @@ def items_per(items: DataFrame, *keys: str) -> DataFrame:
     """
     return items.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("item_rows"),
-        F.sum("price").alias("price_sum"),
+        money_sum("price").alias("price_sum"),
         F.count("price").alias("price_n"),
-        F.sum("freight_value").alias("freight_sum"),
+        money_sum("freight_value").alias("freight_sum"),
         F.count("freight_value").alias("freight_n"),
         F.max("freight_value").alias("freight_max"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import big, mean_of, percent, rounded_ratio
+from tradelens.functions.numeric import big, mean_of, money_sum, percent, rounded_ratio
 from tradelens.operators.common import items_per_order, person_order_counts
 
 # ---------------------------------------------------------------------------
@@ -107,7 +107,7 @@ def person_purchase_profile(orders: DataFrame, customers: DataFrame,
                        F.max("purchase_time").alias("last"),
                        F.countDistinct(F.when(F.col("item_rows").isNotNull(), F.col("order_id")))
                        .alias("orders_with_items"),
-                       F.sum("price_sum").alias("total_spent")))
+                       money_sum("price_sum").alias("total_spent")))
     # The reference joins the gap and spend summaries on the person, so a NULL
     # person never appears.
     return (per_person.where((F.col("n") > 1) & (F.col("orders_with_items") > 0)
@@ -137,7 +137,7 @@ def repeat_customer_order_stats(orders: DataFrame, customers: DataFrame,
             .agg(big(F.count(F.lit(1))).alias("customers"),
                  rounded_ratio(F.sum("gap_days"), F.sum("gap_count"))
                  .alias("avg_days_between_orders"),
-                 mean_of(F.sum("total_spent"), F.count("total_spent"))
+                 mean_of(money_sum("total_spent"), F.count("total_spent"))
                  .alias("avg_total_spent"))
             .orderBy("total_orders"))
 

@@ -18,6 +18,7 @@ from tradelens.functions.bands import (
 from tradelens.functions.numeric import (
     big,
     mean_of,
+    money_sum,
     percent,
     round_half_up,
     rounded_ratio,
@@ -94,7 +95,7 @@ def state_freight_bucket_summary(items: DataFrame, orders: DataFrame, customers:
     per_order = (_orders_with_state(orders, customers, is_fulfilled(statuses), [])
                  .join(items_per_order(items).select("order_id", "freight_sum"), "order_id")
                  .groupBy("order_id", "customer_state")
-                 .agg(F.sum("freight_sum").alias("total_freight")))
+                 .agg(money_sum("freight_sum").alias("total_freight")))
     return (per_order
             .groupBy("customer_state",
                      band(F.col("total_freight"), bands, otherwise).alias("freight_bucket"))
@@ -109,7 +110,7 @@ def _value_vs_freight(items: DataFrame, orders: DataFrame, statuses) -> DataFram
     return (items_per_order(items).select("order_id", "price_sum", "freight_max")
             .join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
             .groupBy("order_id")
-            .agg(F.sum("price_sum").alias("value"), F.max("freight_max").alias("freight")))
+            .agg(money_sum("price_sum").alias("value"), F.max("freight_max").alias("freight")))
 
 
 # R16
@@ -136,8 +137,8 @@ def _freight_ratio_by(keys: list[str], value_vs_freight: DataFrame, orders: Data
                  round_half_up(F.avg(safe_ratio(F.col("freight_value"),
                                                 F.col("total_order_value"))),
                                RATIO_AVG_DIGITS).alias("avg_freight_ratio"),
-                 mean_of(F.sum(freight), F.count(freight), None).alias("avg_freight"),
-                 mean_of(F.sum(value), F.count(value), None).alias("avg_order_value"))
+                 mean_of(money_sum(freight), F.count(freight), None).alias("avg_freight"),
+                 mean_of(money_sum(value), F.count(value), None).alias("avg_order_value"))
             .orderBy(F.desc_nulls_last("avg_freight_ratio"), *keys))
 
 
@@ -163,7 +164,7 @@ def freight_by_state(items: DataFrame, orders: DataFrame, customers: DataFrame,
                   "order_id")
             .withColumn("days", delivery_days()))
     # Item grain from per-order aggregates: each item adds the order's days.
-    freight = F.sum("freight_sum")
+    freight = money_sum("freight_sum")
     days = F.sum(F.col("item_rows") * F.col("days"))
     n = F.countDistinct("order_id")
     return (rows.groupBy("customer_state")

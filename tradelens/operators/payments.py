@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import big, mean_of, percent, round_half_up
+from tradelens.functions.numeric import big, mean_of, money_sum, percent, round_half_up
 from tradelens.operators.common import FULFILLED, is_fulfilled
 
 
@@ -32,7 +32,7 @@ def payment_type_distribution(payments: DataFrame, orders: DataFrame,
     g = (_fulfilled_payments(payments, orders, statuses)
          .groupBy("payment_type")
          .agg(F.count(F.lit(1)).alias("n"), F.count("payment_value").alias("nv"),
-              F.sum("payment_value").alias("s")))
+              money_sum("payment_value").alias("s")))
     return (g.select(
         "payment_type",
         big("n").alias("num_transactions"),
@@ -62,7 +62,7 @@ def high_installment_revenue_share(payments: DataFrame, orders: DataFrame, thres
     g = (_fulfilled_payments(payments, orders, statuses)
          .groupBy("payment_installments")
          .agg(F.count(F.lit(1)).alias("n"), F.count("payment_value").alias("nv"),
-              F.sum("payment_value").alias("s")))
+              money_sum("payment_value").alias("s")))
     return (g.select(
         "payment_installments",
         big("n").alias("count"),

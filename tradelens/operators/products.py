@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import big, mean_of, percent
+from tradelens.functions.numeric import big, mean_of, money_sum, percent
 from tradelens.operators.common import CANCELED, FULFILLED, category_of, is_fulfilled, items_per
 
 _SUM_TYPE = "decimal(38,2)"
@@ -46,8 +46,8 @@ def single_item_orders(items: DataFrame, orders: DataFrame, products: DataFrame,
 def _price_freight_aggs() -> list[Column]:
     price = F.col("price").cast(_SUM_TYPE)
     freight = F.col("freight_value").cast(_SUM_TYPE)
-    return [mean_of(F.sum(price), F.count(price)).alias("avg_price"),
-            mean_of(F.sum(freight), F.count(freight)).alias("avg_freight")]
+    return [mean_of(money_sum(price), F.count(price)).alias("avg_price"),
+            mean_of(money_sum(freight), F.count(freight)).alias("avg_freight")]
 
 
 # R37
@@ -82,8 +82,8 @@ def cancelled_orders_by_category(orders: DataFrame, items: DataFrame, products:
             .join(category_of(products, translation), "product_id"))
     return (rows.groupBy(F.col("product_category_name_english").alias("category_name"))
             .agg(big(F.sum("item_rows")).alias("cancelled_order_count"),
-                 mean_of(F.sum("price_sum"), F.sum("price_n")).alias("avg_price"),
-                 mean_of(F.sum("freight_sum"), F.sum("freight_n")).alias("avg_freight"))
+                 mean_of(money_sum("price_sum"), F.sum("price_n")).alias("avg_price"),
+                 mean_of(money_sum("freight_sum"), F.sum("freight_n")).alias("avg_freight"))
             .orderBy(F.desc("cancelled_order_count"), "category_name"))
 
 

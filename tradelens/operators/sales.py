@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import big, round_half_up, rounded_ratio, year_month
+from tradelens.functions.numeric import (
+    big,
+    money_sum,
+    round_half_up,
+    rounded_ratio,
+    year_month,
+)
 from tradelens.operators.common import FULFILLED, is_fulfilled, items_per
 
 
@@ -25,9 +31,9 @@ def merged_orders_payments(orders: DataFrame, payments: DataFrame,
 
 def _revenue_aggs(value: str, order_key: str, avg_name: str):
     return [
-        round_half_up(F.sum(value), 2).alias("total_revenue"),
+        round_half_up(money_sum(value), 2).alias("total_revenue"),
         big(F.countDistinct(order_key)).alias("total_orders"),
-        rounded_ratio(F.sum(value), F.countDistinct(order_key)).alias(avg_name),
+        rounded_ratio(money_sum(value), F.countDistinct(order_key)).alias(avg_name),
     ]
 
 
@@ -58,7 +64,7 @@ def monthly_category_revenue(items: DataFrame, products: DataFrame, translation:
     return (_priced_categories(items, products, translation, orders, statuses)
             .groupBy(_month().alias("month"),
                      F.col("product_category_name_english").alias("category"))
-            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"))
+            .agg(round_half_up(money_sum("price_sum"), 2).alias("total_revenue"))
             .orderBy("month", F.desc("total_revenue"), "category"))
 
 
@@ -67,7 +73,7 @@ def category_sales_summary(items: DataFrame, products: DataFrame, translation: D
                            orders: DataFrame, statuses=FULFILLED) -> DataFrame:
     return (_priced_categories(items, products, translation, orders, statuses)
             .groupBy(F.col("product_category_name_english").alias("category"))
-            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"),
+            .agg(round_half_up(money_sum("price_sum"), 2).alias("total_revenue"),
                  big(F.sum("item_rows")).alias("total_items_sold"))
             .orderBy(F.desc("total_revenue"), "category"))
 
@@ -108,7 +114,7 @@ def _seller_orders(items: DataFrame, orders: DataFrame, statuses) -> DataFrame:
             .select("seller_id", "order_id", "item_rows", "price_sum")
             .join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
             .groupBy("seller_id", "order_id")
-            .agg(F.sum("price_sum").alias("price_sum"), F.sum("item_rows").alias("n_items")))
+            .agg(money_sum("price_sum").alias("price_sum"), F.sum("item_rows").alias("n_items")))
 
 
 # R07
@@ -137,7 +143,7 @@ def seller_revenue_review_summary(items: DataFrame, orders: DataFrame, reviews:
                           F.count("review_score").alias("scored_rows")))
     per_seller = (seller_orders.join(order_reviews, "order_id", "left")
                   .groupBy("seller_id")
-                  .agg(F.sum(F.col("price_sum") * F.coalesce(F.col("review_rows"), F.lit(1)))
+                  .agg(money_sum(F.col("price_sum") * F.coalesce(F.col("review_rows"), F.lit(1)))
                        .alias("revenue"),
                        F.count(F.lit(1)).alias("orders"),
                        F.sum(F.col("n_items") * F.col("score_sum")).alias("score_sum"),

@@ -24,19 +24,6 @@ def money(c: Column | str) -> Column:
     return _col(c).cast(MONEY_TYPE)
 
 
-def money_sum(c: Column | str) -> Column:
-    """Exact SUM of an amount with two decimals, as DECIMAL(38,2).
-
-    Spark sums DECIMAL(18,2) into a DECIMAL(28,2) buffer backed by
-    java.math.BigDecimal; here each amount becomes a LONG count of cents (an
-    exact conversion) and the buffer is a primitive long, which keeps the
-    aggregation in the fast code path. ANSI mode raises on overflow beyond
-    9.2e16 cents per group instead of wrapping.
-    """
-    cents = F.sum((_col(c) * 100).cast("long"))
-    return (cents.cast("decimal(38,0)") / 100).cast("decimal(38,2)")
-
-
 def as_double(c: Column | str) -> Column:
     return _col(c).cast("double")
 

@@ -10,6 +10,8 @@ when every table is large.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -19,6 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from __spark_entry__ import queries  # noqa: E402
 from tradelens.session import local_session  # noqa: E402
 
+APPENDIX = ["monthly_orders_revenue_summary", "seller_revenue_review_summary",
+            "review_word_frequency_by_score"]
 EXCHANGE = re.compile(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)")
 
 
@@ -38,11 +42,17 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = local_session()
     rows = []
+    formatted = {}
     for name, fn in queries().items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         final = shape(df._jdf.queryExecution().executedPlan().toString())
         rows.append((name, final))
+        if name in APPENDIX:
+            buf = io.StringIO()
+            with contextlib.redirect_stdout(buf):
+                df.explain("formatted")
+            formatted[name] = buf.getvalue()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     large = {name: shape(fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
@@ -56,6 +66,11 @@ def main() -> None:
     for name, s in rows:
         print(f"| {name} | {s['exchanges']} | {s['bhj']} | {s['smj']} | {s['semi/anti']} |"
               f" {s['window']} | {s['python']} | {s['cartesian']} | {large[name]['exchanges']} |")
+    for name, text in formatted.items():
+        print(f"\n## `{name}`: explain(\"formatted\") after execution\n")
+        print("```")
+        print(text.rstrip())
+        print("```")
 
 
 if __name__ == "__main__":

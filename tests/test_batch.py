@@ -71,3 +71,19 @@ def test_cluster_settings_size_partitions_to_the_target():
     assert s["spark.sql.adaptive.enabled"] == "true"
     small = cluster_settings(1 << 20, executors=2, cores_per_executor=4)
     assert small["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_command_line_runs_reports_over_role_files(spark, tmp_path):
+    from tradelens.__main__ import main
+
+    r = make_roles(spark, orders=[order("o1", "c1"), order("o2", "c1", status="canceled")],
+                   payments=[("o1", "card", 2, Decimal("12.34"))],
+                   customers=[("c1", "u1", "01000", "x", "SP")])
+    for role in SCHEMAS:
+        getattr(r, role).write.option("header", "true").csv(str(tmp_path / "roles" / role))
+    out = tmp_path / "out"
+    assert main(["--roles", str(tmp_path / "roles"), "--out", str(out), "--format", "csv",
+                 "--reports", "monthly_orders_revenue_summary,cancelled_orders_by_state"]) == 0
+    monthly = spark.read.parquet(str(out / "monthly_orders_revenue_summary")).collect()
+    assert [tuple(x) for x in monthly] == [("2020-01", 12.34, 1, 12.34)]
+    assert spark.read.parquet(str(out / "cancelled_orders_by_state")).count() == 0

@@ -28,6 +28,13 @@ from tradelens.operators.common import (
     items_per,
     person_order_counts,
 )
+from tradelens.operators.payments import HIGH_INSTALLMENTS
+
+
+# ---------------------------------------------------------------------------
+# Size of the repeated-person sample.
+# ---------------------------------------------------------------------------
+PERSON_SAMPLE = 10
 
 
 def keys_of(df: DataFrame, key: str) -> DataFrame:
@@ -153,7 +160,8 @@ def sellers_with_only_unfulfilled_orders(sellers: DataFrame, items: DataFrame, o
 
 
 # A15 -- raw payment lines, no order join (as in the reference).
-def high_installment_profile(payments: DataFrame, threshold: int = 6) -> DataFrame:
+def high_installment_profile(payments: DataFrame,
+                             threshold: int = HIGH_INSTALLMENTS) -> DataFrame:
     return (payments.where(F.col("payment_installments") > threshold)
             .groupBy("payment_installments")
             .agg(big(F.count(F.lit(1))).alias("count"),
@@ -236,7 +244,7 @@ def orders_with_unknown_customer(orders: DataFrame, customers: DataFrame) -> Dat
 
 
 # A23 -- a sample by definition: the first k repeated persons in key order.
-def repeated_person_sample(customers: DataFrame, k: int = 10) -> DataFrame:
+def repeated_person_sample(customers: DataFrame, k: int = PERSON_SAMPLE) -> DataFrame:
     return (customers.groupBy("customer_unique_id").agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") > 1).select("customer_unique_id")
             .orderBy("customer_unique_id").limit(k))

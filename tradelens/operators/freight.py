@@ -25,7 +25,9 @@ from tradelens.functions.numeric import (
 )
 from tradelens.operators.common import DELIVERED, FULFILLED, is_fulfilled, items_per_order
 
-# Divisor of the volumetric ("dimensional") weight, cm^3 per kg.
+# ---------------------------------------------------------------------------
+# Divisor of the volumetric ("dimensional") weight, cm^3 per kg.
+# ---------------------------------------------------------------------------
 DIM_WEIGHT_DIVISOR = 6000
 # Digits kept for averages of per-order DOUBLE ratios: their floating sum
 # depends on the order rows arrive in, so the last bits are not reproducible.

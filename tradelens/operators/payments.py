@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from tradelens.functions.numeric import big, mean_of, percent, round_half_up
 from tradelens.operators.common import FULFILLED, is_fulfilled
 
+# ---------------------------------------------------------------------------
+# Instalment counts above this are "high".
+# ---------------------------------------------------------------------------
+HIGH_INSTALLMENTS = 6
+
 
 
 def _all_rows() -> Window:
@@ -57,7 +62,8 @@ def installment_distribution(payments: DataFrame, orders: DataFrame,
 # R11 -- instalments strictly above the threshold; the denominator is ALL
 # fulfilled revenue, so every instalment group is aggregated and the high ones
 # are selected after the window total.
-def high_installment_revenue_share(payments: DataFrame, orders: DataFrame, threshold: int = 6,
+def high_installment_revenue_share(payments: DataFrame, orders: DataFrame,
+                                   threshold: int = HIGH_INSTALLMENTS,
                                    statuses=FULFILLED) -> DataFrame:
     g = (_fulfilled_payments(payments, orders, statuses)
          .groupBy("payment_installments")

@@ -18,9 +18,11 @@ from tradelens.functions.numeric import big
 from tradelens.functions.text import is_word, tokens
 from tradelens.sources.files import write_csv
 
+# ---------------------------------------------------------------------------
+# Words kept per score, and the string a missing text becomes
+# (then counted as a word like any other).
+# ---------------------------------------------------------------------------
 TOP_K = 10
-# String the notebook's astype(str) gives a missing text; it is then counted
-# as a word like any other.
 MISSING_TEXT = "nan"
 
 

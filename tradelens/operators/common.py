@@ -23,6 +23,15 @@ def is_fulfilled(statuses: Sequence[str] = FULFILLED, col: str = "order_status")
     return F.col(col).isin(*statuses)
 
 
+def order_persons(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """order_id, customer_unique_id: orders joined to the person behind them.
+    Built the same way everywhere, so a report that needs it twice gets one
+    join whose exchanges Spark reuses."""
+    return (orders.select("order_id", "customer_id")
+            .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+            .select("order_id", "customer_unique_id"))
+
+
 def person_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """customer_unique_id -> total_orders (distinct orders over all checkouts).
 
@@ -30,8 +39,7 @@ def person_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
     which spreads even a person with a huge share of the orders over all
     shuffle partitions, then counts with a map-side partial aggregate.
     """
-    return (customers.select("customer_id", "customer_unique_id")
-            .join(orders.select("customer_id", "order_id"), "customer_id")
+    return (order_persons(orders, customers)
             .groupBy("customer_unique_id")
             .agg(big(F.countDistinct("order_id")).alias("total_orders")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, mean_of, percent, rounded_ratio
-from tradelens.operators.common import items_per_order, person_order_counts
+from tradelens.operators.common import items_per_order, order_persons, person_order_counts
 
 # ---------------------------------------------------------------------------
 # Customer-type labels and the zip-report minimum.
@@ -36,8 +36,7 @@ def customer_type_review_summary(reviews: DataFrame, orders: DataFrame,
                                  customers: DataFrame) -> DataFrame:
     counts = person_order_counts(customers, orders)
     rows = (reviews.where(F.col("review_score").isNotNull()).select("order_id", "review_score")
-            .join(orders.select("order_id", "customer_id"), "order_id")
-            .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+            .join(order_persons(orders, customers), "order_id")
             .join(counts, "customer_unique_id"))
     kind = F.when(F.col("total_orders") == 1, ONE_TIME).otherwise(REPEAT)
     return (rows.groupBy(kind.alias("customer_type"))

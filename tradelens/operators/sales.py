@@ -121,39 +121,24 @@ def seller_total_revenue(items: DataFrame, orders: DataFrame, statuses=FULFILLED
 
 # R08 -- the reference LEFT joins item rows to review rows: an item's price is
 # counted once per review row of its order (once if it has none), AVG skips
-# NULL scores and reviews are counted as distinct ids. The same numbers are
-# built from pre-aggregated pieces so no item x review row is materialised:
-#   per (seller, order): price sum and item count (map-side partial agg);
-#   per order: review rows, score sum, scored rows;
-#   revenue = sum(price_sum * max(review_rows, 1)), score = sum(items * score_sum)
-#   / sum(items * scored_rows); distinct review ids from (seller, review_id).
+# NULL scores and reviews are counted as distinct ids. Items are first combined
+# per (seller, order), so the join to review rows produces one row per
+# (seller, order, review) instead of per (item, review): summing the order's
+# price sum over those rows is the item-level revenue, n_items x score the
+# item-level score sum. Both exact distinct counts then run in one aggregate
+# (Catalyst's Expand) over these already-reduced rows, reading items once.
 # The always-true "score IS NOT NULL OR score IS NULL" filter is dropped.
 def seller_revenue_review_summary(items: DataFrame, orders: DataFrame, reviews: DataFrame,
                                   statuses=FULFILLED) -> DataFrame:
-    seller_orders = _seller_orders(items, orders, statuses)
-    order_reviews = (reviews.groupBy("order_id")
-                     .agg(F.count(F.lit(1)).alias("review_rows"),
-                          F.sum("review_score").alias("score_sum"),
-                          F.count("review_score").alias("scored_rows")))
-    per_seller = (seller_orders.join(order_reviews, "order_id", "left")
-                  .groupBy("seller_id")
-                  .agg(F.sum(F.col("price_sum") * F.coalesce(F.col("review_rows"), F.lit(1)))
-                       .alias("revenue"),
-                       F.count(F.lit(1)).alias("orders"),
-                       F.sum(F.col("n_items") * F.col("score_sum")).alias("score_sum"),
-                       F.sum(F.col("n_items") * F.col("scored_rows")).alias("scored_rows")))
-    review_ids = (seller_orders.select("seller_id", "order_id")
-                  .join(reviews.where(F.col("review_id").isNotNull())
-                        .select("order_id", "review_id"), "order_id")
-                  .groupBy(F.col("seller_id").alias("rid_seller"))
-                  .agg(F.countDistinct("review_id").alias("review_count")))
-    return (per_seller
-            .join(review_ids, per_seller["seller_id"].eqNullSafe(review_ids["rid_seller"]), "left")
-            .select("seller_id",
-                    round_half_up(F.col("revenue"), 2).alias("total_revenue"),
-                    big("orders").alias("total_orders"),
-                    rounded_ratio(F.col("revenue"), F.col("orders")).alias("avg_revenue_per_order"),
-                    rounded_ratio(F.col("score_sum"), F.col("scored_rows"))
-                    .alias("avg_review_score"),
-                    big(F.coalesce(F.col("review_count"), F.lit(0))).alias("review_count"))
+    rows = (_seller_orders(items, orders, statuses)
+            .join(reviews.select("order_id", "review_id", "review_score"), "order_id", "left"))
+    n_orders = F.countDistinct("order_id")
+    scored_items = F.when(F.col("review_score").isNotNull(), F.col("n_items"))
+    return (rows.groupBy("seller_id")
+            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"),
+                 big(n_orders).alias("total_orders"),
+                 rounded_ratio(F.sum("price_sum"), n_orders).alias("avg_revenue_per_order"),
+                 rounded_ratio(F.sum(F.col("n_items") * F.col("review_score")),
+                               F.sum(scored_items)).alias("avg_review_score"),
+                 big(F.countDistinct("review_id")).alias("review_count"))
             .orderBy(F.desc("total_revenue"), "seller_id"))

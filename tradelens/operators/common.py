@@ -23,13 +23,22 @@ def is_fulfilled(statuses: Sequence[str] = FULFILLED, col: str = "order_status")
     return F.col(col).isin(*statuses)
 
 
-def order_persons(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """order_id, customer_unique_id: orders joined to the person behind them.
-    Built the same way everywhere, so a report that needs it twice gets one
-    join whose exchanges Spark reuses."""
+def order_persons(orders: DataFrame, customers: DataFrame, *customer_cols: str) -> DataFrame:
+    """order_id, customer_unique_id (+ ``customer_cols``): every order row
+    joined to the person behind it. A report that needs these rows twice (for
+    per-person order counts and for its own rows) builds them once, so the
+    orders x customers join and its exchanges are shared."""
     return (orders.select("order_id", "customer_id")
-            .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
-            .select("order_id", "customer_unique_id"))
+            .join(customers.select("customer_id", "customer_unique_id", *customer_cols),
+                  "customer_id")
+            .select("order_id", "customer_unique_id", *customer_cols))
+
+
+def persons_by_order_count(rows: DataFrame, keep) -> DataFrame:
+    """customer_unique_id of persons whose distinct order count in ``rows``
+    satisfies ``keep`` (a function of that count column)."""
+    counts = rows.groupBy("customer_unique_id").agg(F.countDistinct("order_id").alias("n"))
+    return counts.where(keep(F.col("n"))).select("customer_unique_id")
 
 
 def person_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:

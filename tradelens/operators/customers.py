@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, mean_of, percent, rounded_ratio
-from tradelens.operators.common import items_per_order, order_persons, person_order_counts
+from tradelens.operators.common import (
+    items_per_order,
+    order_persons,
+    person_order_counts,
+    persons_by_order_count,
+)
 
 # ---------------------------------------------------------------------------
 # Customer-type labels and the zip-report minimum.
@@ -178,11 +183,9 @@ def state_customer_loyalty(customers: DataFrame, orders: DataFrame) -> DataFrame
 # R32 -- persons with more than one order anywhere; their scores by state.
 def state_repeat_review_scores(customers: DataFrame, orders: DataFrame,
                                reviews: DataFrame) -> DataFrame:
-    repeaters = (person_order_counts(customers, orders)
-                 .where(F.col("total_orders") > 1).select("customer_unique_id"))
-    rows = (customers.select("customer_id", "customer_unique_id", "customer_state")
-            .join(repeaters, "customer_unique_id", "left_semi")
-            .join(orders.select("customer_id", "order_id"), "customer_id")
+    order_rows = order_persons(orders, customers, "customer_state")
+    repeaters = persons_by_order_count(order_rows, lambda n: n > 1)
+    rows = (order_rows.join(repeaters, "customer_unique_id", "left_semi")
             .join(reviews.select("order_id", "review_score"), "order_id"))
     return (rows.groupBy("customer_state")
             .agg(rounded_ratio(F.sum("review_score"), F.count("review_score"))
@@ -201,11 +204,9 @@ def state_loyalty_review_summary(loyalty: DataFrame, repeat_scores: DataFrame) -
 # R34 -- item rows (not distinct products) of persons with exactly one order.
 def one_time_customer_product_distribution(customers: DataFrame, orders: DataFrame,
                                            items: DataFrame) -> DataFrame:
-    one_time = (person_order_counts(customers, orders)
-                .where(F.col("total_orders") == 1).select("customer_unique_id"))
-    per_person = (customers.select("customer_id", "customer_unique_id")
-                  .join(one_time, "customer_unique_id", "left_semi")
-                  .join(orders.select("customer_id", "order_id"), "customer_id")
+    order_rows = order_persons(orders, customers)
+    one_time = persons_by_order_count(order_rows, lambda n: n == 1)
+    per_person = (order_rows.join(one_time, "customer_unique_id", "left_semi")
                   .join(items_per_order(items).select("order_id", "item_rows"), "order_id")
                   .groupBy("customer_unique_id")
                   .agg(F.sum("item_rows").alias("products_in_order")))

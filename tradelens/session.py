@@ -43,10 +43,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``; a scratch folder only
-    where none is configured (local runs)."""
+    """The cluster's shared ``spark.checkpoint.dir``. Only a local-mode
+    session (tests, a laptop) may fall back to a scratch folder: on a cluster a
+    machine-local path would scatter files over the executors, so an unset
+    directory is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(it holds the materialised clean-up step and bucketed roles)")
         path = tempfile.mkdtemp(prefix="tradelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -36,14 +36,29 @@ def _cases(n: int = 4000):
 def test_rounded_ratio_and_percent_match_exact_decimals(spark):
     cases = _cases()
     df = spark.createDataFrame([(c[0], c[1]) for c in cases], "num decimal(18,2), den bigint")
-    got = df.select(rounded_ratio(F.col("num"), F.col("den"), 2).alias("r2"),
-                    rounded_ratio(F.col("num"), F.col("den"), 4).alias("r4"),
-                    percent(F.col("num"), F.col("den")).alias("pct")).collect()
+    got = df.select(rounded_ratio(F.col("num"), F.col("den"), 2, scales=(2, 0)).alias("r2"),
+                    rounded_ratio(F.col("num"), F.col("den"), 4, scales=(2, 0)).alias("r4"),
+                    percent(F.col("num"), F.col("den"), scales=(2, 0)).alias("pct")).collect()
     for (num, den), row in zip(cases, got):
         assert row["r2"] == _exact(num, den, 2), (num, den, row)
+        assert row["r4"] == _exact(num, den, 4), (num, den, row)
         assert row["pct"] == _exact(num * 100, den, 2), (num, den, row)
-        if abs(num) < 10**4:  # 4-digit ratios in the reports are freight / value, below 1e4
-            assert row["r4"] == _exact(num, den, 4), (num, den, row)
+
+
+def test_exact_ties_at_every_magnitude(spark):
+    rng = random.Random(9)
+    cases = []
+    for mag in (10**2, 10**4, 10**6, 10**8, 10**10):
+        for _ in range(300):
+            den = rng.choice([10, 30, 70, 400, 1000, 3000])
+            m = rng.randrange(0, mag * 100) * 10 + 5      # a tie at the 2nd decimal
+            cases.append(((Decimal(m) / 1000 * den).quantize(Decimal("0.01")), den))
+    df = spark.createDataFrame(cases, "num decimal(18,2), den bigint")
+    got = df.select(rounded_ratio("num", "den", 2, scales=(2, 0)),
+                    rounded_ratio("num", F.col("den").cast("decimal(18,2)"), 4,
+                                  scales=(2, 2))).collect()
+    for (num, den), row in zip(cases, got):
+        assert row[0] == _exact(num, den, 2) and row[1] == _exact(num, den, 4), (num, den, row)
 
 
 def test_round_half_up_on_exact_decimals(spark):

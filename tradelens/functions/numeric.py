@@ -11,12 +11,11 @@ so both engines produce bit-identical doubles:
   1.005 -> 1.00499999999999989 before a HALF_UP round (MySQL's rule for exact
   values).
 
-Sums and amounts are exact; a rounded ratio equals HALF_UP of the exact
-quotient whenever the quotient is below about 10^4-10^5 in magnitude (tested
-against Python's Decimal in tests/test_numeric.py, ties included). Beyond
-about 10^6 an exact .5 tie can fall to the lower side because the DOUBLE
-quotient carries ~16 significant digits -- identically in Spark and in the SQL
-oracle.
+Sums and amounts are exact. Rounded ratios of exact inputs (money sums,
+counts) use :func:`exact_ratio`: HALF_UP of the exact rational value by
+DECIMAL(38,0) remainder arithmetic, ties included at any magnitude (tested
+against Python's Decimal in tests/test_numeric.py); the SQL oracle does the
+same with HUGEINT. Only averages of DOUBLE ratios (R17, R18) stay DOUBLE.
 """
 
 from __future__ import annotations
@@ -46,22 +45,52 @@ def safe_ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(as_double(num), as_double(den))
 
 
-def rounded_ratio(num: Column | str, den: Column | str, digits: int = 2) -> Column:
-    return round_half_up(safe_ratio(num, den), digits)
-
-
-def percent(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
-    """ROUND(100 * part / whole, digits); NULL on a zero denominator.
-
-    ``part * 100`` is formed exactly (integer or decimal arithmetic) before the
-    one DOUBLE division, so a share that is an exact tie (x.xx5) stays one."""
-    return round_half_up(F.try_divide(as_double(_col(part) * 100), as_double(whole)), digits)
-
-
-def mean_of(total: Column | str, count: Column | str, digits: int | None = 2) -> Column:
-    """Average as exact sum / count (avoids engine-specific AVG(decimal) types)."""
-    r = safe_ratio(total, count)
-    return r if digits is None else round_half_up(r, digits)
+def _as_integer(c: Column | str, shift: int) -> Column:
+    """c * 10^shift as an exact DECIMAL(38,0); c has at most ``shift`` decimals."""
+    return (_col(c).cast("decimal(38,6)")
+            * F.lit(10 ** shift).cast(f"decimal({shift + 1},0)")).cast("decimal(38,0)")
+
+
+def exact_ratio(num: Column | str, den: Column | str, digits: int, num_scale: int,
+                den_scale: int) -> Column:
+    """ROUND(num / den, digits), half away from zero, of the exact rational
+    value, as DOUBLE; NULL when den is 0 or NULL.
+
+    ``num`` / ``den`` are exact numbers with at most ``num_scale`` /
+    ``den_scale`` decimals (money 2, counts 0). With P = num * 10^(a+b+k) and
+    Q = den * 10^(a+b) both integers, the result is sign * floor((2|P| + |Q|) /
+    (2|Q|)) / 10^k, computed with DECIMAL(38,0) remainder arithmetic -- exact
+    for any magnitude up to 10^32, unlike a DOUBLE quotient, whose ~16
+    significant digits can move an exact .5 tie to the lower side.
+    """
+    p = _as_integer(num, num_scale + den_scale + digits)
+    q = _as_integer(den, num_scale + den_scale)
+    t = F.abs(p) * 2 + F.abs(q)
+    d = F.abs(q) * 2
+    units = (t - t % d) / d
+    signed = F.when((p < 0) != (q < 0), -units).otherwise(units)
+    return F.when(q != 0, (signed / F.lit(10 ** digits)).cast("double"))
+
+
+def rounded_ratio(num: Column | str, den: Column | str, digits: int = 2, *,
+                  scales: tuple[int, int]) -> Column:
+    """ROUND(num / den, digits) of exact inputs; ``scales`` = decimals of (num, den)."""
+    return exact_ratio(num, den, digits, *scales)
+
+
+def percent(part: Column | str, whole: Column | str, digits: int = 2, *,
+            scales: tuple[int, int]) -> Column:
+    """ROUND(100 * part / whole, digits); NULL on a zero denominator."""
+    return exact_ratio(_col(part) * 100, whole, digits, *scales)
+
+
+def mean_of(total: Column | str, count: Column | str, digits: int | None = 2, *,
+            scale: int) -> Column:
+    """Average as exact sum / count (``scale`` = decimals of the sum); with
+    ``digits=None`` the unrounded DOUBLE quotient."""
+    if digits is None:
+        return safe_ratio(total, count)
+    return exact_ratio(total, count, digits, scale, 0)
 
 
 def year_month(c: Column | str) -> Column:

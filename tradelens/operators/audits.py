@@ -165,7 +165,7 @@ def high_installment_profile(payments: DataFrame,
     return (payments.where(F.col("payment_installments") > threshold)
             .groupBy("payment_installments")
             .agg(big(F.count(F.lit(1))).alias("count"),
-                 mean_of(F.sum("payment_value"), F.count("payment_value")).alias("avg_value"))
+                 mean_of(F.sum("payment_value"), F.count("payment_value"), scale=2).alias("avg_value"))
             .orderBy(F.desc("count"), "payment_installments"))
 
 
@@ -232,7 +232,7 @@ def late_delivery_bands(orders: DataFrame, after_days: int = LATE_AFTER_DAYS) ->
     counts = banded.groupBy("delivery_band").agg(big(F.count(F.lit(1))).alias("orders_in_band"))
     total = F.sum("orders_in_band").over(Window.partitionBy())
     return (counts.select("delivery_band", "orders_in_band",
-                          percent(F.col("orders_in_band"), total).alias("percent_of_total"))
+                          percent(F.col("orders_in_band"), total, scales=(0, 0)).alias("percent_of_total"))
             .where(F.col("delivery_band").isNotNull())
             .orderBy(band_order(F.col("delivery_band"), LATE_DELIVERY_BANDS)))
 

@@ -32,7 +32,7 @@ def customer_order_frequency(customers: DataFrame, orders: DataFrame) -> DataFra
     g = (person_order_counts(customers, orders)
          .groupBy("total_orders").agg(F.count(F.lit(1)).alias("n")))
     return (g.select("total_orders", big("n").alias("customer_count"),
-                     percent(F.col("n"), persons).alias("percentage_of_customers"))
+                     percent(F.col("n"), persons, scales=(0, 0)).alias("percentage_of_customers"))
             .orderBy("total_orders"))
 
 
@@ -45,7 +45,7 @@ def customer_type_review_summary(reviews: DataFrame, orders: DataFrame,
             .join(counts, "customer_unique_id"))
     kind = F.when(F.col("total_orders") == 1, ONE_TIME).otherwise(REPEAT)
     return (rows.groupBy(kind.alias("customer_type"))
-            .agg(rounded_ratio(F.sum("review_score"), F.count("review_score"))
+            .agg(rounded_ratio(F.sum("review_score"), F.count("review_score"), scales=(0, 0))
                  .alias("avg_review_score"),
                  big(F.count(F.lit(1))).alias("review_count"))
             .orderBy("customer_type"))
@@ -128,7 +128,7 @@ def repeat_customer_gaps(orders: DataFrame, customers: DataFrame, items: DataFra
     return (person_purchase_profile(orders, customers, items)
             .select("customer_unique_id", "total_orders",
                     F.col("total_spent").cast("double").alias("total_spent"),
-                    rounded_ratio(F.col("gap_days"), F.col("gap_count"))
+                    rounded_ratio(F.col("gap_days"), F.col("gap_count"), scales=(0, 0))
                     .alias("avg_days_between_orders")))
 
 
@@ -139,9 +139,9 @@ def repeat_customer_order_stats(orders: DataFrame, customers: DataFrame,
     return (person_purchase_profile(orders, customers, items)
             .groupBy("total_orders")
             .agg(big(F.count(F.lit(1))).alias("customers"),
-                 rounded_ratio(F.sum("gap_days"), F.sum("gap_count"))
+                 rounded_ratio(F.sum("gap_days"), F.sum("gap_count"), scales=(0, 0))
                  .alias("avg_days_between_orders"),
-                 mean_of(F.sum("total_spent"), F.count("total_spent"))
+                 mean_of(F.sum("total_spent"), F.count("total_spent"), scale=2)
                  .alias("avg_total_spent"))
             .orderBy("total_orders"))
 
@@ -161,7 +161,7 @@ def _loyalty(rows: DataFrame, key: str, distinct_persons: bool) -> DataFrame:
     total = F.count("customer_unique_id") if distinct_persons else F.count(F.lit(1))
     return rows.groupBy(key).agg(big(total).alias("total_customers"),
                                  big(repeat).alias("repeat_customers"),
-                                 percent(repeat, total).alias("loyalty_percent"))
+                                 percent(repeat, total, scales=(0, 0)).alias("loyalty_percent"))
 
 
 # R30
@@ -188,7 +188,7 @@ def state_repeat_review_scores(customers: DataFrame, orders: DataFrame,
     rows = (order_rows.join(repeaters, "customer_unique_id", "left_semi")
             .join(reviews.select("order_id", "review_score"), "order_id"))
     return (rows.groupBy("customer_state")
-            .agg(rounded_ratio(F.sum("review_score"), F.count("review_score"))
+            .agg(rounded_ratio(F.sum("review_score"), F.count("review_score"), scales=(0, 0))
                  .alias("avg_review_score_repeat_customers"))
             .orderBy("customer_state"))
 

@@ -17,7 +17,6 @@ from tradelens.functions.bands import (
 )
 from tradelens.functions.numeric import (
     big,
-    mean_of,
     percent,
     round_half_up,
     rounded_ratio,
@@ -121,7 +120,7 @@ def order_value_vs_freight(items: DataFrame, orders: DataFrame,
         "order_id",
         F.col("value").cast("double").alias("total_order_value"),
         F.col("freight").cast("double").alias("freight_value"),
-        rounded_ratio(F.col("freight"), F.col("value"), 4).alias("freight_ratio"),
+        rounded_ratio(F.col("freight"), F.col("value"), 4, scales=(2, 2)).alias("freight_ratio"),
     )
 
 
@@ -138,8 +137,8 @@ def _freight_ratio_by(keys: list[str], value_vs_freight: DataFrame, orders: Data
                  round_half_up(F.avg(safe_ratio(F.col("freight_value"),
                                                 F.col("total_order_value"))),
                                RATIO_AVG_DIGITS).alias("avg_freight_ratio"),
-                 mean_of(F.sum(freight), F.count(freight), None).alias("avg_freight"),
-                 mean_of(F.sum(value), F.count(value), None).alias("avg_order_value"))
+                 safe_ratio(F.sum(freight), F.count(freight)).alias("avg_freight"),
+                 safe_ratio(F.sum(value), F.count(value)).alias("avg_order_value"))
             .orderBy(F.desc_nulls_last("avg_freight_ratio"), *keys))
 
 
@@ -172,9 +171,9 @@ def freight_by_state(items: DataFrame, orders: DataFrame, customers: DataFrame,
             .agg(round_half_up(freight, 2).alias("total_freight"),
                  big(days).alias("total_delivery_days"),
                  big(n).alias("total_orders"),
-                 rounded_ratio(freight, days).alias("avg_freight_per_day"),
-                 rounded_ratio(freight, n).alias("avg_freight_per_order"),
-                 rounded_ratio(days, n).alias("avg_delivery_days"))
+                 rounded_ratio(freight, days, scales=(2, 0)).alias("avg_freight_per_day"),
+                 rounded_ratio(freight, n, scales=(2, 0)).alias("avg_freight_per_order"),
+                 rounded_ratio(days, n, scales=(0, 0)).alias("avg_delivery_days"))
             .orderBy(F.desc_nulls_last("avg_freight_per_day"), "customer_state"))
 
 
@@ -186,7 +185,8 @@ def delivery_time_distribution(orders: DataFrame, bands=DELIVERY_BANDS,
               .agg(big(F.count(F.lit(1))).alias("orders_in_band")))
     return (counts.select("delivery_band", "orders_in_band",
                           percent(F.col("orders_in_band"),
-                                  F.sum("orders_in_band").over(Window.partitionBy()))
+                                  F.sum("orders_in_band").over(Window.partitionBy()),
+                                  scales=(0, 0))
                           .alias("percent_of_total"))
             .orderBy(band_order(F.col("delivery_band"), bands)))
 
@@ -201,7 +201,7 @@ def delivery_band_by_state(orders: DataFrame, customers: DataFrame, bands=DELIVE
               .agg(big(F.count(F.lit(1))).alias("orders_in_band")))
     state_total = F.sum("orders_in_band").over(Window.partitionBy("customer_state"))
     return (counts.select("customer_state", "delivery_band", "orders_in_band",
-                          percent(F.col("orders_in_band"), state_total)
+                          percent(F.col("orders_in_band"), state_total, scales=(0, 0))
                           .alias("percent_within_state"))
             .orderBy("customer_state", band_order(F.col("delivery_band"), bands)))
 
@@ -218,6 +218,7 @@ def approval_to_shipping_bands(orders: DataFrame, bands=SHIPPING_BANDS,
               .agg(big(F.count(F.lit(1))).alias("order_count")))
     return (counts.select("approval_to_shipping_band", "order_count",
                           percent(F.col("order_count"),
-                                  F.sum("order_count").over(Window.partitionBy()))
+                                  F.sum("order_count").over(Window.partitionBy()),
+                                  scales=(0, 0))
                           .alias("percentage_of_orders"))
             .orderBy(F.desc("order_count"), "approval_to_shipping_band"))

@@ -42,8 +42,9 @@ def payment_type_distribution(payments: DataFrame, orders: DataFrame,
         "payment_type",
         big("n").alias("num_transactions"),
         round_half_up(F.col("s"), 2).alias("total_revenue"),
-        mean_of(F.col("s"), F.col("nv")).alias("avg_payment_value"),
-        percent(F.col("n"), F.sum("n").over(_all_rows())).alias("percentage_of_transactions"),
+        mean_of(F.col("s"), F.col("nv"), scale=2).alias("avg_payment_value"),
+        percent(F.col("n"), F.sum("n").over(_all_rows()), scales=(0, 0))
+        .alias("percentage_of_transactions"),
     ).orderBy(F.desc("total_revenue"), "payment_type"))
 
 
@@ -55,7 +56,7 @@ def installment_distribution(payments: DataFrame, orders: DataFrame,
     return (g.select(
         "payment_installments",
         big("n").alias("count"),
-        percent(F.col("n"), F.sum("n").over(_all_rows())).alias("percentage"),
+        percent(F.col("n"), F.sum("n").over(_all_rows()), scales=(0, 0)).alias("percentage"),
     ).orderBy("payment_installments"))
 
 
@@ -72,9 +73,10 @@ def high_installment_revenue_share(payments: DataFrame, orders: DataFrame,
     return (g.select(
         "payment_installments",
         big("n").alias("count"),
-        mean_of(F.col("s"), F.col("nv")).alias("avg_value"),
+        mean_of(F.col("s"), F.col("nv"), scale=2).alias("avg_value"),
         round_half_up(F.col("s"), 2).alias("total_value"),
-        percent(F.col("s"), F.sum("s").over(_all_rows())).alias("percentage_of_total_revenue"),
+        percent(F.col("s"), F.sum("s").over(_all_rows()), scales=(2, 2))
+        .alias("percentage_of_total_revenue"),
     ).where(F.col("payment_installments") > threshold)
         .orderBy(F.desc("count"), "payment_installments"))
 
@@ -87,6 +89,6 @@ def state_payment_behavior(payments: DataFrame, orders: DataFrame,
             .join(customers.select("customer_id", "customer_state"), "customer_id")
             .groupBy("customer_state", "payment_type")
             .agg(big(F.count(F.lit(1))).alias("total_transactions"),
-                 mean_of(F.sum("payment_installments"), F.count("payment_installments"))
+                 mean_of(F.sum("payment_installments"), F.count("payment_installments"), scale=0)
                  .alias("avg_installments"))
             .orderBy(F.desc("total_transactions"), "customer_state", "payment_type"))

@@ -46,8 +46,8 @@ def single_item_orders(items: DataFrame, orders: DataFrame, products: DataFrame,
 def _price_freight_aggs() -> list[Column]:
     price = F.col("price").cast(_SUM_TYPE)
     freight = F.col("freight_value").cast(_SUM_TYPE)
-    return [mean_of(F.sum(price), F.count(price)).alias("avg_price"),
-            mean_of(F.sum(freight), F.count(freight)).alias("avg_freight")]
+    return [mean_of(F.sum(price), F.count(price), scale=2).alias("avg_price"),
+            mean_of(F.sum(freight), F.count(freight), scale=2).alias("avg_freight")]
 
 
 # R37
@@ -82,8 +82,8 @@ def cancelled_orders_by_category(orders: DataFrame, items: DataFrame, products:
             .join(category_of(products, translation), "product_id"))
     return (rows.groupBy(F.col("product_category_name_english").alias("category_name"))
             .agg(big(F.sum("item_rows")).alias("cancelled_order_count"),
-                 mean_of(F.sum("price_sum"), F.sum("price_n")).alias("avg_price"),
-                 mean_of(F.sum("freight_sum"), F.sum("freight_n")).alias("avg_freight"))
+                 mean_of(F.sum("price_sum"), F.sum("price_n"), scale=2).alias("avg_price"),
+                 mean_of(F.sum("freight_sum"), F.sum("freight_n"), scale=2).alias("avg_freight"))
             .orderBy(F.desc("cancelled_order_count"), "category_name"))
 
 
@@ -112,5 +112,5 @@ def cancelled_orders_by_state(orders: DataFrame, customers: DataFrame,
     return (g.select("customer_state",
                      big("cancelled").alias("cancelled_order_count"),
                      big(total).alias("total_orders"),
-                     percent(F.col("cancelled"), total).alias("cancellation_rate_percent"))
+                     percent(F.col("cancelled"), total, scales=(0, 0)).alias("cancellation_rate_percent"))
             .orderBy(F.desc_nulls_last("cancellation_rate_percent"), "customer_state"))

@@ -15,7 +15,7 @@ def _scored(reviews: DataFrame) -> DataFrame:
 
 
 def _avg_score(name: str = "avg_review_score"):
-    return rounded_ratio(F.sum("review_score"), F.count("review_score")).alias(name)
+    return rounded_ratio(F.sum("review_score"), F.count("review_score"), scales=(0, 0)).alias(name)
 
 
 # R23 -- review x item grain; untranslated categories form one NULL group.
@@ -32,7 +32,7 @@ def category_review_summary(reviews: DataFrame, orders: DataFrame, items: DataFr
             .join(category_of(products, translation), "product_id"))
     pairs = F.sum(F.col("item_rows") * F.col("reviews"))
     return (rows.groupBy(F.col("product_category_name_english").alias("category_name"))
-            .agg(rounded_ratio(F.sum(F.col("item_rows") * F.col("scores")), pairs)
+            .agg(rounded_ratio(F.sum(F.col("item_rows") * F.col("scores")), pairs, scales=(0, 0))
                  .alias("avg_review_score"),
                  big(pairs).alias("review_count"))
             .orderBy(F.desc_nulls_last("avg_review_score"), "category_name"))
@@ -58,7 +58,7 @@ def delivery_time_vs_review_score(reviews: DataFrame, orders: DataFrame) -> Data
                   .select("order_id", "purchase_time", "delivered_time"), "order_id")
             .withColumn("days", delivery_days()))
     return (rows.groupBy("review_score")
-            .agg(rounded_ratio(F.sum("days"), F.count("days")).alias("avg_delivery_days"),
+            .agg(rounded_ratio(F.sum("days"), F.count("days"), scales=(0, 0)).alias("avg_delivery_days"),
                  big(F.count(F.lit(1))).alias("review_count"))
             .orderBy("review_score"))
 

@@ -27,7 +27,7 @@ def _revenue_aggs(value: str, order_key: str, avg_name: str):
     return [
         round_half_up(F.sum(value), 2).alias("total_revenue"),
         big(F.countDistinct(order_key)).alias("total_orders"),
-        rounded_ratio(F.sum(value), F.countDistinct(order_key)).alias(avg_name),
+        rounded_ratio(F.sum(value), F.countDistinct(order_key), scales=(2, 0)).alias(avg_name),
     ]
 
 
@@ -137,8 +137,8 @@ def seller_revenue_review_summary(items: DataFrame, orders: DataFrame, reviews:
     return (rows.groupBy("seller_id")
             .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"),
                  big(n_orders).alias("total_orders"),
-                 rounded_ratio(F.sum("price_sum"), n_orders).alias("avg_revenue_per_order"),
+                 rounded_ratio(F.sum("price_sum"), n_orders, scales=(2, 0)).alias("avg_revenue_per_order"),
                  rounded_ratio(F.sum(F.col("n_items") * F.col("review_score")),
-                               F.sum(scored_items)).alias("avg_review_score"),
+                               F.sum(scored_items), scales=(0, 0)).alias("avg_review_score"),
                  big(F.countDistinct("review_id")).alias("review_count"))
             .orderBy(F.desc("total_revenue"), "seller_id"))

@@ -1,21 +1,19 @@
 """Money, rounding and ratio expressions shared by every report.
 
 All of them are plain Catalyst expressions, so they stay inside whole-stage
-codegen. The same arithmetic is written in the DuckDB oracle (plans/oracle.py)
-so both engines produce bit-identical doubles:
+codegen. The same arithmetic is written in the DuckDB oracle (plans/oracle.py),
+so both engines produce identical values:
 
 * money is summed as DECIMAL(18,2): exact and independent of summation order;
-* a ratio is computed as DOUBLE / DOUBLE (one IEEE division, identical anywhere;
-  a percentage scales its numerator by 100 exactly before converting);
-* rounding goes through DECIMAL(38,10) first, which removes binary noise such as
-  1.005 -> 1.00499999999999989 before a HALF_UP round (MySQL's rule for exact
-  values).
-
-Sums and amounts are exact. Rounded ratios of exact inputs (money sums,
-counts) use :func:`exact_ratio`: HALF_UP of the exact rational value by
-DECIMAL(38,0) remainder arithmetic, ties included at any magnitude (tested
-against Python's Decimal in tests/test_numeric.py); the SQL oracle does the
-same with HUGEINT. Only averages of DOUBLE ratios (R17, R18) stay DOUBLE.
+  a rounded sum goes through DECIMAL(38,10) and rounds half away from zero
+  (MySQL's rule for exact values);
+* a rounded ratio of exact inputs (money sums, counts) is :func:`exact_ratio`:
+  HALF_UP of the exact rational value by DECIMAL(38,0) remainder arithmetic
+  (HUGEINT in the oracle), ties included at any magnitude -- checked against
+  Python's Decimal in tests/test_numeric.py;
+* unrounded averages are one DOUBLE / DOUBLE division (identical in both
+  engines); only the averages of per-order DOUBLE ratios (R17, R18) are summed
+  as DOUBLE and therefore rounded to 8 digits.
 """
 
 from __future__ import annotations

@@ -92,3 +92,13 @@ def test_time_results_do_not_depend_on_session_time_zone(spark, duck, name):
         test_query_matches_oracle(spark, duck, name)
     finally:
         spark.conf.set("spark.sql.session.timeZone", previous)
+
+
+def test_scale_claims_hold_in_the_plans(spark):
+    q = queries()
+    top_k = q["review_word_frequency_by_score"](spark, SF)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "WindowGroupLimit" in top_k  # partial top-k before the exchange
+    for name in ("repeat_customer_gaps", "repeat_customer_order_stats"):
+        plan = q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan, name  # gaps by telescoping, no per-person window

@@ -39,10 +39,20 @@ def test_rebuild_on_arrival_appends_and_rebuilds(spark, tmp_path):
     def rebuild(orders):
         seen.append(sorted(tuple(x) for x in audits.order_status_histogram(orders).collect()))
 
-    q = rebuild_on_arrival(spark, incoming, SCHEMAS["orders"], table, rebuild,
-                           name=f"t{os.getpid()}{tmp_path.name}")
+    name = f"t{os.getpid()}{tmp_path.name}"
+    q = rebuild_on_arrival(spark, incoming, SCHEMAS["orders"], table, rebuild, name=name)
     q.awaitTermination(120)
     assert seen and seen[-1] == [("canceled", 1), ("delivered", 1)]
+    # a restart over the same files appends nothing (the checkpoint knows them);
+    # a new file is picked up and appended once
+    rebuild_on_arrival(spark, incoming, SCHEMAS["orders"], table, rebuild,
+                       name=name).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 2
+    make_roles(spark, orders=[order("o3", "c2")]).orders.write.mode("append").parquet(incoming)
+    rebuild_on_arrival(spark, incoming, SCHEMAS["orders"], table, rebuild,
+                       name=name).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 3
+    assert seen[-1] == [("canceled", 1), ("delivered", 2)]
 
 
 def test_read_roles_with_declared_schemas(spark, tmp_path):

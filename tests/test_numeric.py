@@ -66,3 +66,31 @@ def test_round_half_up_on_exact_decimals(spark):
     df = spark.createDataFrame([(Decimal(v),) for v in vals], "x decimal(20,7)")
     got = [r[0] for r in df.select(round_half_up(F.col("x"), 2)).collect()]
     assert got == [float(Decimal(v).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)) for v in vals]
+
+
+def test_bands_match_a_direct_statement_of_the_rule(spark):
+    from tradelens.functions.bands import (
+        DELIVERY_BANDS,
+        DELIVERY_OTHERWISE,
+        FREIGHT_BANDS,
+        FREIGHT_OTHERWISE,
+        band,
+    )
+
+    def expected(x, bands, otherwise):
+        if x is None:
+            return otherwise
+        for lo, hi, label in bands:
+            if (x < hi) if lo is None else (lo <= x <= hi):
+                return label
+        return otherwise
+
+    rng = random.Random(3)
+    values = [Decimal(rng.randrange(-500, 60000)) / 1000 for _ in range(3000)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "x decimal(10,3)")
+    got = [r[0] for r in df.select(band(F.col("x"), FREIGHT_BANDS, FREIGHT_OTHERWISE)).collect()]
+    assert got == [expected(v, FREIGHT_BANDS, FREIGHT_OTHERWISE) for v in values]
+    days = [rng.randrange(-5, 40) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(d,) for d in days], "d int")
+    got = [r[0] for r in df.select(band(F.col("d"), DELIVERY_BANDS, DELIVERY_OTHERWISE)).collect()]
+    assert got == [expected(d, DELIVERY_BANDS, DELIVERY_OTHERWISE) for d in days]

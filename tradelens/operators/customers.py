@@ -202,14 +202,17 @@ def state_loyalty_review_summary(loyalty: DataFrame, repeat_scores: DataFrame) -
 
 
 # R34 -- item rows (not distinct products) of persons with exactly one order.
+# One aggregate per person over their order rows (items counted per order
+# first) gives both the distinct order count and the item rows; persons whose
+# only order has no items vanish, as with the reference's inner join.
 def one_time_customer_product_distribution(customers: DataFrame, orders: DataFrame,
                                            items: DataFrame) -> DataFrame:
-    order_rows = order_persons(orders, customers)
-    one_time = persons_by_order_count(order_rows, lambda n: n == 1)
-    per_person = (order_rows.join(one_time, "customer_unique_id", "left_semi")
-                  .join(items_per_order(items).select("order_id", "item_rows"), "order_id")
+    per_person = (order_persons(orders, customers)
+                  .join(items_per_order(items).select("order_id", "item_rows"), "order_id", "left")
                   .groupBy("customer_unique_id")
-                  .agg(F.sum("item_rows").alias("products_in_order")))
+                  .agg(F.countDistinct("order_id").alias("orders"),
+                       F.sum("item_rows").alias("products_in_order"))
+                  .where((F.col("orders") == 1) & F.col("products_in_order").isNotNull()))
     return (per_person.groupBy(big("products_in_order").alias("products_in_order"))
             .agg(big(F.count(F.lit(1))).alias("customer_count"))
             .orderBy("products_in_order"))

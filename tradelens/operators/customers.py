@@ -147,8 +147,8 @@ def repeat_customer_order_stats(orders: DataFrame, customers: DataFrame,
 
 
 def _orders_per_person_and(customers: DataFrame, orders: DataFrame, key: str) -> DataFrame:
-    return (customers.select("customer_id", "customer_unique_id", key)
-            .join(orders.select("customer_id", "order_id"), "customer_id")
+    # Same join as R32's order rows, so R33 (R31 + R32) shares its exchanges.
+    return (order_persons(orders, customers, key)
             .groupBy("customer_unique_id", key)
             .agg(F.countDistinct("order_id").alias("order_count")))
 

@@ -26,7 +26,6 @@ from tradelens.operators.common import (
     FULFILLED,
     is_fulfilled,
     items_per,
-    person_order_counts,
 )
 from tradelens.operators.payments import HIGH_INSTALLMENTS
 
@@ -264,13 +263,16 @@ def top_state(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return orders_by_state(orders, customers).limit(1).select("customer_state")
 
 
-# A25
+# A25 -- persons with more than one order and at least one cancelled order,
+# from one per-person aggregate (no semi join back to the order rows); a NULL
+# person is not counted, as COUNT(DISTINCT) skips it.
 def repeat_customers_with_cancellations(customers: DataFrame, orders: DataFrame,
                                         canceled: str = "canceled") -> DataFrame:
-    repeaters = person_order_counts(customers, orders).where(F.col("total_orders") > 1)
-    return (customers.select("customer_id", "customer_unique_id")
-            .join(repeaters.select("customer_unique_id"), "customer_unique_id", "left_semi")
-            .join(orders.where(F.col("order_status") == canceled).select("customer_id"),
-                  "customer_id")
-            .agg(big(F.countDistinct("customer_unique_id"))
-                 .alias("repeat_customers_with_cancellations")))
+    per_person = (orders.select("order_id", "customer_id", "order_status")
+                  .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+                  .groupBy("customer_unique_id")
+                  .agg(F.countDistinct("order_id").alias("n"),
+                       F.max((F.col("order_status") == canceled).cast("int")).alias("cancelled")))
+    return (per_person.where((F.col("n") > 1) & (F.col("cancelled") == 1)
+                             & F.col("customer_unique_id").isNotNull())
+            .agg(big(F.count(F.lit(1))).alias("repeat_customers_with_cancellations")))

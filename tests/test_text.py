@@ -21,7 +21,7 @@ def test_tokens_match_python_rules(spark):
 def test_stop_words_and_top_k_ties(spark):
     rows = [(5, "zeta beta alpha the"), (5, "beta alpha zeta"), (1, None)]
     df = spark.createDataFrame(rows, "review_score int, full_review_text string")
-    top = text_mining.review_word_frequency_by_score(df, default_stop_words(spark), k=2)
+    top = text_mining.review_word_frequency_by_score(df, default_stop_words(), k=2)
     assert [tuple(r) for r in top.collect()] == [(1, "nan", 1), (5, "alpha", 2), (5, "beta", 2)]
 
 
@@ -59,7 +59,7 @@ def test_csv_hand_off_end_to_end(spark, tmp_path):
     text_path, out_path = str(tmp_path / "review_text"), str(tmp_path / "words")
     write_csv(review_text_by_score(reviews), text_path)
     top = text_mining.review_word_frequency_by_score(read_csv(spark, text_path),
-                                                     default_stop_words(spark), k=2)
+                                                     default_stop_words(), k=2)
     text_mining.export_word_frequency(top, out_path)
     back = [tuple(r) for r in read_csv(spark, out_path, WORD_FREQUENCY_SCHEMA)
             .orderBy("review_score", F.desc("count"), "word").collect()]

@@ -170,9 +170,9 @@ _q("cancelled_orders_by_state")(
 
 # --- text mining (T01-T08): review text -> words -> top 10 per score ------
 _q("review_word_counts")(lambda r, s: text_mining.word_count_by_score(
-    rev.review_text_by_score(r.reviews), default_stop_words(s)))
+    rev.review_text_by_score(r.reviews), default_stop_words()))
 _q("review_word_frequency_by_score")(lambda r, s: text_mining.review_word_frequency_by_score(
-    rev.review_text_by_score(r.reviews), default_stop_words(s)))
+    rev.review_text_by_score(r.reviews), default_stop_words()))
 
 
 FLAGSHIP = "monthly_orders_revenue_summary"

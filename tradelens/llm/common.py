@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import tradelens
 
 
 def use_shared_checkpoints(spark: SparkSession) -> None:
@@ -35,3 +43,25 @@ def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for ``df`` only if a count shows at most ``max_rows`` rows;
     beyond that the join it goes into shuffles. Give it a checkpointed table."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this library: the package goes to the executors as a
+    zip file, as ``--py-files`` would send it, once per application. The driver
+    serves the file as long as it lives."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        own = _SHIPPED[sc.applicationId] = tempfile.TemporaryDirectory(prefix="tradelens-code-")
+        root = Path(tradelens.__file__).resolve().parent
+        tree = Path(own.name) / "tree"
+        shutil.copytree(root, tree / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(Path(own.name) / "tradelens_code"), "zip", tree))
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with this library importable on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -85,21 +85,24 @@ def _block_value(fp: str, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
+def _block_values(k: int, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(k).alias("block"), v.alias("value")))
+
+
+def _ball(own: Column, width: int, radius: int) -> Column:
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= radius)
+    return F.transform(masks, lambda m: own.bitwiseXOR(m))
+
+
 def _block_rows(df: DataFrame, parts: int, radius: int | None = None) -> DataFrame:
     """Explode ``df`` to one row per block value of ``fp``; with a radius, per value
     in the Hamming balls that guarantee to meet it."""
     listed = []
     for k, (low, width) in enumerate(blocks(BITS, parts)):
         own = _block_value("fp", low, width)
-        if radius is None:
-            values = F.array(own)
-        else:
-            r = radius // parts - (0 if k <= radius % parts else 1)
-            if r < 0:
-                continue
-            ball = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m, r=r: F.bit_count(m) <= r)
-            values = F.transform(ball, lambda m, own=own: own.bitwiseXOR(m))
-        listed.append(F.transform(values, lambda v, k=k: F.struct(F.lit(k).alias("block"), v.alias("value"))))
+        r = 0 if radius is None else radius // parts - (0 if k <= radius % parts else 1)
+        if r >= 0:
+            listed.append(_block_values(k, F.array(own) if radius is None else _ball(own, width, r)))
     return df.select("*", F.explode(F.concat(*listed)).alias("b")).select("*", "b.block", "b.value").drop("b")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import text_or_empty
+from tradelens.llm.common import map_arrow, text_or_empty
 
 WAYS = "0123456789abcdef"  # one spill file per hex digit
 
@@ -136,9 +136,9 @@ def _classes(docs: DataFrame, rows: DataFrame, schema: str | None, window_bytes:
         for t in grace(batches, bucket_bytes):
             yield from t.select(out_names).to_batches()
 
-    partial = rows.mapInArrow(combine, rows.schema)
+    partial = map_arrow(rows, combine, rows.schema)
     out = rows.schema if carry else rows.select(*out_names).schema
-    return partial.repartition("key").mapInArrow(finish, out)
+    return map_arrow(partial.repartition("key"), finish, out)
 
 
 def _records(docs: DataFrame, *more) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, text_or_empty
+from tradelens.llm.common import cut, map_arrow, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5  # characters of an n-gram
@@ -125,8 +125,7 @@ def fit(docs: DataFrame, sample_per_language: int = 1500, max_words: int = 60_00
         yield pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "word": [r[1] for r in rows],
                                           "n": pa.array([r[2] for r in rows], pa.int64())})
 
-    counted = (training_sample(docs, sample_per_language)
-               .mapInArrow(count, "lang string, word string, n long")
+    counted = (map_arrow(training_sample(docs, sample_per_language), count, "lang string, word string, n long")
                .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     per_word = cut(counted.groupBy("word").agg(F.sum("n").alias("total"),
                                                F.collect_list(F.struct("lang", "n")).alias("by")))
@@ -186,7 +185,7 @@ def predict_rows(docs: DataFrame, model: Model, text_col: str = "text",
             else:
                 yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= min_score for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):

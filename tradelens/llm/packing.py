@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, text_or_empty
+from tradelens.llm.common import cut, map_arrow, text_or_empty
 
 # ---- tokens ---------------------------------------------------------------
 
@@ -104,8 +104,8 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, size: int, end_id: int = 0)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-            .mapInArrow(run, PIECE))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")),
+                     run, PIECE)
 
 
 # ---- the plan -------------------------------------------------------------

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, text_or_empty
+from tradelens.llm.common import cut, map_arrow, text_or_empty
 from tradelens.llm.components import connected_components
 
 BITS = 64
@@ -62,8 +62,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             signed = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), signed], names=["doc_id", "fp"])
 
-    return (docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")),
+                     run, "doc_id long, fp long")
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -78,6 +78,11 @@ def _longs(values: list[int]):
     return F.array(*[F.lit(_as_long(v)).cast("long") for v in values])
 
 
+def _raised(value, masks: list[int]):
+    """The values of a ball around ``value`` that are not below it."""
+    return F.filter(F.transform(_longs(masks), lambda m: value.bitwiseXOR(m)), lambda x: x >= value)
+
+
 def links(nodes: DataFrame, max_distance: int = 3, segments: int = 2,
           dense_bucket: int = 2048) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints (column ``fp``) that join the
@@ -97,10 +102,8 @@ def links(nodes: DataFrame, max_distance: int = 3, segments: int = 2,
         rest = F.col("fp").bitwiseAND(F.lit(_as_long(((1 << 64) - 1) ^ (((1 << width) - 1) << low))).cast("long"))
         seg = F.lit(s).cast("int").alias("seg")
         own.append(nodes.select(seg, value.alias("value"), "fp", rest.alias("rest")))
-        ball = F.filter(F.transform(_longs(_masks(width, radius)), lambda m, v=value: v.bitwiseXOR(m)),
-                        lambda x, v=value: x >= v)
         probes.append(nodes.select(seg, "fp", rest.alias("rest"), value.alias("from_value"),
-                                   F.explode(ball).alias("value")))
+                                   F.explode(_raised(value, _masks(width, radius))).alias("value")))
     own, probes = _union(own), _union(probes)
 
     dense = cut(own.groupBy("seg", "value").agg(F.count("*").alias("members"))

@@ -156,13 +156,13 @@ again AS (
   SELECT doc_id, pos FROM windows WHERE doc_id IS NOT NULL
   QUALIFY min(doc_id) OVER (PARTITION BY fifty) < doc_id),
 gone AS (
-  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS at FROM again),
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS nth FROM again),
 numbered AS (
-  SELECT doc_id, unnest(range(1, len(words) + 1)) AS at, unnest(words) AS word FROM texts),
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS nth, unnest(words) AS word FROM texts),
 kept AS (
-  SELECT n.doc_id, count(*) AS n_words, count(g.at) AS n_removed,
-         string_agg(word, ' ' ORDER BY n.at) FILTER (g.at IS NULL) AS kept_text
-  FROM numbered n LEFT JOIN gone g USING (doc_id, at) GROUP BY n.doc_id)
+  SELECT n.doc_id, count(*) AS n_words, count(g.nth) AS n_removed,
+         string_agg(word, ' ' ORDER BY n.nth) FILTER (g.nth IS NULL) AS kept_text
+  FROM numbered n LEFT JOIN gone g USING (doc_id, nth) GROUP BY n.doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)"""

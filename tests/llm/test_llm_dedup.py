@@ -1,0 +1,156 @@
+"""Exact dedup, SimHash near-dedup and components against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pyarrow as pa
+import pytest
+from helpers import brute_components, docs_frame, odd_rows, words
+
+from tradelens.llm import exact_dedup, simhash_dedup
+from tradelens.llm.components import connected_components
+
+
+def test_exact_classes_of_odd_rows(spark):
+    rows = odd_rows(random.Random(1))
+    got = [tuple(r) for r in exact_dedup.duplicate_classes(docs_frame(spark, rows)).collect()]
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[text or ""].append(doc_id)
+    expected = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        expected += [(i, keep, len(ids), i == keep, digest) for i in ids]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_exact_keep_rows_keeps_one_whole_row(spark):
+    rows = odd_rows(random.Random(2))
+    docs = docs_frame(spark, rows)
+    kept = exact_dedup.keep_rows(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    got = kept.collect()
+    assert sorted((r.text or "") for r in got) == sorted({t or "" for _, t in rows})
+    assert {r.doc_id for r in got if r.text == rows[2][1]} == {4}
+    assert all(r["n"] == 2 and r["key"] == 0 for r in got)
+
+
+def test_exact_empty_table(spark):
+    empty = docs_frame(spark, [])
+    assert exact_dedup.duplicate_classes(empty).collect() == []
+    assert exact_dedup.keep_rows(empty).collect() == []
+
+
+def _table(rows):
+    keys = [hashlib.sha256(t.encode()).hexdigest() for _, t in rows]
+    return pa.table({"key": keys, "id": pa.array([i for i, _ in rows], pa.int64()),
+                     "n": pa.array([1] * len(rows), pa.int64()), "text": [t for _, t in rows]})
+
+
+@pytest.mark.parametrize("bucket", [200, 5_000, 10 ** 9])
+def test_grace_spills_and_still_folds(bucket):
+    rng = random.Random(3)
+    rows = [(i, f"text {rng.randrange(300)} " * 3) for i in range(3000)]
+    batches = _table(rows).to_batches(max_chunksize=100)
+    found = pa.concat_tables(exact_dedup.grace(iter(batches), bucket)).to_pylist()
+    expected = defaultdict(list)
+    for i, t in rows:
+        expected[t].append(i)
+    assert {r["text"]: (r["id"], r["n"]) for r in found} == {t: (max(v), len(v)) for t, v in expected.items()}
+    assert len(found) == len(expected)
+
+
+def test_grace_with_one_text_over_the_limit():
+    rows = [(i, "same " * 1000) for i in range(50)]
+    found = pa.concat_tables(exact_dedup.grace(iter(_table(rows).to_batches(max_chunksize=5)), 1000)).to_pylist()
+    assert [(r["id"], r["n"]) for r in found] == [(49, 50)]
+
+
+def test_fold_notices_two_texts_with_one_digest():
+    rows = _table([(1, "a"), (2, "b")]).set_column(0, "key", pa.array(["0" * 64, "0" * 64]))
+    with pytest.raises(exact_dedup.DigestCollision):
+        exact_dedup.fold(rows)
+
+
+def _brute_groups(rows, distance=3):
+    fps = {k: simhash_dedup.fingerprint(t or "", 3, 42) for k, (_, t) in enumerate(rows)}
+    roots = brute_components(fps, distance)
+    smallest = {}
+    for k, root in roots.items():
+        if rows[k][0] is not None:
+            smallest[root] = min(smallest.get(root, rows[k][0]), rows[k][0])
+    return [(rows[k][0], format(fps[k], "016x"), smallest.get(roots[k])) for k in fps]
+
+
+def test_fingerprint_by_its_definition():
+    import xxhash
+
+    text = "The quick\tBrown  fox jumps\x0bÀ la"
+    w = ["the", "quick", "brown", "fox", "jumps", "À", "la"]
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i:i + 3]).encode(), seed=42) for i in range(5)]
+    expected = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 5)
+    assert simhash_dedup.fingerprint(text, 3, 42) == expected
+    assert simhash_dedup.fingerprint("a  b", 3, 42) == xxhash.xxh64_intdigest(b"a b", seed=42)
+    assert simhash_dedup.fingerprint(" \n", 3, 42) == 0
+
+
+@pytest.mark.parametrize("dense", [2048, 1])
+def test_near_groups_against_all_pairs(spark, dense):
+    rng = random.Random(4)
+    rows = odd_rows(rng)
+    for g in range(12):  # families of texts that differ in a few words
+        base = words(rng, 200)
+        for k in range(15):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = "x"
+            rows.append((100 + 20 * g + k, " ".join(copy)))
+    got = simhash_dedup.near_duplicate_groups(docs_frame(spark, rows), dense_bucket=dense)
+    found = [(r.doc_id, r.fingerprint, r.component_id) for r in got.collect()]
+    assert sorted(found, key=str) == sorted(_brute_groups(rows), key=str)
+
+
+@pytest.mark.parametrize("dense", [2048, 2])
+@pytest.mark.parametrize("distance,segments", [(3, 2), (5, 3), (1, 2)])
+def test_links_find_every_pair_within_the_distance(spark, distance, segments, dense):
+    rng = random.Random(distance)
+    fps = set()
+    for _ in range(20):
+        centre = rng.getrandbits(64)
+        for _ in range(12):
+            fps.add(centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(4))}))
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    nodes = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
+    edges = simhash_dedup.links(nodes, distance, segments, dense_bucket=dense)
+    found = {frozenset((r.a, r.b)) for r in edges.collect()}
+    near = {frozenset((signed[a], signed[b])) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= distance}
+    if dense == 2048:
+        assert found == near
+    else:
+        assert found <= near
+    roots = {r.node: r.root for r in connected_components(edges).collect()}
+    brute = brute_components({v: f for f, v in signed.items()}, distance)
+    assert {v: roots.get(v, v) for v in signed.values()} == brute
+
+
+def test_keep_one_per_group(spark):
+    rng = random.Random(5)
+    rows = odd_rows(rng)
+    docs = docs_frame(spark, rows)
+    kept = simhash_dedup.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    groups = _brute_groups(rows)
+    stays = {i for i, _, c in groups if i == c}
+    assert set(ids) == stays and 4 not in ids and ids.count(3) == 1
+    assert simhash_dedup.keep_one_per_group(docs_frame(spark, [])).collect() == []
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 150)] + [(5000, 5000), (None, 3)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(150)}}

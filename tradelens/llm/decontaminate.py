@@ -183,4 +183,4 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle: int = 5
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns, without the documents that contain a benchmark item."""
     leaked = cut(contaminated_windows(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(leaked["__leaked"]), "left_anti")

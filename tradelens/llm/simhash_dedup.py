@@ -184,4 +184,5 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 3, max_distance: int = 3)
     gone = (groups.groupBy("doc_id")
             .agg(F.every(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes"))
             .where("goes").select(F.col("doc_id").alias("__gone")))
-    return docs.join(cut(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = cut(gone)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")

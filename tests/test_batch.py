@@ -6,11 +6,9 @@ from decimal import Decimal
 import pytest
 from conftest import make_roles, order
 
-from tradelens.operators import audits
 from tradelens.plans.batch import materialise_roles, run_reports
 from tradelens.plans.catalog import REPORTS
 from tradelens.sources.roles import SCHEMAS, bind_test_tables
-from tradelens.streaming.rebuild import rebuild_on_arrival
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_bucketed_roles_give_the_same_reports(spark, tmp_path):
     raw = bind_test_tables(spark, SF)
-    mat = materialise_roles(spark, raw, buckets=4)
+    mat = materialise_roles(spark, raw, 4, str(tmp_path / "roles"))
     names = ["seller_revenue_review_summary", "state_freight_bucket_summary",
              "repeat_customer_order_stats", "cancelled_orders_by_state"]
     for name in names:
@@ -30,31 +28,6 @@ def test_bucketed_roles_give_the_same_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / names[0])).count() > 0
 
 
-def test_rebuild_on_arrival_appends_and_rebuilds(spark, tmp_path):
-    incoming, table = str(tmp_path / "incoming"), str(tmp_path / "orders")
-    r = make_roles(spark, orders=[order("o1", "c1"), order("o2", "c1", status="canceled")])
-    r.orders.write.parquet(incoming)
-    seen = []
-
-    def rebuild(orders):
-        seen.append(sorted(tuple(x) for x in audits.order_status_histogram(orders).collect()))
-
-    name = f"t{os.getpid()}{tmp_path.name}"
-    q = rebuild_on_arrival(spark, incoming, SCHEMAS["orders"], table, rebuild, name=name)
-    q.awaitTermination(120)
-    assert seen and seen[-1] == [("canceled", 1), ("delivered", 1)]
-    # a restart over the same files appends nothing (the checkpoint knows them);
-    # a new file is picked up and appended once
-    rebuild_on_arrival(spark, incoming, SCHEMAS["orders"], table, rebuild,
-                       name=name).awaitTermination(120)
-    assert spark.read.parquet(table).count() == 2
-    make_roles(spark, orders=[order("o3", "c2")]).orders.write.mode("append").parquet(incoming)
-    rebuild_on_arrival(spark, incoming, SCHEMAS["orders"], table, rebuild,
-                       name=name).awaitTermination(120)
-    assert spark.read.parquet(table).count() == 3
-    assert seen[-1] == [("canceled", 1), ("delivered", 2)]
-
-
 def test_read_roles_with_declared_schemas(spark, tmp_path):
     from tradelens.operators import sales
     from tradelens.sources.roles import read_roles

@@ -10,7 +10,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tradelens.plans.catalog import REGISTRY
+from tradelens.plans.oracle import build_oracle
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -27,6 +29,19 @@ def duck():
     return con
 
 
+def queries():
+    return REGISTRY
+
+
+def oracle_sql():
+    return build_oracle()
+
+
+# DuckDB's type of each Spark type a report may return.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+         "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def _norm(v):
     if isinstance(v, (int, decimal.Decimal)) and not isinstance(v, bool):
         return float(v)
@@ -49,6 +64,8 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
     order = [rel.columns.index(c) for c in sdf.columns]
+    assert [TYPES.get(t, t.upper().replace(" ", "")) for _, t in sdf.dtypes] == \
+        [str(rel.types[i]).replace(" ", "") for i in order]
     s_rows = [tuple(_norm(v) for v in r) for r in sdf.collect()]
     d_rows = [tuple(_norm(r[i]) for i in order) for r in rel.fetchall()]
     assert _sorted(s_rows) == _sorted(d_rows)

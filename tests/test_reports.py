@@ -47,7 +47,7 @@ def test_zero_value_order(spark):
     )
     ovf = freight.order_value_vs_freight(r.items, r.orders)
     assert rows(ovf, "order_id", "freight_ratio") == [("o1", None), ("o2", 0.2)]
-    by_state = freight.freight_ratio_by_state(ovf, r.orders, r.customers).collect()[0]
+    by_state = freight.freight_ratio_by_state(r.items, r.orders, r.customers).collect()[0]
     assert by_state["total_orders"] == 2          # counted ...
     assert by_state["avg_freight_ratio"] == 0.2   # ... but skipped in the ratio average
     assert by_state["avg_freight"] == 3.5

@@ -29,7 +29,7 @@ def test_order_gaps_with_a_hot_person_spanning_partitions(spark):
     orders, customers = _skewed_orders(rng)
     r = make_roles(spark, orders=orders, customers=customers)
     got = {(row["order_id"]): row["prev_purchase_time"]
-           for row in cust.order_gaps(r.orders, r.customers, partitions=6).collect()}
+           for row in cust.order_gaps(r.orders.repartition(6), r.customers).collect()}
 
     person = {c[0]: c[1] for c in customers}
     by_person = defaultdict(list)

@@ -8,7 +8,7 @@ translation, customers, sellers, reviews -- read with the declared schemas of
 ``sources.roles.SCHEMAS`` (CSV with a header row). Every report is written as
 Parquet to OUT/<report name>, replacing what was there (the original script's
 DROP TABLE + CREATE TABLE AS). ``--buckets N`` first writes the roles as
-order_id-bucketed tables under spark.checkpoint.dir so the order-keyed joins
+order_id-bucketed tables in the shared folder so the order-keyed joins
 of all reports run without shuffling those tables again.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 
 from tradelens.plans.batch import materialise_roles, run_reports
 from tradelens.plans.catalog import REPORTS
-from tradelens.session import SQL_DEFAULTS, ensure_checkpoint_dir
+from tradelens.session import SQL_DEFAULTS, shared_folder
 from tradelens.sources.roles import SCHEMAS, read_roles
 
 
@@ -49,12 +49,9 @@ def main(argv: list[str] | None = None) -> int:
     for key, value in SQL_DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    options = {"header": "true", "multiLine": "true", "escape": '"'} if args.format == "csv" else {}
-    roles = read_roles(spark, {r: f"{args.roles.rstrip('/')}/{r}" for r in SCHEMAS},
-                       fmt=args.format, **options)
+    roles = read_roles(spark, {r: f"{args.roles.rstrip('/')}/{r}" for r in SCHEMAS}, fmt=args.format)
     if args.buckets:
-        roles = materialise_roles(spark, roles, args.buckets)
+        roles = materialise_roles(spark, roles, args.buckets, shared_folder(spark))
     for name in run_reports(spark, roles, args.out, names, concurrent_jobs=args.jobs):
         print(f"wrote {args.out.rstrip('/')}/{name}")
     return 0

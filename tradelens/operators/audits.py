@@ -11,7 +11,7 @@ sort-merge semi/anti join on it needs no further shuffle of that side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.bands import (
@@ -24,9 +24,12 @@ from tradelens.functions.bands import (
 from tradelens.functions.numeric import big, mean_of, percent, round_half_up, year_month
 from tradelens.operators.common import (
     FULFILLED,
+    fulfilled_payments,
     is_fulfilled,
-    items_per,
+    matched_in_salts,
+    more_than_one,
 )
+from tradelens.operators.freight import delivery_days, has_delivery_times
 from tradelens.operators.payments import HIGH_INSTALLMENTS
 
 
@@ -80,7 +83,7 @@ def order_payment_detail(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 # A05
 def payments_without_orders(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    return payments.join(keys_of(orders, "order_id"), "order_id", "left_anti").select("order_id")
+    return matched_in_salts(payments.select("order_id"), orders, "order_id", "left_anti")
 
 
 # A06
@@ -107,20 +110,15 @@ def order_status_histogram(orders: DataFrame) -> DataFrame:
             .orderBy(F.desc("total_orders"), "order_status"))
 
 
-def _fulfilled_payments(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return payments.join(orders.where(is_fulfilled(statuses)).select("order_id", "purchase_time"),
-                         "order_id")
-
-
 # A10
 def total_revenue(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return _fulfilled_payments(orders, payments, statuses).agg(
+    return fulfilled_payments(payments, orders, statuses, "purchase_time").agg(
         round_half_up(F.sum("payment_value"), 2).alias("total_revenue"))
 
 
 # A11
 def revenue_by_year(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return (_fulfilled_payments(orders, payments, statuses)
+    return (fulfilled_payments(payments, orders, statuses, "purchase_time")
             .groupBy(big(F.year("purchase_time")).alias("year"))
             .agg(round_half_up(F.sum("payment_value"), 2).alias("revenue"))
             .orderBy("year"))
@@ -128,7 +126,7 @@ def revenue_by_year(orders: DataFrame, payments: DataFrame, statuses=FULFILLED)
 
 # A12
 def revenue_by_month(orders: DataFrame, payments: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return (_fulfilled_payments(orders, payments, statuses)
+    return (fulfilled_payments(payments, orders, statuses, "purchase_time")
             .groupBy(year_month("purchase_time").alias("month"))
             .agg(round_half_up(F.sum("payment_value"), 2).alias("total_revenue"))
             .orderBy("month"))
@@ -144,17 +142,14 @@ def sellers_with_no_sales(sellers: DataFrame, items: DataFrame) -> DataFrame:
 # A14
 def sellers_with_only_unfulfilled_orders(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                                          statuses=FULFILLED) -> DataFrame:
-    # Items are combined per (seller, order) first; the sellers join only tests
-    # membership (a repeated seller row cannot turn a zero into a non-zero).
-    per_seller = (
-        items_per(items, "seller_id", "order_id").select("seller_id", "order_id", "item_rows")
-        .join(sellers.select("seller_id"), "seller_id", "left_semi")
-        .join(orders.select("order_id", "order_status"), "order_id")
-        .groupBy("seller_id")
-        .agg(F.sum(F.when(is_fulfilled(statuses), F.col("item_rows")).otherwise(0))
-             .alias("fulfilled_rows"))
-    )
+    # One row per seller before membership is tested (a repeated seller row
+    # cannot turn a zero into a non-zero).
+    per_seller = (items.select("order_id", "seller_id")
+                  .join(orders.select("order_id", "order_status"), "order_id")
+                  .groupBy("seller_id")
+                  .agg(F.count_if(is_fulfilled(statuses)).alias("fulfilled_rows")))
     return (per_seller.where(F.col("fulfilled_rows") == 0)
+            .join(keys_of(sellers, "seller_id"), "seller_id", "left_semi")
             .agg(big(F.count(F.lit(1))).alias("sellers_with_only_unfulfilled_orders")))
 
 
@@ -206,26 +201,18 @@ def orders_without_items(orders: DataFrame, items: DataFrame) -> DataFrame:
             .agg(big(F.count(F.lit(1))).alias("orders_without_items")))
 
 
-# A20
+# A20 -- a bestseller's items are dealt over several tasks.
 def orders_with_unmatched_products(items: DataFrame, products: DataFrame) -> DataFrame:
-    return (items.join(keys_of(products, "product_id"), "product_id", "left_anti")
+    return (matched_in_salts(items.select("order_id", "product_id"), products, "product_id", "left_anti")
             .agg(big(F.countDistinct("order_id")).alias("unmatched_orders")))
 
 
-def _delivery_days() -> Column:
-    return F.datediff(F.col("delivered_time"), F.col("purchase_time"))
-
-
-def _has_delivery_times() -> Column:
-    return F.col("delivered_time").isNotNull() & F.col("purchase_time").isNotNull()
-
-
 # A21 -- one pass: band every delivered order (orders up to the threshold form
 # their own group so the denominator is the sum over all groups), then drop
 # that group. The window runs over at most five aggregated rows.
 def late_delivery_bands(orders: DataFrame, after_days: int = LATE_AFTER_DAYS) -> DataFrame:
-    days = _delivery_days()
-    banded = orders.where(_has_delivery_times()).select(
+    days = delivery_days()
+    banded = orders.where(has_delivery_times()).select(
         F.when(days > after_days, band(days, LATE_DELIVERY_BANDS, LATE_DELIVERY_OTHERWISE))
         .alias("delivery_band"))
     counts = banded.groupBy("delivery_band").agg(big(F.count(F.lit(1))).alias("orders_in_band"))
@@ -238,8 +225,9 @@ def late_delivery_bands(orders: DataFrame, after_days: int = LATE_AFTER_DAYS) ->
 
 # A22
 def orders_with_unknown_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    return (orders.join(keys_of(customers, "customer_id"), "customer_id", "left_anti")
-            .agg(big(F.countDistinct("customer_id")).alias("unknown_customer_ids")))
+    return (keys_of(orders, "customer_id")
+            .join(keys_of(customers, "customer_id"), "customer_id", "left_anti")
+            .agg(big(F.count(F.lit(1))).alias("unknown_customer_ids")))
 
 
 # A23 -- a sample by definition: the first k repeated persons in key order.
@@ -271,8 +259,8 @@ def repeat_customers_with_cancellations(customers: DataFrame, orders: DataFrame,
     per_person = (orders.select("order_id", "customer_id", "order_status")
                   .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
                   .groupBy("customer_unique_id")
-                  .agg(F.countDistinct("order_id").alias("n"),
+                  .agg(more_than_one("order_id").alias("repeat"),
                        F.max((F.col("order_status") == canceled).cast("int")).alias("cancelled")))
-    return (per_person.where((F.col("n") > 1) & (F.col("cancelled") == 1)
+    return (per_person.where(F.col("repeat") & (F.col("cancelled") == 1)
                              & F.col("customer_unique_id").isNotNull())
             .agg(big(F.count(F.lit(1))).alias("repeat_customers_with_cancellations")))

@@ -23,22 +23,27 @@ def is_fulfilled(statuses: Sequence[str] = FULFILLED, col: str = "order_status")
     return F.col(col).isin(*statuses)
 
 
+def fulfilled_payments(payments: DataFrame, orders: DataFrame, statuses: Sequence[str],
+                       *order_cols: str) -> DataFrame:
+    """Payment lines of fulfilled orders."""
+    return payments.join(orders.where(is_fulfilled(statuses)).select("order_id", *order_cols),
+                         "order_id")
+
+
 def order_persons(orders: DataFrame, customers: DataFrame, *customer_cols: str) -> DataFrame:
     """order_id, customer_unique_id (+ ``customer_cols``): every order row
-    joined to the person behind it. A report that needs these rows twice (for
-    per-person order counts and for its own rows) builds them once, so the
-    orders x customers join and its exchanges are shared."""
+    joined to the person behind it."""
     return (orders.select("order_id", "customer_id")
             .join(customers.select("customer_id", "customer_unique_id", *customer_cols),
                   "customer_id")
             .select("order_id", "customer_unique_id", *customer_cols))
 
 
-def persons_by_order_count(rows: DataFrame, keep) -> DataFrame:
-    """customer_unique_id of persons whose distinct order count in ``rows``
-    satisfies ``keep`` (a function of that count column)."""
-    counts = rows.groupBy("customer_unique_id").agg(F.countDistinct("order_id").alias("n"))
-    return counts.where(keep(F.col("n"))).select("customer_unique_id")
+def more_than_one(key: str) -> Column:
+    """Aggregate: is there more than one distinct non-NULL ``key``? Unlike a
+    distinct count it is a plain partial aggregate, so a person with a huge
+    share of the orders is combined before the shuffle."""
+    return F.coalesce(F.min(key) != F.max(key), F.lit(False))
 
 
 def person_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -53,6 +58,27 @@ def person_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
             .agg(big(F.countDistinct("order_id")).alias("total_orders")))
 
 
+def reviews_per_order(reviews: DataFrame) -> DataFrame:
+    """order_id -> review_rows, score_sum, scored (reviews with a score)."""
+    return (reviews.groupBy("order_id")
+            .agg(F.count(F.lit(1)).alias("review_rows"), F.sum("review_score").alias("score_sum"),
+                 F.count("review_score").alias("scored")))
+
+
+def matched_in_salts(left: DataFrame, keys: DataFrame, key: str, how: str, salts: int = 16) -> DataFrame:
+    """``left`` semi- or anti-joined with the distinct values of ``key`` in
+    ``keys``, where one value may hold a large part of ``left``: rows are dealt
+    over ``salts`` copies of each key value, so a hot value fills that many
+    tasks. Rows without a key never enter the shuffle (they would all meet in
+    one task): a semi join drops them, an anti join keeps them."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    dealt = keys.select(key).where(F.col(key).isNotNull()).distinct().select(
+        key, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("__salt"))
+    keyed = left.where(F.col(key).isNotNull()).withColumn("__salt", salt)
+    joined = keyed.join(dealt, [key, "__salt"], how).select(*left.columns)
+    return joined.unionByName(left.where(F.col(key).isNull())) if how == "left_anti" else joined
+
+
 def category_of(products: DataFrame, translation: DataFrame) -> DataFrame:
     """product_id -> product_category_name, english name (LEFT: untranslated kept as NULL)."""
     return (products.select("product_id", "product_category_name")
@@ -60,18 +86,17 @@ def category_of(products: DataFrame, translation: DataFrame) -> DataFrame:
                   "product_category_name", "left"))
 
 
-def items_per(items: DataFrame, *keys: str) -> DataFrame:
-    """Item aggregates per ``keys`` (order, order + product, product, ...):
-    item_rows, price_sum / price_n, freight_sum / freight_n, freight_max.
+def items_per(items: DataFrame, key: str) -> DataFrame:
+    """Item aggregates per ``key`` (order or product): item_rows, price_sum /
+    price_n, freight_sum / freight_n, freight_max.
 
-    Reports that group items by something the keys determine aggregate items
-    *before* joining: the partial aggregate runs map-side, so the shuffle
-    carries at most one row per key and map partition instead of every item
-    row. SUM, COUNT and MAX compose, so summing these values over the join
-    rows gives exactly the item-level result, duplicates in the joined table
-    included. Unused columns are pruned from the aggregate by Catalyst.
+    Items are combined before they are joined: an order or a product has several
+    items, so the shuffle carries fewer rows than there are items. SUM,
+    COUNT and MAX compose, so summing these values over the join rows gives
+    exactly the item-level result, duplicates in the joined table included.
+    Unused columns are pruned from the aggregate by Catalyst.
     """
-    return items.groupBy(*keys).agg(
+    return items.groupBy(key).agg(
         F.count(F.lit(1)).alias("item_rows"),
         F.sum("price").alias("price_sum"),
         F.count("price").alias("price_n"),

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tradelens.functions.numeric import big, mean_of, percent, rounded_ratio
 from tradelens.operators.common import (
     items_per_order,
+    more_than_one,
     order_persons,
     person_order_counts,
-    persons_by_order_count,
+    reviews_per_order,
 )
 
 # ---------------------------------------------------------------------------
@@ -36,55 +37,53 @@ def customer_order_frequency(customers: DataFrame, orders: DataFrame) -> DataFra
             .orderBy("total_orders"))
 
 
-# R28 -- order counts over all statuses; reviews with a score only.
+# R28 -- order counts over all statuses; reviews with a score only. Scores are
+# combined per order and carried by the one aggregate per person that also tells
+# repeat buyers, so no rows are joined to an aggregate on the person.
 def customer_type_review_summary(reviews: DataFrame, orders: DataFrame,
                                  customers: DataFrame) -> DataFrame:
-    counts = person_order_counts(customers, orders)
-    rows = (reviews.where(F.col("review_score").isNotNull()).select("order_id", "review_score")
-            .join(order_persons(orders, customers), "order_id")
-            .join(counts, "customer_unique_id"))
-    kind = F.when(F.col("total_orders") == 1, ONE_TIME).otherwise(REPEAT)
-    return (rows.groupBy(kind.alias("customer_type"))
-            .agg(rounded_ratio(F.sum("review_score"), F.count("review_score"), scales=(0, 0))
-                 .alias("avg_review_score"),
-                 big(F.count(F.lit(1))).alias("review_count"))
+    scored = reviews_per_order(reviews.where(F.col("review_score").isNotNull()))
+    per_person = (order_persons(orders, customers)
+                  .where(F.col("customer_unique_id").isNotNull())
+                  .join(scored, "order_id", "left")
+                  .groupBy("customer_unique_id")
+                  .agg(more_than_one("order_id").alias("repeat"),
+                       F.sum("score_sum").alias("scores"), F.sum("scored").alias("n"))
+                  .where(F.col("n") > 0))
+    kind = F.when(F.col("repeat"), REPEAT).otherwise(ONE_TIME)
+    return (per_person.groupBy(kind.alias("customer_type"))
+            .agg(rounded_ratio(F.sum("scores"), F.sum("n"), scales=(0, 0)).alias("avg_review_score"),
+                 big(F.sum("n")).alias("review_count"))
             .orderBy("customer_type"))
 
 
 # R29 building block, row level: the previous purchase of the same person.
-def order_gaps(orders: DataFrame, customers: DataFrame,
-               partitions: int | None = None) -> DataFrame:
+def order_gaps(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """customer_unique_id, order_id, purchase_time, prev_purchase_time.
 
     LAG(purchase_time) over each person's orders by purchase time (NULL
-    first, order_id breaking ties), without putting a person's orders in one
-    task: rows are range-partitioned on (person, time, order_id), so a person
-    with a huge share of the orders spans several contiguous partitions. LAG
-    runs per (partition, person); the first row of a person in a partition
-    then takes the last row of the previous non-empty partition when that row
-    belongs to the same person. That edge table has one row per partition
-    (a proven bound), so it is broadcast.
+    first, order_id breaking ties; a NULL person is one person), without
+    putting a person's orders in one task: LAG runs per (person, calendar
+    day), and a day's first order takes the last time of the person's day
+    before, from a table of one row per (person, day). A person has at most as
+    many such rows as the calendar has days, whatever the number of orders.
     """
-    spark = orders.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    person, t, oid = "customer_unique_id", F.col("purchase_time").asc_nulls_first(), "order_id"
+    person, t = "customer_unique_id", F.col("purchase_time").asc_nulls_first()
     rows = (orders.select("order_id", "customer_id", "purchase_time")
             .join(customers.select("customer_id", person), "customer_id")
-            .select(person, "order_id", "purchase_time"))
-    ranged = rows.repartitionByRange(n, person, t, oid).withColumn("pid", F.spark_partition_id())
-    w = Window.partitionBy("pid", person).orderBy(t, oid)
-    local = (ranged.withColumn("local_prev", F.lag("purchase_time").over(w))
-             .withColumn("local_rank", F.row_number().over(w)))
-    last = F.max(F.struct(F.col(person).alias("p"), F.col("purchase_time").alias("t"),
-                          F.col("order_id").alias("o")))
-    edges = (ranged.groupBy("pid").agg(last.alias("last"))
-             .select("pid", F.lag("last").over(Window.orderBy("pid")).alias("before")))
-    joined = local.join(F.broadcast(edges), "pid", "left")
-    continues = (F.col("local_rank") == 1) & (F.col("before.p") == F.col(person))
-    return joined.select(
-        person, "order_id", "purchase_time",
-        F.when(continues, F.col("before.t")).otherwise(F.col("local_prev"))
-        .alias("prev_purchase_time"))
+            .select(person, "order_id", "purchase_time", F.to_date("purchase_time").alias("day")))
+    within = Window.partitionBy(person, "day").orderBy(t, "order_id")
+    local = (rows.withColumn("nth", F.row_number().over(within))
+             .withColumn("prev", F.lag("purchase_time").over(within)))
+    days = rows.groupBy(person, "day").agg(F.max("purchase_time").alias("last"))
+    days_in_order = Window.partitionBy(person).orderBy(F.col("day").asc_nulls_first())
+    before = days.select(F.col(person).alias("p"), F.col("day").alias("d"),
+                         F.lag("last").over(days_in_order).alias("before"))
+    firsts = local.where(F.col("nth") == 1).join(
+        before, F.col(person).eqNullSafe(F.col("p")) & F.col("day").eqNullSafe(F.col("d")), "left")
+    return (firsts.select(person, "order_id", "purchase_time", F.col("before").alias("prev_purchase_time"))
+            .unionByName(local.where(F.col("nth") > 1).select(
+                person, "order_id", "purchase_time", F.col("prev").alias("prev_purchase_time"))))
 
 
 def person_purchase_profile(orders: DataFrame, customers: DataFrame,
@@ -146,15 +145,14 @@ def repeat_customer_order_stats(orders: DataFrame, customers: DataFrame,
             .orderBy("total_orders"))
 
 
-def _orders_per_person_and(customers: DataFrame, orders: DataFrame, key: str) -> DataFrame:
-    # Same join as R32's order rows, so R33 (R31 + R32) shares its exchanges.
+def _persons_and(customers: DataFrame, orders: DataFrame, key: str) -> DataFrame:
     return (order_persons(orders, customers, key)
             .groupBy("customer_unique_id", key)
-            .agg(F.countDistinct("order_id").alias("order_count")))
+            .agg(more_than_one("order_id").alias("repeat")))
 
 
 def _loyalty(rows: DataFrame, key: str, distinct_persons: bool) -> DataFrame:
-    repeat = F.sum(F.when(F.col("order_count") > 1, 1).otherwise(0))
+    repeat = F.count_if("repeat")
     # Rows are unique per (person, key), so the reference's
     # COUNT(DISTINCT customer_unique_id) is COUNT(customer_unique_id) here (no
     # second distinct aggregation); the zip report counts rows, NULL person too.
@@ -168,7 +166,7 @@ def _loyalty(rows: DataFrame, key: str, distinct_persons: bool) -> DataFrame:
 def zip_loyalty_summary(customers: DataFrame, orders: DataFrame,
                         min_customers: int = ZIP_MIN_CUSTOMERS) -> DataFrame:
     key = "customer_zip_code_prefix"
-    return (_loyalty(_orders_per_person_and(customers, orders, key), key, distinct_persons=False)
+    return (_loyalty(_persons_and(customers, orders, key), key, distinct_persons=False)
             .where(F.col("total_customers") >= min_customers)
             .orderBy(F.desc("loyalty_percent"), key))
 
@@ -176,19 +174,28 @@ def zip_loyalty_summary(customers: DataFrame, orders: DataFrame,
 # R31
 def state_customer_loyalty(customers: DataFrame, orders: DataFrame) -> DataFrame:
     key = "customer_state"
-    return (_loyalty(_orders_per_person_and(customers, orders, key), key, distinct_persons=True)
+    return (_loyalty(_persons_and(customers, orders, key), key, distinct_persons=True)
             .orderBy(key))
 
 
-# R32 -- persons with more than one order anywhere; their scores by state.
+# R32 -- persons with more than one order anywhere; their scores by state. One
+# aggregate per (person, state) carries the scores and the smallest and largest
+# order id; a person's few state rows then tell whether there are two orders.
 def state_repeat_review_scores(customers: DataFrame, orders: DataFrame,
                                reviews: DataFrame) -> DataFrame:
-    order_rows = order_persons(orders, customers, "customer_state")
-    repeaters = persons_by_order_count(order_rows, lambda n: n > 1)
-    rows = (order_rows.join(repeaters, "customer_unique_id", "left_semi")
-            .join(reviews.select("order_id", "review_score"), "order_id"))
-    return (rows.groupBy("customer_state")
-            .agg(rounded_ratio(F.sum("review_score"), F.count("review_score"), scales=(0, 0))
+    person = "customer_unique_id"
+    per_state = (order_persons(orders, customers, "customer_state")
+                 .where(F.col(person).isNotNull())
+                 .join(reviews_per_order(reviews), "order_id", "left")
+                 .groupBy(person, "customer_state")
+                 .agg(F.min("order_id").alias("lo"), F.max("order_id").alias("hi"),
+                      F.sum("review_rows").alias("rows"), F.sum("score_sum").alias("scores"),
+                      F.sum("scored").alias("n")))
+    states = Window.partitionBy(person)
+    repeaters = per_state.withColumn("two", F.min("lo").over(states) != F.max("hi").over(states))
+    return (repeaters.where(F.col("two") & (F.col("rows") > 0))
+            .groupBy("customer_state")
+            .agg(rounded_ratio(F.sum("scores"), F.sum("n"), scales=(0, 0))
                  .alias("avg_review_score_repeat_customers"))
             .orderBy("customer_state"))
 
@@ -203,16 +210,17 @@ def state_loyalty_review_summary(loyalty: DataFrame, repeat_scores: DataFrame) -
 
 # R34 -- item rows (not distinct products) of persons with exactly one order.
 # One aggregate per person over their order rows (items counted per order
-# first) gives both the distinct order count and the item rows; persons whose
-# only order has no items vanish, as with the reference's inner join.
+# first) tells both; persons whose only order has no items vanish, as with the
+# reference's inner join, and a NULL person is never IN the one-time persons.
 def one_time_customer_product_distribution(customers: DataFrame, orders: DataFrame,
                                            items: DataFrame) -> DataFrame:
     per_person = (order_persons(orders, customers)
+                  .where(F.col("customer_unique_id").isNotNull())
                   .join(items_per_order(items).select("order_id", "item_rows"), "order_id", "left")
                   .groupBy("customer_unique_id")
-                  .agg(F.countDistinct("order_id").alias("orders"),
+                  .agg(more_than_one("order_id").alias("repeat"),
                        F.sum("item_rows").alias("products_in_order"))
-                  .where((F.col("orders") == 1) & F.col("products_in_order").isNotNull()))
+                  .where(~F.col("repeat") & F.col("products_in_order").isNotNull()))
     return (per_person.groupBy(big("products_in_order").alias("products_in_order"))
             .agg(big(F.count(F.lit(1))).alias("customer_count"))
             .orderBy("products_in_order"))

@@ -105,8 +105,7 @@ def state_freight_bucket_summary(items: DataFrame, orders: DataFrame, customers:
 
 def _value_vs_freight(items: DataFrame, orders: DataFrame, statuses) -> DataFrame:
     # Per-order item aggregate first; the group-by after the join re-applies
-    # the reference's join-then-aggregate (a no-op for unique order ids, and
-    # free: the join output is already partitioned by order_id).
+    # the reference's join-then-aggregate (a no-op for unique order ids).
     return (items_per_order(items).select("order_id", "price_sum", "freight_max")
             .join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
             .groupBy("order_id")
@@ -124,35 +123,40 @@ def order_value_vs_freight(items: DataFrame, orders: DataFrame,
     )
 
 
-def _freight_ratio_by(keys: list[str], value_vs_freight: DataFrame, orders: DataFrame,
-                      customers: DataFrame) -> DataFrame:
-    rows = (value_vs_freight.select("order_id", "total_order_value", "freight_value")
-            .join(orders.select("order_id", "customer_id"), "order_id")
+def _freight_ratio_by(keys: list[str], items: DataFrame, orders: DataFrame,
+                      customers: DataFrame, statuses) -> DataFrame:
+    """R16's values by place, in one pass over the orders: where the reference
+    joins R16 to the orders again for the customer, the aggregate per order
+    carries the customers of its rows (one, unless an order id is repeated)."""
+    paid = is_fulfilled(statuses)
+    per_order = (items_per_order(items).select("order_id", "price_sum", "freight_max")
+                 .join(orders.select("order_id", "customer_id", "order_status"), "order_id")
+                 .groupBy("order_id")
+                 .agg(F.sum(F.when(paid, F.col("price_sum"))).alias("value"),
+                      F.max(F.when(paid, F.col("freight_max"))).alias("freight"),
+                      F.count_if(paid).alias("n"), F.collect_list("customer_id").alias("ids"))
+                 .where(F.col("n") > 0))
+    rows = (per_order.select("order_id", "value", "freight", F.explode("ids").alias("customer_id"))
             .join(customers.select("customer_id", *keys), "customer_id"))
-    # R16's outputs are DOUBLE; back to exact money for the sums.
-    freight = F.col("freight_value").cast(_SUM_TYPE)
-    value = F.col("total_order_value").cast(_SUM_TYPE)
+    ratio = safe_ratio(F.col("freight").cast("double"), F.col("value").cast("double"))
     return (rows.groupBy(*keys)
             .agg(big(F.count("order_id")).alias("total_orders"),
-                 round_half_up(F.avg(safe_ratio(F.col("freight_value"),
-                                                F.col("total_order_value"))),
-                               RATIO_AVG_DIGITS).alias("avg_freight_ratio"),
-                 safe_ratio(F.sum(freight), F.count(freight)).alias("avg_freight"),
-                 safe_ratio(F.sum(value), F.count(value)).alias("avg_order_value"))
+                 round_half_up(F.avg(ratio), RATIO_AVG_DIGITS).alias("avg_freight_ratio"),
+                 safe_ratio(F.sum("freight"), F.count("freight")).alias("avg_freight"),
+                 safe_ratio(F.sum("value"), F.count("value")).alias("avg_order_value"))
             .orderBy(F.desc_nulls_last("avg_freight_ratio"), *keys))
 
 
-# R17 -- averages of the unrounded per-order ratio (recomputed from R16).
-def freight_ratio_by_region(value_vs_freight: DataFrame, orders: DataFrame,
-                            customers: DataFrame) -> DataFrame:
-    return _freight_ratio_by(["customer_state", "customer_city"], value_vs_freight, orders,
-                             customers)
+# R17 -- averages of the unrounded per-order ratio.
+def freight_ratio_by_region(items: DataFrame, orders: DataFrame, customers: DataFrame,
+                            statuses=FULFILLED) -> DataFrame:
+    return _freight_ratio_by(["customer_state", "customer_city"], items, orders, customers, statuses)
 
 
 # R18
-def freight_ratio_by_state(value_vs_freight: DataFrame, orders: DataFrame,
-                           customers: DataFrame) -> DataFrame:
-    return _freight_ratio_by(["customer_state"], value_vs_freight, orders, customers)
+def freight_ratio_by_state(items: DataFrame, orders: DataFrame, customers: DataFrame,
+                           statuses=FULFILLED) -> DataFrame:
+    return _freight_ratio_by(["customer_state"], items, orders, customers, statuses)
 
 
 # R19 -- item grain: an order's delivery days are added once per item.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, mean_of, percent, round_half_up
-from tradelens.operators.common import FULFILLED, is_fulfilled
+from tradelens.operators.common import FULFILLED, fulfilled_payments
 
 # ---------------------------------------------------------------------------
 # Instalment counts above this are "high".
@@ -27,14 +27,10 @@ def _all_rows() -> Window:
     return Window.partitionBy()
 
 
-def _fulfilled_payments(payments: DataFrame, orders: DataFrame, statuses) -> DataFrame:
-    return payments.join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
-
-
 # R09
 def payment_type_distribution(payments: DataFrame, orders: DataFrame,
                               statuses=FULFILLED) -> DataFrame:
-    g = (_fulfilled_payments(payments, orders, statuses)
+    g = (fulfilled_payments(payments, orders, statuses)
          .groupBy("payment_type")
          .agg(F.count(F.lit(1)).alias("n"), F.count("payment_value").alias("nv"),
               F.sum("payment_value").alias("s")))
@@ -51,7 +47,7 @@ def payment_type_distribution(payments: DataFrame, orders: DataFrame,
 # R10
 def installment_distribution(payments: DataFrame, orders: DataFrame,
                              statuses=FULFILLED) -> DataFrame:
-    g = (_fulfilled_payments(payments, orders, statuses)
+    g = (fulfilled_payments(payments, orders, statuses)
          .groupBy("payment_installments").agg(F.count(F.lit(1)).alias("n")))
     return (g.select(
         "payment_installments",
@@ -66,7 +62,7 @@ def installment_distribution(payments: DataFrame, orders: DataFrame,
 def high_installment_revenue_share(payments: DataFrame, orders: DataFrame,
                                    threshold: int = HIGH_INSTALLMENTS,
                                    statuses=FULFILLED) -> DataFrame:
-    g = (_fulfilled_payments(payments, orders, statuses)
+    g = (fulfilled_payments(payments, orders, statuses)
          .groupBy("payment_installments")
          .agg(F.count(F.lit(1)).alias("n"), F.count("payment_value").alias("nv"),
               F.sum("payment_value").alias("s")))

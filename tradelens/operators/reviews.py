@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, rounded_ratio
-from tradelens.operators.common import category_of, items_per
+from tradelens.operators.common import category_of, reviews_per_order
 from tradelens.operators.freight import delivery_days, has_delivery_times
 
 
@@ -19,22 +19,19 @@ def _avg_score(name: str = "avg_review_score"):
 
 
 # R23 -- review x item grain; untranslated categories form one NULL group.
-# Neither side is expanded: reviews are combined per order and items per
-# (order, product); a pair count is then reviews x items of the order.
+# Reviews are combined per order and joined to the orders before the items come
+# in (their one shuffle); then everything is combined per product.
 def category_review_summary(reviews: DataFrame, orders: DataFrame, items: DataFrame,
                             products: DataFrame, translation: DataFrame) -> DataFrame:
-    per_order = (_scored(reviews).groupBy("order_id")
-                 .agg(F.count(F.lit(1)).alias("reviews"), F.sum("review_score").alias("scores")))
-    rows = (per_order
-            .join(orders.select("order_id"), "order_id")
-            .join(items_per(items, "order_id", "product_id")
-                  .select("order_id", "product_id", "item_rows"), "order_id")
-            .join(category_of(products, translation), "product_id"))
-    pairs = F.sum(F.col("item_rows") * F.col("reviews"))
-    return (rows.groupBy(F.col("product_category_name_english").alias("category_name"))
-            .agg(rounded_ratio(F.sum(F.col("item_rows") * F.col("scores")), pairs, scales=(0, 0))
-                 .alias("avg_review_score"),
-                 big(pairs).alias("review_count"))
+    reviewed = (reviews_per_order(_scored(reviews))
+                .join(orders.select("order_id"), "order_id"))
+    per_product = (items.select("order_id", "product_id").join(reviewed, "order_id")
+                   .groupBy("product_id")
+                   .agg(F.sum("review_rows").alias("pairs"), F.sum("score_sum").alias("scores")))
+    return (per_product.join(category_of(products, translation), "product_id")
+            .groupBy(F.col("product_category_name_english").alias("category_name"))
+            .agg(rounded_ratio(F.sum("scores"), F.sum("pairs"), scales=(0, 0)).alias("avg_review_score"),
+                 big(F.sum("pairs")).alias("review_count"))
             .orderBy(F.desc_nulls_last("avg_review_score"), "category_name"))
 
 

@@ -1,4 +1,9 @@
-"""Chapter 1, sales and revenue."""
+"""Chapter 1, sales and revenue.
+
+Rows are joined on order_id first and combined there: the join leaves an
+order's rows together, so sums per order need no further shuffle, and a count of
+those sums is the count of distinct orders.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, round_half_up, rounded_ratio, year_month
-from tradelens.operators.common import FULFILLED, is_fulfilled, items_per
+from tradelens.operators.common import FULFILLED, is_fulfilled, reviews_per_order
 
 
 def _month(col: str = "purchase_time"):
@@ -23,122 +28,129 @@ def merged_orders_payments(orders: DataFrame, payments: DataFrame,
                                   "payment_value"), "order_id"))
 
 
-def _revenue_aggs(value: str, order_key: str, avg_name: str):
+def _revenue_aggs(avg_name: str):
+    """Over rows (order, value): one row per distinct order of the group."""
+    n = F.count(F.lit(1))
     return [
-        round_half_up(F.sum(value), 2).alias("total_revenue"),
-        big(F.countDistinct(order_key)).alias("total_orders"),
-        rounded_ratio(F.sum(value), F.countDistinct(order_key), scales=(2, 0)).alias(avg_name),
+        round_half_up(F.sum("value"), 2).alias("total_revenue"),
+        big(n).alias("total_orders"),
+        rounded_ratio(F.sum("value"), n, scales=(2, 0)).alias(avg_name),
     ]
 
 
 # R02 -- the reference repeats the status filter here; R01 already applied it.
 def monthly_orders_revenue_summary(merged: DataFrame) -> DataFrame:
-    return (merged.groupBy(_month().alias("month"))
-            .agg(*_revenue_aggs("payment_value", "order_id", "avg_revenue_per_order"))
+    per_order = (merged.groupBy("order_id", _month().alias("month"))
+                 .agg(F.sum("payment_value").alias("value")))
+    return (per_order.groupBy("month").agg(*_revenue_aggs("avg_revenue_per_order"))
             .orderBy("month"))
 
 
-def _priced_categories(items: DataFrame, products: DataFrame, translation: DataFrame,
-                       orders: DataFrame, statuses) -> DataFrame:
-    # Inner joins on purpose: items without product metadata or without an
-    # English category name are not part of these two reports. Items are
-    # combined per (order, product) before the joins (see items_per).
-    return (items_per(items, "order_id", "product_id")
-            .select("order_id", "product_id", "item_rows", "price_sum")
-            .join(products.select("product_id", "product_category_name"), "product_id")
-            .join(translation.select("product_category_name", "product_category_name_english"),
-                  "product_category_name")
-            .join(orders.where(is_fulfilled(statuses)).select("order_id", "purchase_time"),
-                  "order_id"))
+def _sold(items: DataFrame, orders: DataFrame, statuses, *order_cols: str) -> DataFrame:
+    """Item rows of fulfilled orders: the one shuffle of the items."""
+    return (items.select("order_id", "product_id", "seller_id", "price")
+            .join(orders.where(is_fulfilled(statuses)).select("order_id", *order_cols), "order_id"))
+
+
+def _english(products: DataFrame, translation: DataFrame) -> DataFrame:
+    # Inner join on purpose: items without product metadata or without an
+    # English category name are not part of these two reports.
+    return (products.select("product_id", "product_category_name")
+            .join(translation.select("product_category_name",
+                                     F.col("product_category_name_english").alias("category")),
+                  "product_category_name"))
 
 
 # R03
 def monthly_category_revenue(items: DataFrame, products: DataFrame, translation: DataFrame,
                              orders: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return (_priced_categories(items, products, translation, orders, statuses)
-            .groupBy(_month().alias("month"),
-                     F.col("product_category_name_english").alias("category"))
-            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"))
+    per_product = (_sold(items, orders, statuses, "purchase_time")
+                   .groupBy(_month().alias("month"), "product_id")
+                   .agg(F.sum("price").alias("revenue")))
+    return (per_product.join(_english(products, translation), "product_id")
+            .groupBy("month", "category")
+            .agg(round_half_up(F.sum("revenue"), 2).alias("total_revenue"))
             .orderBy("month", F.desc("total_revenue"), "category"))
 
 
 # R04
 def category_sales_summary(items: DataFrame, products: DataFrame, translation: DataFrame,
                            orders: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return (_priced_categories(items, products, translation, orders, statuses)
-            .groupBy(F.col("product_category_name_english").alias("category"))
-            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"),
-                 big(F.sum("item_rows")).alias("total_items_sold"))
+    per_product = (_sold(items, orders, statuses).groupBy("product_id")
+                   .agg(F.sum("price").alias("revenue"), F.count(F.lit(1)).alias("n")))
+    return (per_product.join(_english(products, translation), "product_id")
+            .groupBy("category")
+            .agg(round_half_up(F.sum("revenue"), 2).alias("total_revenue"),
+                 big(F.sum("n")).alias("total_items_sold"))
             .orderBy(F.desc("total_revenue"), "category"))
 
 
-def _geo_payments(orders: DataFrame, payments: DataFrame, customers: DataFrame,
-                  statuses) -> DataFrame:
+def _paid_by_place(orders: DataFrame, payments: DataFrame, customers: DataFrame, statuses,
+                   *place: str) -> DataFrame:
+    """Payments per order and place; the last join is on order_id, so the
+    aggregate needs no shuffle."""
     return (orders.where(is_fulfilled(statuses)).select("order_id", "customer_id")
-            .join(customers.select("customer_id", "customer_state", "customer_city"),
-                  "customer_id")
-            .join(payments.select("order_id", "payment_value"), "order_id"))
+            .join(customers.select("customer_id", *place), "customer_id")
+            .join(payments.select("order_id", "payment_value"), "order_id")
+            .groupBy("order_id", *place).agg(F.sum("payment_value").alias("value")))
 
 
 # R05
 def state_city_revenue(orders: DataFrame, payments: DataFrame, customers: DataFrame,
                        statuses=FULFILLED) -> DataFrame:
-    return (_geo_payments(orders, payments, customers, statuses)
-            .groupBy("customer_state", "customer_city")
-            .agg(*_revenue_aggs("payment_value", "order_id", "avg_revenue_per_order"))
-            .orderBy(F.desc("total_revenue"), "customer_state", "customer_city"))
+    place = ["customer_state", "customer_city"]
+    return (_paid_by_place(orders, payments, customers, statuses, *place)
+            .groupBy(*place).agg(*_revenue_aggs("avg_revenue_per_order"))
+            .orderBy(F.desc("total_revenue"), *place))
 
 
 # R06 -- recounts distinct orders per state (R05's averages do not roll up).
 def state_revenue_summary(orders: DataFrame, payments: DataFrame, customers: DataFrame,
                           statuses=FULFILLED) -> DataFrame:
-    return (_geo_payments(orders, payments, customers, statuses)
-            .groupBy("customer_state")
-            .agg(*_revenue_aggs("payment_value", "order_id", "avg_order_value"))
+    return (_paid_by_place(orders, payments, customers, statuses, "customer_state")
+            .groupBy("customer_state").agg(*_revenue_aggs("avg_order_value"))
             .orderBy(F.desc("total_revenue"), "customer_state"))
 
 
 def _seller_orders(items: DataFrame, orders: DataFrame, statuses) -> DataFrame:
-    """(seller_id, order_id) -> price_sum, n_items over fulfilled orders.
-
-    Items are combined per (seller, order) before the join; the group-by
-    after it keeps join-then-aggregate semantics for repeated order rows and
-    costs no shuffle (the join output is already partitioned by order_id)."""
-    return (items_per(items, "seller_id", "order_id")
-            .select("seller_id", "order_id", "item_rows", "price_sum")
-            .join(orders.where(is_fulfilled(statuses)).select("order_id"), "order_id")
-            .groupBy("seller_id", "order_id")
-            .agg(F.sum("price_sum").alias("price_sum"), F.sum("item_rows").alias("n_items")))
+    """(order_id, seller_id) -> value, n_items over fulfilled orders, combined
+    where the join on order_id left the rows."""
+    return (_sold(items, orders, statuses).groupBy("order_id", "seller_id")
+            .agg(F.sum("price").alias("value"), F.count(F.lit(1)).alias("n_items")))
 
 
 # R07
 def seller_total_revenue(items: DataFrame, orders: DataFrame, statuses=FULFILLED) -> DataFrame:
     return (_seller_orders(items, orders, statuses)
-            .groupBy("seller_id")
-            .agg(*_revenue_aggs("price_sum", "order_id", "avg_revenue_per_order"))
+            .groupBy("seller_id").agg(*_revenue_aggs("avg_revenue_per_order"))
             .orderBy(F.desc("total_revenue"), "seller_id"))
 
 
 # R08 -- the reference LEFT joins item rows to review rows: an item's price is
 # counted once per review row of its order (once if it has none), AVG skips
-# NULL scores and reviews are counted as distinct ids. Items are first combined
-# per (seller, order), so the join to review rows produces one row per
-# (seller, order, review) instead of per (item, review): summing the order's
-# price sum over those rows is the item-level revenue, n_items x score the
-# item-level score sum. Both exact distinct counts then run in one aggregate
-# (Catalyst's Expand) over these already-reduced rows, reading items once.
-# The always-true "score IS NOT NULL OR score IS NULL" filter is dropped.
+# NULL scores and reviews are counted as distinct ids. Reviews are combined per
+# order, so the left join stays at one row per (order, seller); only the
+# distinct review ids need rows of their own, in a second branch that is added to
+# the first by a union (which also matches a NULL seller). The always-true
+# "score IS NOT NULL OR score IS NULL" filter is dropped.
 def seller_revenue_review_summary(items: DataFrame, orders: DataFrame, reviews: DataFrame,
                                   statuses=FULFILLED) -> DataFrame:
-    rows = (_seller_orders(items, orders, statuses)
-            .join(reviews.select("order_id", "review_id", "review_score"), "order_id", "left"))
-    n_orders = F.countDistinct("order_id")
-    scored_items = F.when(F.col("review_score").isNotNull(), F.col("n_items"))
-    return (rows.groupBy("seller_id")
-            .agg(round_half_up(F.sum("price_sum"), 2).alias("total_revenue"),
-                 big(n_orders).alias("total_orders"),
-                 rounded_ratio(F.sum("price_sum"), n_orders, scales=(2, 0)).alias("avg_revenue_per_order"),
-                 rounded_ratio(F.sum(F.col("n_items") * F.col("review_score")),
-                               F.sum(scored_items), scales=(0, 0)).alias("avg_review_score"),
-                 big(F.countDistinct("review_id")).alias("review_count"))
+    pairs = _seller_orders(items, orders, statuses)
+    rows = pairs.join(reviews_per_order(reviews), "order_id", "left")
+    times = F.greatest(F.coalesce("review_rows", F.lit(1)), F.lit(1))
+    money = (rows.groupBy("seller_id")
+             .agg(F.sum(F.col("value") * times).alias("value"), F.count(F.lit(1)).alias("orders"),
+                  F.sum(F.col("n_items") * F.col("score_sum")).alias("scores"),
+                  F.sum(F.col("n_items") * F.col("scored")).alias("scored")))
+    ids = (pairs.select("order_id", "seller_id")
+           .join(reviews.where(F.col("review_id").isNotNull()).select("order_id", "review_id"), "order_id")
+           .select("seller_id", "review_id").distinct()
+           .groupBy("seller_id").agg(F.count(F.lit(1)).alias("reviews")))
+    both = money.unionByName(ids, allowMissingColumns=True)
+    return (both.groupBy("seller_id")
+            .agg(round_half_up(F.sum("value"), 2).alias("total_revenue"),
+                 big(F.sum("orders")).alias("total_orders"),
+                 rounded_ratio(F.sum("value"), F.sum("orders"), scales=(2, 0)).alias("avg_revenue_per_order"),
+                 rounded_ratio(F.sum("scores"), F.sum("scored"), scales=(0, 0)).alias("avg_review_score"),
+                 big(F.coalesce(F.sum("reviews"), F.lit(0))).alias("review_count"))
             .orderBy(F.desc("total_revenue"), "seller_id"))

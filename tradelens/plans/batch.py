@@ -1,6 +1,6 @@
 """Run many reports as one batch, the way the original script runs them.
 
-1. The role tables are written once into the shared ``spark.checkpoint.dir``:
+1. The role tables are written once into a shared folder the caller names:
    the order-keyed roles (orders, cleaned orders, payments, items, reviews)
    bucketed and sorted on ``order_id``, customers on ``customer_id``. Every
    later join on those keys reads co-partitioned buckets instead of shuffling
@@ -19,20 +19,19 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.plans.catalog import REPORTS
-from tradelens.session import ensure_checkpoint_dir
 from tradelens.sources.files import write_table
 from tradelens.sources.roles import Roles
 
 _ORDER_KEYED = ("orders", "payments", "items", "reviews")
 
 
-def materialise_roles(spark: SparkSession, roles: Roles, buckets: int,
+def materialise_roles(spark: SparkSession, roles: Roles, buckets: int, folder: str,
                       database: str | None = None) -> Roles:
-    """Write the roles (and the cleaned orders) as bucketed tables under the
-    checkpoint directory and return Roles that read them back."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
+    """Write the roles (and the cleaned orders) as bucketed tables under
+    ``folder``, which every executor must reach, and return Roles that read them
+    back. The tables stay until the caller drops ``database``."""
     db = database or f"tradelens_{uuid.uuid4().hex[:8]}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}/{db}'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{folder.rstrip('/')}/{db}'")
 
     def save(df: DataFrame, name: str, key: str | None) -> DataFrame:
         table = f"{db}.{name}"

@@ -2,12 +2,14 @@
 
 Each entry is ``(spark, sf_dir) -> DataFrame``; nothing is collected. Reports
 written after the reference's clean-up step read ``paid_orders`` (orders with
-a payment), which the binding materialises once; the audits that come before
-that step in the original (A01-A07) read the raw orders.
+a payment, a lazy semi join unless a batch wrote it as a table); reports that
+join the payments anyway read the raw orders, as that join implies it. The audits
+that come before that step in the original (A01-A07) read the raw orders.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ from tradelens.operators import (
     sales,
     text_mining,
 )
+from tradelens.session import shared_folder
+from tradelens.sources import files
 from tradelens.sources.roles import Roles, bind_test_tables
 from tradelens.sources.stopwords import default_stop_words
 
@@ -58,9 +62,9 @@ _q("orders_without_payments_count")(
 _q("orders_without_payments")(lambda r, s: audits.orders_without_payments(r.orders, r.payments))
 _q("paid_orders")(lambda r, s: audits.keep_paid_orders(r.orders, r.payments))
 _q("order_status_histogram")(lambda r, s: audits.order_status_histogram(r.paid_orders))
-_q("total_revenue")(lambda r, s: audits.total_revenue(r.paid_orders, r.payments))
-_q("revenue_by_year")(lambda r, s: audits.revenue_by_year(r.paid_orders, r.payments))
-_q("revenue_by_month")(lambda r, s: audits.revenue_by_month(r.paid_orders, r.payments))
+_q("total_revenue")(lambda r, s: audits.total_revenue(r.orders, r.payments))
+_q("revenue_by_year")(lambda r, s: audits.revenue_by_year(r.orders, r.payments))
+_q("revenue_by_month")(lambda r, s: audits.revenue_by_month(r.orders, r.payments))
 _q("sellers_with_no_sales")(lambda r, s: audits.sellers_with_no_sales(r.sellers, r.items))
 _q("sellers_with_only_unfulfilled_orders")(
     lambda r, s: audits.sellers_with_only_unfulfilled_orders(r.sellers, r.items, r.paid_orders))
@@ -80,29 +84,29 @@ _q("repeat_customers_with_cancellations")(
     lambda r, s: audits.repeat_customers_with_cancellations(r.customers, r.paid_orders))
 
 # --- chapter 1, sales -----------------------------------------------------
-_q("merged_orders_payments")(lambda r, s: sales.merged_orders_payments(r.paid_orders, r.payments))
+_q("merged_orders_payments")(lambda r, s: sales.merged_orders_payments(r.orders, r.payments))
 _q("monthly_orders_revenue_summary")(lambda r, s: sales.monthly_orders_revenue_summary(
-    sales.merged_orders_payments(r.paid_orders, r.payments)))
+    sales.merged_orders_payments(r.orders, r.payments)))
 _q("monthly_category_revenue")(lambda r, s: sales.monthly_category_revenue(
     r.items, r.products, r.translation, r.paid_orders))
 _q("category_sales_summary")(lambda r, s: sales.category_sales_summary(
     r.items, r.products, r.translation, r.paid_orders))
 _q("state_city_revenue")(
-    lambda r, s: sales.state_city_revenue(r.paid_orders, r.payments, r.customers))
+    lambda r, s: sales.state_city_revenue(r.orders, r.payments, r.customers))
 _q("state_revenue_summary")(
-    lambda r, s: sales.state_revenue_summary(r.paid_orders, r.payments, r.customers))
+    lambda r, s: sales.state_revenue_summary(r.orders, r.payments, r.customers))
 _q("seller_total_revenue")(lambda r, s: sales.seller_total_revenue(r.items, r.paid_orders))
 _q("seller_revenue_review_summary")(
     lambda r, s: sales.seller_revenue_review_summary(r.items, r.paid_orders, r.reviews))
 
 # --- chapter 2, payments --------------------------------------------------
 _q("payment_type_distribution")(
-    lambda r, s: pay.payment_type_distribution(r.payments, r.paid_orders))
-_q("installment_distribution")(lambda r, s: pay.installment_distribution(r.payments, r.paid_orders))
+    lambda r, s: pay.payment_type_distribution(r.payments, r.orders))
+_q("installment_distribution")(lambda r, s: pay.installment_distribution(r.payments, r.orders))
 _q("high_installment_revenue_share")(
-    lambda r, s: pay.high_installment_revenue_share(r.payments, r.paid_orders))
+    lambda r, s: pay.high_installment_revenue_share(r.payments, r.orders))
 _q("state_payment_behavior")(
-    lambda r, s: pay.state_payment_behavior(r.payments, r.paid_orders, r.customers))
+    lambda r, s: pay.state_payment_behavior(r.payments, r.orders, r.customers))
 
 # --- chapter 3, freight and delivery --------------------------------------
 _q("order_freight_total")(lambda r, s: freight.order_freight_total(r.items, r.products))
@@ -110,10 +114,10 @@ _q("order_weight_summary")(lambda r, s: freight.order_weight_summary(r.items, r.
 _q("state_freight_bucket_summary")(lambda r, s: freight.state_freight_bucket_summary(
     r.items, r.paid_orders, r.customers))
 _q("order_value_vs_freight")(lambda r, s: freight.order_value_vs_freight(r.items, r.paid_orders))
-_q("freight_ratio_by_region")(lambda r, s: freight.freight_ratio_by_region(
-    freight.order_value_vs_freight(r.items, r.paid_orders), r.paid_orders, r.customers))
-_q("freight_ratio_by_state")(lambda r, s: freight.freight_ratio_by_state(
-    freight.order_value_vs_freight(r.items, r.paid_orders), r.paid_orders, r.customers))
+_q("freight_ratio_by_region")(
+    lambda r, s: freight.freight_ratio_by_region(r.items, r.paid_orders, r.customers))
+_q("freight_ratio_by_state")(
+    lambda r, s: freight.freight_ratio_by_state(r.items, r.paid_orders, r.customers))
 _q("freight_by_state")(lambda r, s: freight.freight_by_state(r.items, r.paid_orders, r.customers))
 _q("delivery_time_distribution")(lambda r, s: freight.delivery_time_distribution(r.paid_orders))
 _q("delivery_band_by_state")(
@@ -159,8 +163,7 @@ _q("avg_price_freight_by_category")(lambda r, s: prod.avg_price_freight_by_categ
 # is a scalar subquery over the same data instead of a hard-coded name.
 _q("avg_price_freight_by_category_top_state")(
     lambda r, s: prod.avg_price_freight_by_category_in_state(
-        prod.single_item_orders(r.items, r.paid_orders, r.products, r.translation),
-        r.paid_orders, r.customers,
+        r.items, r.paid_orders, r.products, r.translation, r.customers,
         audits.top_state(r.paid_orders, r.customers).scalar()))
 _q("cancelled_orders_by_category")(lambda r, s: prod.cancelled_orders_by_category(
     r.paid_orders, r.items, r.products, r.translation))
@@ -174,5 +177,23 @@ _q("review_word_counts")(lambda r, s: text_mining.word_count_by_score(
 _q("review_word_frequency_by_score")(lambda r, s: text_mining.review_word_frequency_by_score(
     rev.review_text_by_score(r.reviews), default_stop_words()))
 
+# The hand-off of the original: the review text goes to a CSV file, which the
+# notebook reads back (T01), counts, and writes as CSV again.
+def _handed_off(r: Roles, s: SparkSession) -> DataFrame:
+    folder = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    files.write_csv(rev.review_text_by_score(r.reviews), f"{folder}/review_text")
+    return files.read_csv(s, f"{folder}/review_text")
+
+
+def _exported(r: Roles, s: SparkSession) -> DataFrame:
+    counted = text_mining.review_word_frequency_by_score(_handed_off(r, s), default_stop_words())
+    folder = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}/word_frequency"
+    files.write_csv(counted, folder)
+    return files.read_csv(s, folder, files.WORD_FREQUENCY_SCHEMA)
+
+
+_q("review_text_csv_hand_off")(_handed_off)
+_q("review_word_frequency_csv_export")(_exported)
+
 
 FLAGSHIP = "monthly_orders_revenue_summary"

@@ -2,15 +2,12 @@
 
 On a cluster the session comes from the platform and this module only fills
 in what is missing: AQE (runtime coalescing, skew-join splitting, broadcast
-switch), a checkpoint directory when ``spark.checkpoint.dir`` is unset (tests,
-local runs), and a UTC session zone. Nothing here overrides a value the
-cluster already set.
+switch) and a UTC session zone. Nothing here overrides a value the cluster
+already set.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SQL_DEFAULTS = {
@@ -38,24 +35,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``. Only a local-mode
-    session (tests, a laptop) may fall back to a scratch folder: on a cluster a
-    machine-local path would scatter files over the executors, so an unset
-    directory is an error there."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset
+    (tests, a laptop), one beside the warehouse's tables."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
-                               "(it holds the materialised clean-up step and bucketed roles)")
-        path = tempfile.mkdtemp(prefix="tradelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
 def cluster_settings(shuffle_bytes: int, executors: int, cores_per_executor: int,
@@ -82,7 +69,3 @@ def cluster_settings(shuffle_bytes: int, executors: int, cores_per_executor: int
         **SQL_DEFAULTS,
     }
 
-
-def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
-    for key, value in settings.items():
-        spark.conf.set(key, value)

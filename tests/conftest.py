@@ -14,8 +14,9 @@ from tradelens.sources.roles import SCHEMAS, Roles  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(cores=4, shuffle_partitions=4, app="tradelens-tests")
+def spark(tmp_path_factory):
+    s = local_session(cores=4, shuffle_partitions=4, app="tradelens-tests",
+                      folder=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import os
+import re
 
 import duckdb
 import pytest
@@ -119,3 +120,42 @@ def test_scale_claims_hold_in_the_plans(spark):
     for name in ("repeat_customer_gaps", "repeat_customer_order_stats"):
         plan = q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan, name  # gaps by telescoping, no per-person window
+
+
+def _large_plan(spark, name: str) -> str:
+    """The plan with every table taken for large."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", [
+    "monthly_orders_revenue_summary", "state_city_revenue", "state_revenue_summary",
+    "seller_total_revenue", "seller_revenue_review_summary", "customer_type_review_summary",
+    "state_repeat_review_scores", "one_time_customer_product_distribution"])
+def test_orders_are_counted_without_a_distinct(spark, name):
+    plan = _large_plan(spark, name)
+    assert "distinct" not in plan and "Expand" not in plan
+
+
+@pytest.mark.parametrize("name", [
+    "monthly_category_revenue", "category_sales_summary", "seller_total_revenue",
+    "category_review_summary", "cancelled_orders_by_category", "sellers_with_only_unfulfilled_orders"])
+def test_items_meet_their_orders_before_they_are_combined(spark, name):
+    """No aggregate of the items on two keys of their own, ahead of the join."""
+    assert not re.search(r"Exchange hashpartitioning\(order_id#\d+L, (product|seller)_id", _large_plan(spark, name))
+    assert not re.search(r"Exchange hashpartitioning\((product|seller)_id#\d+L, order_id", _large_plan(spark, name))
+
+
+@pytest.mark.parametrize("name", ["customer_type_review_summary", "state_repeat_review_scores"])
+def test_no_rows_are_joined_to_an_aggregate_on_the_person(spark, name):
+    joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", _large_plan(spark, name))
+    assert joins and not any("customer_unique_id" in keys for keys in joins)
+
+
+def test_hot_and_missing_keys_are_dealt_out(spark):
+    for name in ("payments_without_orders", "orders_with_unmatched_products"):
+        joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", _large_plan(spark, name))
+        assert any("__salt" in keys for keys in joins), name

@@ -207,3 +207,52 @@ def test_late_delivery_band_holds_21_to_30(spark):
     out = audits.late_delivery_bands(r.orders)
     assert rows(out, "delivery_band", "orders_in_band", "percent_of_total") == [
         ("20-30 days", 1, 25.0), ("51+ days", 1, 25.0)]
+
+
+def test_a_null_person_is_never_a_one_time_customer(spark):
+    r = make_roles(
+        spark,
+        orders=[order("o1", "c1"), order("o2", "c2")],
+        items=[item("o1"), item("o2"), item("o2")],
+        customers=[customer("c1", None), customer("c2", "u2")],
+    )
+    out = cust.one_time_customer_product_distribution(r.customers, r.orders, r.items)
+    assert rows(out, "products_in_order", "customer_count") == [(2, 1)]
+
+
+def test_gaps_of_a_null_person_over_many_partitions(spark):
+    r = make_roles(
+        spark,
+        orders=[order(f"o{i:03}", "c1", purchase=ts(i % 40, i % 24, i % 7)) for i in range(200)]
+        + [order("z1", "c1", purchase=None), order("z2", "c2", purchase=ts(3))],
+        customers=[customer("c1", None), customer("c2", "u2")],
+    )
+    orders = r.orders.withColumn("purchase_time", F.when(F.col("order_id") != "z1", F.col("purchase_time")))
+    want = {}
+    times = sorted((ts(i % 40, i % 24, i % 7), f"o{i:03}") for i in range(200))
+    for before, (t, oid) in zip([(None, "z1"), *times], times):
+        want[oid] = before[0]
+    want |= {"z1": None, "z2": None}
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            gaps = cust.order_gaps(orders.repartition(6), r.customers).collect()
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        assert {g["order_id"]: g["prev_purchase_time"] for g in gaps} == want
+
+
+def test_orphans_with_and_without_a_key(spark):
+    r = make_roles(
+        spark,
+        orders=[order("o1", "c1"), order("o2", "c9"), order("o3", "c9")],
+        payments=[("o1", "card", 1, Decimal("1.00")), ("x", "card", 1, Decimal("1.00")),
+                  ("x", "card", 1, Decimal("1.00")), (None, "card", 1, Decimal("2.00"))],
+        items=[item("o1", "p1"), item("o2", "gone"), item("o2", None), item("o3", None)],
+        products=[("p1", "cat", 1.0, 1.0, 1.0, 1.0)],
+        customers=[customer("c1", "u1")],
+    )
+    got = audits.payments_without_orders(r.payments, r.orders).collect()
+    assert sorted(str(x["order_id"]) for x in got) == ["None", "x", "x"]
+    assert audits.orders_with_unmatched_products(r.items, r.products).collect()[0][0] == 2
+    assert audits.orders_with_unknown_customer(r.orders, r.customers).collect()[0][0] == 1

@@ -18,7 +18,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from tradelens.plans.catalog import REGISTRY  # noqa: E402
 from tradelens.session import local_session  # noqa: E402
 
 APPENDIX = ["monthly_orders_revenue_summary", "seller_revenue_review_summary",
@@ -43,7 +43,7 @@ def main() -> None:
     spark = local_session()
     rows = []
     formatted = {}
-    for name, fn in queries().items():
+    for name, fn in REGISTRY.items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         final = shape(df._jdf.queryExecution().executedPlan().toString())
@@ -56,7 +56,7 @@ def main() -> None:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     large = {name: shape(fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
-             for name, fn in queries().items()}
+             for name, fn in REGISTRY.items()}
     print(f"# Physical plans at {sf_dir} (local[*], AQE on)\n")
     print("Columns from the final adaptive plan; the last column counts exchanges when")
     print("broadcasting is disabled (every table treated as large).\n")

@@ -21,8 +21,9 @@ SQL_DEFAULTS = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "tradelens") -> SparkSession:
-    """A local session for tests and the benchmark (UI off, AQE on)."""
+                  app: str = "tradelens", folder: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark (UI off, AQE on); ``folder``
+    holds what it checkpoints."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
@@ -30,9 +31,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in SQL_DEFAULTS.items():
         builder = builder.config(k, v)
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, map_arrow, text_or_empty
+from tradelens.llm.common import cut, map_arrow, small_or_shuffled, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5  # characters of an n-gram
@@ -98,23 +98,26 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(lang, text) of the ``per_language`` documents of each language with the
-    smallest hash of their doc_id. The cut-off hash of a language comes from its
-    ids alone; the window keeps at most ``per_language`` rows of a scan task."""
+    """(lang, text) of at most ``per_language`` documents of each language, those
+    with the smallest hashes of their doc_id. A language's number of documents
+    says which hashes can be among the smallest (with a third to spare), so the
+    scan itself lets few more rows through than are kept, whatever the table's size."""
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
     labelled = docs.where("lang is not null").select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"),
-        text_or_empty().alias("text"))
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    last = (labelled.select("lang", "h").withColumn("rank", F.row_number().over(by_hash))
-            .where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("last")))
-    return labelled.join(last, "lang").where("h <= last").select("lang", "text")
+        F.col("lang").cast("string").alias("lang"), place.alias("place"), text_or_empty().alias("text"))
+    sizes = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    share = F.lit(4 * per_language / 3 + 10) / F.col("n")
+    near = (labelled.join(small_or_shuffled(sizes, 10_000), "lang")
+            .where(F.col("place") <= share * F.lit(float(1 << 40))))
+    by_hash = Window.partitionBy("lang").orderBy("place", "text")
+    return (near.withColumn("rank", F.row_number().over(by_hash))
+            .where(F.col("rank") <= per_language).select("lang", "text"))
 
 
 def fit(docs: DataFrame, sample_per_language: int = 1500, max_words: int = 60_000) -> Model:
     """Train on the labelled rows of ``docs`` (doc_id, text, lang). Bounds: at most
-    ``sample_per_language`` documents of a language (documents that tie on the
-    last hash all count) and the ``max_words`` most frequent words; the n-grams
-    are those of these words."""
+    ``sample_per_language`` documents of a language and the ``max_words`` most
+    frequent words; the n-grams are those of these words."""
 
     def count(batches):
         totals: dict[str, Counter] = {}

@@ -122,9 +122,8 @@ def _spilled(table: pa.Table, rest: Iterator[pa.RecordBatch], bucket_bytes: int,
         file.close()
 
 
-def _classes(docs: DataFrame, rows: DataFrame, schema: str | None, window_bytes: int,
-             bucket_bytes: int, carry: bool) -> DataFrame:
-    """Steps 1 and 2 over ``rows`` (key, id, n, text, ...)."""
+def _classes(rows: DataFrame, window_bytes: int, bucket_bytes: int, carry: bool) -> DataFrame:
+    """Steps 1 and 2 over ``rows`` (key, id, n, text and, to ``carry``, the whole row)."""
     names = rows.columns
     out_names = names if carry else ["key", "id", "n"]
 
@@ -157,7 +156,7 @@ def duplicate_classes(docs: DataFrame, window_bytes: int = 48 << 20,
     doc_id is kept only in a group without any id. Other columns are ignored.
     """
     records = _records(docs)
-    classes = _classes(docs, records, None, window_bytes, bucket_bytes, carry=False).select(
+    classes = _classes(records, window_bytes, bucket_bytes, carry=False).select(
         "key", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     return records.select("key", F.col("id").alias("doc_id")).join(classes, "key").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -166,7 +165,10 @@ def duplicate_classes(docs: DataFrame, window_bytes: int = 48 << 20,
 
 def keep_rows(docs: DataFrame, window_bytes: int = 48 << 20, bucket_bytes: int = 96 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of equal texts exactly one
-    row, that with the largest doc_id (of repeated rows, one). One shuffle."""
-    records = _records(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = _classes(docs, records, None, window_bytes, bucket_bytes, carry=True)
-    return kept.select("row.*")
+    row, that with the largest doc_id (of repeated rows, one). One shuffle, which
+    carries every text once: the rest of a row travels beside it."""
+    rest = F.struct(F.col("text").isNull().alias("no_text"),
+                    *[F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns if c != "text"])
+    kept = _classes(_records(docs, rest.alias("row")), window_bytes, bucket_bytes, carry=True)
+    text = F.when(~F.col("row.no_text"), F.col("text")).cast(docs.schema["text"].dataType)
+    return kept.select(*[text.alias(c) if c == "text" else F.col(f"row.`_{c}`").alias(c) for c in docs.columns])

@@ -42,7 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for ``df`` only if a count shows at most ``max_rows`` rows;
     beyond that the join it goes into shuffles. Give it a checkpointed table."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def limited(df: DataFrame, size: Column, limit: int) -> DataFrame:
+    """The same for a table of lists: a hint only if their elements sum to ``limit`` at most."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}

@@ -25,14 +25,13 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import pyarrow as pa
-
-from tradelens.llm.common import cut, map_arrow
+from tradelens.llm.common import cut, limited, map_arrow
 from tradelens.llm.rolling import BASES, Windows, covered, item_hashes, spans
-from tradelens.llm.substring_dedup import identified, limited, position_batches
+from tradelens.llm.substring_dedup import identified, position_batches
 
 
 def line_list(text: str | None) -> list[bytes]:

@@ -16,8 +16,9 @@ also start somewhere in a document with a smaller doc_id.
    decides. No pairs are made: minima are partial aggregates, and joins back have
    two plainly shuffled sides, so a passage in a third of all documents is split.
 
-Tables of ids and positions are broadcast to the text scan only if a count finds
-them small; beyond that the join shuffles.
+What is known of a document's positions travels as spans (a run of neighbouring
+windows is one span). Ids of whole copies and spans are broadcast to the text
+scan if a count finds them few, else those joins shuffle the texts.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, map_arrow, text_or_empty
+from tradelens.llm.common import cut, limited, map_arrow, small_or_shuffled, text_or_empty
 from tradelens.llm.rolling import BASES, Windows, covered, item_hashes, spans
 
 # Perfect difference sets (every non-zero difference comes once).
@@ -54,12 +55,6 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def limited(df: DataFrame, size, limit: int) -> DataFrame:
-    """Broadcast a checkpointed table if its rows and list elements stay within ``limit``."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(df) if total <= limit else df
-
-
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, tk, text. tk tells rows apart that share a doc_id: 0 if none do, else a
     hash of the text (rows that share both are the same)."""
@@ -117,49 +112,69 @@ def position_batches(batch: pa.RecordBatch, parts: list[tuple], names: list[str]
     return [whole.slice(at, 50_000) for at in range(0, whole.num_rows, 50_000)]
 
 
-def _starts(column) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+SPANS = "array<struct<start:int,length:int>>"
+_SPAN_LIST = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+
+
+def _spans(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """Per document, the spans that its positions and ``before`` / ``after`` items
+    around each make up. A document's own length bounds its list."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for at in batch.column(2):
+                positions = at.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                mask = covered(positions - before, before + 1 + after, int(positions.max()) + 1 + after)
+                found.append([{"start": a, "length": n} for a, n in spans(mask)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _SPAN_LIST)],
+                                             names=["doc_id", "tk", "spans"])
+
+    listed = rows.groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("at"))
+    return cut(map_arrow(listed, run, f"doc_id long, tk long, spans {SPANS}"))
 
 
-def _positions(rows: DataFrame) -> DataFrame:
-    """Positions per document; a document's own length bounds the list."""
-    return cut(rows.groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("at")))
+def _inside(found, n: int) -> np.ndarray:
+    """Which of n items the spans of an Arrow value hold."""
+    mask = np.zeros(n, dtype=bool)
+    for span in found.as_py():
+        mask[span["start"]:span["start"] + span["length"]] = True
+    return mask
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, broadcast_limit: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """The rows as (doc_id, tk, text), and per row (doc_id, tk) with something to
-    remove the starts ``at`` of its windows that come in a smaller document
-    (null: every window)."""
+    remove the ``spans`` of its words in windows that come in a smaller document
+    (null: all words)."""
     period = period_for(window)
     rows = identified(docs)
     copies = _copies(rows, window)
     keys = ["doc_id", "tk"]
-    single = rows.where("doc_id is not null").join(limited(copies, F.lit(1), broadcast_limit // 4), keys, "left_anti")
+    single = rows.where("doc_id is not null").join(small_or_shuffled(copies, broadcast_limit // 2), keys, "left_anti")
 
     anchors = _anchors(single, window, period)
     shared = cut(anchors.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                  .where("lo < hi").select("hash"))
-    anchored = _positions(anchors.join(shared, "hash"))
+    # an anchor at p lies in the windows that start from p - period + 1 to p
+    anchored = _spans(anchors.join(shared, "hash"), period - 1, 0)
 
     def extend(batches):
         one, two = Windows(BASES[0]), Windows(BASES[1])
         for batch in batches:
             parts = []
-            for i, (text, at) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (text, found) in enumerate(zip(batch.column(2), batch.column(3))):
                 items = item_hashes(word_list(text.as_py()))
-                n = len(items) - window + 1
-                # an anchor at p lies in the windows that start from p - period + 1 to p
-                starts = np.flatnonzero(covered(_starts(at) - period + 1, period, len(items))[:n])
+                starts = np.flatnonzero(_inside(found, len(items) - window + 1))
                 more = (two.hashes(items, window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 parts.append((i, starts, one.hashes(items, window)[starts].view(np.int64), more))
             yield from position_batches(batch, parts, ["h1", "h2"])
 
-    near = rows.join(limited(anchored, F.size("at"), broadcast_limit), keys).select(*keys, "text", "at")
+    near = rows.join(limited(anchored, F.size("spans"), broadcast_limit), keys).select(*keys, "text", "spans")
     windows = map_arrow(near, extend, "h1 long, h2 int, doc_id long, tk long, pos int")
     first = cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                 .where("lo < hi").select("h1", "h2", "lo"))
-    again = _positions(windows.join(first, ["h1", "h2"]).where("doc_id > lo"))
-    return rows, again.unionByName(copies.withColumn("at", F.lit(None).cast("array<int>")))
+    again = _spans(windows.join(first, ["h1", "h2"]).where("doc_id > lo"), 0, window - 1)
+    return rows, again.unionByName(copies.withColumn("spans", F.lit(None).cast(SPANS)))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, broadcast_limit: int = 4_000_000) -> DataFrame:
@@ -173,18 +188,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, broadcast_limit: int = 4_0
     each other's words. An empty table gives no rows.
     """
     rows, again = repeated_windows(docs, window, broadcast_limit)
-    renamed = again.select(F.col("doc_id").alias("r_id"), F.col("tk").alias("r_tk"), "at", F.lit(True).alias("found"))
-    joined = rows.join(limited(renamed, F.coalesce(F.size("at"), F.lit(1)), broadcast_limit),
-                       (F.col("doc_id") == F.col("r_id")) & (F.col("tk") == F.col("r_tk")), "left")
+    renamed = again.select(F.col("doc_id").alias("r_id"), F.col("tk").alias("r_tk"), "spans", F.lit(True).alias("found"))
+    joined = rows.join(limited(renamed, F.coalesce(F.size("spans"), F.lit(1)), broadcast_limit), (F.col("doc_id") == F.col("r_id")) & (F.col("tk") == F.col("r_tk")), "left")
 
     def keep(batches):
         for batch in batches:
             out = []
-            for text, at, found in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for text, own, found in zip(batch.column(1), batch.column(2), batch.column(3)):
                 words = word_list(text.as_py())
                 n, gone = len(words), []
                 if found.as_py():
-                    mask = np.ones(n, bool) if at.as_py() is None else covered(_starts(at), window, n)
+                    mask = _inside(own, n) if own.is_valid else np.ones(n, bool)
                     gone = spans(mask)
                     words = list(itertools.compress(words, (~mask).tolist()))
                 out.append((n, [{"start": a, "length": b} for a, b in gone], b" ".join(words).decode("utf-8", "surrogatepass")))
@@ -193,5 +207,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, broadcast_limit: int = 4_0
                     pa.array([o[2] for o in out], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *kept], names=["doc_id", "n_words", "removed", "kept_text"])
 
-    return map_arrow(joined.select("doc_id", "text", "at", "found"), keep,
+    return map_arrow(joined.select("doc_id", "text", "spans", "found"), keep,
                      "doc_id long, n_words long, removed array<struct<start:long,length:long>>, kept_text string")

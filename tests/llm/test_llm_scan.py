@@ -153,3 +153,33 @@ def test_license_scan_of_empty_tables(spark):
     templates = license_scan.default_templates(spark)
     assert license_scan.scan(docs_frame(spark, []), templates).collect() == []
     assert license_scan.scan(docs_frame(spark, [(1, "x")]), templates.limit(0)).collect() == []
+
+
+def test_default_notices_tell_licenses_apart(spark):
+    gnu = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU{} General Public "
+           "License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    bsd = license_scan.NOTICES["BSD-text"]
+    lines = [("All rights reserved.", {"All-rights-reserved"}), ("all RIGHTS\nreserved", {"All-rights-reserved"}),
+             ("All rights are reserved.", set()), ("Released under the MIT License.", {"MIT"}),
+             ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+             ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+             ("GNU Lesser General Public License, version 2.1", {"LGPL-2.1"}), ("GNU Affero General Public License v3.0", {"AGPL-3.0-v"}),
+             (gnu.format("", 2), {"GPL-2.0-header"}), (gnu.format("", 3), {"GPL-3.0-header"}),
+             (gnu.format(" Lesser", 3), {"LGPL-3.0-header"}), (gnu.format(" Lesser", "2.1"), {"LGPL-2.1-header"}),
+             (gnu.format(" Affero", 3), {"AGPL-3.0-header"}), (bsd, {"BSD-text"}),
+             ("BSD 2-Clause License " + bsd, {"BSD-2-Clause", "BSD-text"}), ("Licensed under CC BY 4.0.", {"CC-BY-4.0"}),
+             ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0"}), ("Licensed under CC BY-NC-SA 4.0.", {"CC-BY-NC-SA-4.0"}),
+             ("// SPDX-License-Identifier: GPL-2.0-or-later", {"SPDX-GPL-2.0"}), ("SPDX-License-Identifier: MIT", {"SPDX-MIT"})]
+    rows = [(i, f"some words {text} more words") for i, (text, _) in enumerate(lines)]
+    templates = license_scan.default_templates(spark)
+    for openings in (10_000, 0):
+        found = {i: set() for i, _ in rows}
+        for r in license_scan.scan(docs_frame(spark, rows), templates, max_openings=openings).collect():
+            found[r.doc_id].add(r.template_id)
+        assert found == {i: names for i, (_, names) in enumerate(lines)}
+
+
+def test_every_default_notice_is_found(spark):
+    rows = list(enumerate(license_scan.NOTICES.values()))
+    got = {(r.doc_id, r.template_id) for r in license_scan.scan(docs_frame(spark, rows), license_scan.default_templates(spark)).collect()}
+    assert set(enumerate(license_scan.NOTICES)) <= got

@@ -26,31 +26,97 @@ from pyspark.sql import functions as F
 from tradelens.llm.common import cut, small_or_shuffled, text_or_empty
 from tradelens.llm.decontaminate import shingle_hashes, shingle_texts, word_array
 
-# Public license notices (the sentence by which a work names its
-# license, and opening passages of the license texts themselves).
+# Public license and proprietary notices: the name or sentence by which a
+# work names its license, SPDX lines, headers and opening passages of the license texts.
+# Notices of sibling licenses (versions, variants) share most words, so a template that
+# names a version is so short that a sibling's notice holds less than 0.8 of it.
 NOTICES = {
     "MIT": "Released under the MIT License.",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-title": "The MIT License (MIT)",
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004",
     "Apache-2.0-header": (
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
         "CONDITIONS OF ANY KIND, either express or implied."),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-2.0-v": "GNU General Public License v2",
+    "GPL-2.0-header": (
+        "terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    "GPL-3.0": "GNU General Public License, version 3",
+    "GPL-3.0-v": "GNU General Public License v3",
     "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-        "or (at your option) any later version."),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD-3-Clause": (
+        "terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
+    "LGPL-2.1-v": "GNU Lesser General Public License v2.1",
+    "LGPL-2.1-header": (
+        "of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "LGPL-3.0-v": "GNU Lesser General Public License v3",
+    "LGPL-3.0-header": (
+        "of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
+    "AGPL-3.0-v": "GNU Affero General Public License v3",
+    "AGPL-3.0-header": (
+        "of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "MPL-2.0": "Mozilla Public License, version 2.0",
+    "MPL-2.0-v": "Mozilla Public License, v. 2.0",
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at"),
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "BSD-3-Clause-text": (
+        "nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission"),
+    "BSD-text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met: Redistributions of source code must retain the above copyright "
         "notice, this list of conditions and the following disclaimer."),
+    "ISC": "Licensed under the ISC License.",
+    "ISC-title": "ISC License (ISC)",
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Public-domain": "released into the public domain",
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at"),
+    "BSL-1.0": "Boost Software License, Version 1.0",
+    "Zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software."),
+    "CC0-1.0": "CC0 1.0 Universal",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-4.0-name": "Creative Commons Attribution 4.0 International",
+    "CC-BY-SA-4.0-name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-ND-4.0-name": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "CC-BY-NC-4.0-name": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-NC-SA-4.0-name": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+    "CC-BY-NC-ND-4.0-name": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+    "All-rights-reserved": "All rights reserved.",
+    "Proprietary": "Proprietary and confidential",
+    "Confidential": "Confidential and proprietary",
+    "No-copying": "Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    "No-reproduction": "No part of this publication may be reproduced",
+    # One of a version finds its -only and -or-later forms too.
+    **{f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in (
+        "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause",
+        "BSD-3-Clause", "ISC", "0BSD", "Unlicense", "EPL-2.0", "BSL-1.0", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+        "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")},
 }
 
 
@@ -77,8 +143,17 @@ def _class_of(words: str) -> Column:
     return F.expr(f"shiftleft(1, cast(floor(log2({words})) as int))")
 
 
+def _placed(n: int, openings: list[str] | None) -> Column:
+    """(pos, hash) of the n-word shingles of column ``w`` that begin with one of
+    ``openings`` (no other can be a template's); of all if that is None."""
+    at = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
+    if openings is not None:
+        at = F.filter(at, lambda i: F.get("w", i).isin(openings))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get("w", i + k) for k in range(n)]).alias("hash")))
+
+
 def scan(docs: DataFrame, templates: DataFrame, shingle: int = 5, containment: float = 0.8, bands: int = 64,
-         rows: int = 1, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+         rows: int = 1, max_broadcast_rows: int = 1_000_000, max_openings: int = 10_000) -> DataFrame:
     """One row per (doc_id, template_id) found: the best window's ``start`` and
     ``n_words``, and ``containment``; of equals the first. ``docs`` needs doc_id and
     text, ``templates`` template_id and text; other columns are ignored.
@@ -104,7 +179,10 @@ def scan(docs: DataFrame, templates: DataFrame, shingle: int = 5, containment: f
     worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select(
         "doc_id", F.xxhash64("text").alias("text_key"), word_array(F.col("text")).alias("w"))
     keys = ["doc_id", "text_key"]
-    listed = [worded.select(*keys, F.lit(n).alias("n"), F.posexplode(shingle_hashes(F.col("w"), n)).alias("pos", "hash")) for n in lengths]
+    opening = items.select(F.explode("item_shingles").alias("s")).select(F.split_part("s", F.lit(" "), F.lit(1)).alias("word")).distinct()
+    openings = [r["word"] for r in opening.limit(max_openings + 1).collect()]
+    listed = [worded.select(*keys, F.lit(n).alias("n"), F.explode(_placed(n, openings if len(openings) <= max_openings else None)).alias("p"))
+              .select(*keys, "n", "p.pos", "p.hash") for n in lengths]
     hits = _union(listed).join(small_or_shuffled(anchors, max_broadcast_rows), ["n", "hash"])
     stride = F.greatest(F.floor(F.col("class") / 4), F.lit(1)).cast("int")
     width = F.col("class") * 2 - 1 + stride - 1

@@ -86,6 +86,13 @@ def test_clean_documents_stay(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i != 50)
 
 
+def test_clean_rows_that_share_an_id_or_have_none_stay(spark):
+    item = " ".join(words(random.Random(15), 40, 300))
+    rows = [(None, "intro " + item), (None, "a clean text without an id"), (None, None), (7, item), (7, "a clean text of a used id")]
+    kept = decontaminate.keep_clean(docs_frame(spark, rows), benchmark_frame(spark, [(1, item)])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
+
+
 def test_decontamination_of_empty_tables(spark):
     rows = [(1, "some words of a text that is long enough")]
     nothing = benchmark_frame(spark, [])

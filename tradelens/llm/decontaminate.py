@@ -118,6 +118,17 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle: int = 5
     window. Rows that repeat a doc_id count as one document with several
     texts. Empty tables give no rows.
     """
+    verified = _verified(docs, benchmark, shingle, similarity, radius, parts, max_broadcast_rows)
+    best = F.max_by(F.struct("start", "n", "similarity", "hamming"),
+                    F.struct("similarity", -F.col("start"), -F.col("hamming")))
+    return verified.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.n").cast("long").alias("n_words"),
+        "best.similarity", F.col("best.hamming").cast("long").alias("hamming"))
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20,
+              parts: int = 6, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """All contaminated windows, with the ``text_key`` (xxhash64) of their text."""
     items = cut(
         benchmark.select("item_id", word_array(text_or_empty()).alias("w"))
         .where(F.size("w") >= shingle)
@@ -170,17 +181,15 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle: int = 5
               .join(windows, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
                     & (F.col("start") == F.col("_start")) & (F.col("n") == F.col("_n")))
               .join(small_or_shuffled(items.select("item_id", "item_shingles"), max_broadcast_rows // 10), "item_id"))
-    verified = joined.select("doc_id", "item_id", "start", "n", "hamming",
-                             weighted_jaccard(F.col("shingles"), F.col("item_shingles")).alias("similarity")
-                             ).where(F.col("similarity") >= similarity)
-    best = F.max_by(F.struct("start", "n", "similarity", "hamming"),
-                    F.struct("similarity", -F.col("start"), -F.col("hamming")))
-    return verified.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.n").cast("long").alias("n_words"),
-        "best.similarity", F.col("best.hamming").cast("long").alias("hamming"))
+    return joined.select("doc_id", "text_key", "item_id", "start", "n", "hamming",
+                         weighted_jaccard(F.col("shingles"), F.col("item_shingles")).alias("similarity")
+                         ).where(F.col("similarity") >= similarity)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents that contain a benchmark item."""
-    leaked = cut(contaminated_windows(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(leaked["__leaked"]), "left_anti")
+    """``docs``, all columns, without the documents that contain a benchmark item.
+    Rows that share a doc_id, or have none, are told apart by their text."""
+    leaked = cut(_verified(docs, benchmark).select(
+        F.col("doc_id").alias("__leaked"), F.col("text_key").alias("__leaked_text")).distinct())
+    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(leaked["__leaked"])
+                     & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == leaked["__leaked_text"]), "left_anti")

@@ -150,6 +150,15 @@ def test_keep_one_per_group(spark):
     assert simhash_dedup.keep_one_per_group(docs_frame(spark, [])).collect() == []
 
 
+def test_one_row_of_each_group_stays_without_ids_too(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(words(rng, 200)) for _ in range(3))
+    rows = [(None, a), (None, a + " "), (None, a.upper()), (1, b), (None, b + " "), (None, c), (2, c), (2, c + " "), (3, c.upper())]
+    kept = simhash_dedup.keep_one_per_group(docs_frame(spark, rows)).collect()
+    assert sorted(r.text.strip().lower() for r in kept) == sorted([a, b, c])
+    assert {r.text.strip().lower(): r.doc_id for r in kept} == {a: None, b: 1, c: 2}
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 150)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -55,15 +55,20 @@ def fingerprint(text: str, shingle: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``(doc_id, fp)`` per row of ``docs``; fp is the fingerprint as a signed long."""
+    return _keyed_fingerprints(docs, shingle, seed, F.lit(0).cast("long")).select("doc_id", "fp")
+
+
+def _keyed_fingerprints(docs: DataFrame, shingle: int, seed: int, key) -> DataFrame:
+    """``(doc_id, tk, fp)`` per row of ``docs``, tk the value of ``key``."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()]
             signed = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], names=["doc_id", "tk", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")),
-                     run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), key.alias("tk"), text_or_empty().alias("text")),
+                     run, "doc_id long, tk long, fp long")
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -165,24 +170,31 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_distance: int =
     empty result.
     """
     fps = cut(fingerprints(docs, shingle, seed))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    groups = _smallest_of_groups(fps, F.col("doc_id"), max_distance, dense_bucket).withColumnRenamed("smallest", "component_id")
+    return fps.join(groups, "fp").select(
+        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _smallest_of_groups(fps: DataFrame, member, max_distance: int, dense_bucket: int) -> DataFrame:
+    """``(fp, smallest)`` per fingerprint: the smallest ``member`` of its group."""
+    nodes = cut(fps.groupBy("fp").agg(F.min(member).alias("first_id")))
     roots = connected_components(links(nodes, max_distance, dense_bucket=dense_bucket))
     rooted = (nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = cut(rooted.join(smallest, "root").select("fp", "component_id"))
-    return fps.join(groups, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("smallest"))
+    return cut(rooted.join(smallest, "root").select("fp", "smallest"))
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """``docs``, all columns, without the documents whose near-duplicate group has
-    a smaller doc_id. A doc_id names a document: rows that share one (repeated
-    rows, rows without an id) go only if every one of them is to go. Only the ids
-    that go are joined back."""
-    groups = near_duplicate_groups(docs, shingle, max_distance)
-    gone = (groups.groupBy("doc_id")
-            .agg(F.every(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes"))
-            .where("goes").select(F.col("doc_id").alias("__gone")))
-    gone = cut(gone)
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """``docs``, all columns, without the documents that are not the first of their
+    near-duplicate group: the one with the smallest doc_id (any goes before none),
+    of equals the one with the smallest hash of its text. Rows that share doc_id and
+    text are one document. Only the ids and hashes that go are joined back."""
+    fps = cut(_keyed_fingerprints(docs, shingle, 42, F.xxhash64(text_or_empty())))
+    member = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("tk").alias("tk"))
+    first = _smallest_of_groups(fps, member, max_distance, dense_bucket=2048)
+    stays = F.col("doc_id").eqNullSafe(F.col("smallest.id")) & (F.col("tk") == F.col("smallest.tk"))
+    gone = cut(fps.join(first, "fp").where(~stays).select(
+        F.col("doc_id").alias("__gone"), F.col("tk").alias("__gone_text")).distinct())
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"])
+                     & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["__gone_text"]), "left_anti")

@@ -72,6 +72,20 @@ def test_keep_identified(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(80))
 
 
+def test_a_small_language_keeps_its_words(spark):
+    rows = [(i, " ".join(f"ka{c}to ka{c}mo" for c in "abcdefghij") * 3, "aa") for i in range(40)]
+    rows += [(100 + i, "wüßen zörg", "bb") for i in range(4)]
+    model = language_id.fit(docs_frame(spark, rows), max_words=8)
+    assert model.languages == ["aa", "bb"] and {"wüßen", "zörg"} <= model.words.keys() and len(model.words) == 8
+
+
+def test_rows_with_letters_stay_without_labels_or_with_even_odds(spark):
+    rows = [(1, "some text"), (2, "12 !"), (3, None)]
+    assert [r.doc_id for r in language_id.keep_identified(docs_frame(spark, rows)).collect()] == [1]
+    rows = [(i, f"{'abcdef'[i % 6] * 4}", "abcdef"[i % 6]) for i in range(60)] + [(100, "ж"), (101, "7")]
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs_frame(spark, rows)).collect()) == [*range(60), 100]
+
+
 def test_longest_known_ngrams_come_first():
     v = np.array([0.0])
     model = language_id.Model(["a"], {}, {"^ab": v - 3, "b": v - 1, "^": v - 9, "c$": v - 2, "c": v - 20}, v - 100)

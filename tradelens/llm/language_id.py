@@ -116,8 +116,9 @@ def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
 
 def fit(docs: DataFrame, sample_per_language: int = 1500, max_words: int = 60_000) -> Model:
     """Train on the labelled rows of ``docs`` (doc_id, text, lang). Bounds: at most
-    ``sample_per_language`` documents of a language and the ``max_words`` most
-    frequent words; the n-grams are those of these words."""
+    ``sample_per_language`` documents of a language and ``max_words`` words, half of
+    them dealt evenly to the languages' own most frequent ones, the others the most
+    frequent of all; the n-grams are those of these words."""
 
     def count(batches):
         totals: dict[str, Counter] = {}
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, sample_per_language: int = 1500, max_words: int = 60_00
                .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     per_word = cut(counted.groupBy("word").agg(F.sum("n").alias("total"),
                                                F.collect_list(F.struct("lang", "n")).alias("by")))
-    top = per_word.orderBy(F.desc("total"), "word").limit(max_words).collect()
+    top = _chosen(per_word, max_words).collect()
     languages = sorted({b["lang"] for r in top for b in r["by"]})
     place = {lang: i for i, lang in enumerate(languages)}
     words: dict[str, np.ndarray] = {}
@@ -151,6 +152,18 @@ def fit(docs: DataFrame, sample_per_language: int = 1500, max_words: int = 60_00
     return Model(languages, *_smoothed(words, grams, len(languages)))
 
 
+def _chosen(per_word: DataFrame, max_words: int) -> DataFrame:
+    """At most ``max_words`` rows of (word, total, by); no language goes without words."""
+    if per_word.count() <= max_words:
+        return per_word
+    by_lang = per_word.select("word", F.explode("by").alias("b")).select("word", "b.lang", "b.n")
+    quota = max(1, max_words // (2 * by_lang.select("lang").distinct().count()))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    own = by_lang.withColumn("place", place).where(F.col("place") <= quota).groupBy("word").agg(F.min("place").alias("place"))
+    return (per_word.join(own, "word", "left").orderBy(F.col("place").isNull(), F.desc("total"), "word")
+            .limit(max_words).select("word", "total", "by"))
+
+
 def _smoothed(words: dict, grams: dict, n_languages: int) -> tuple[dict, dict, np.ndarray]:
     """Counts to natural logarithms of additively smoothed relative frequencies,
     n-grams within their own length."""
@@ -169,8 +182,8 @@ def _smoothed(words: dict, grams: dict, n_languages: int) -> tuple[dict, dict, n
 def predict_rows(docs: DataFrame, model: Model, text_col: str = "text",
                  min_score: float | None = None, carry: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``. With ``min_score``, only the rows
-    that have a determined language with at least that score, without the two
-    columns. All columns are carried through; nothing is shuffled."""
+    that have a determined language with at least that score (with a model that
+    has learned nothing, those with a word), without the two columns. All columns are carried through; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = docs.columns
@@ -180,11 +193,14 @@ def predict_rows(docs: DataFrame, model: Model, text_col: str = "text",
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            found = [scorer.predict(t) for t in texts]
             if min_score is None:
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array([f[0] for f in found], pa.string()),
                      pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            elif not shared.value.languages:
+                yield batch.filter(pa.array([bool(words_of(t or "")) for t in texts], pa.bool_()))
             else:
                 yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= min_score for f in found], pa.bool_()))
 
@@ -210,7 +226,9 @@ def identify(docs: DataFrame, sample_per_language: int = 1500, max_words: int =
     return predict_rows(narrow, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """``docs``, all columns, without the rows whose language stays undetermined
-    or whose score is below ``min_score`` (near even odds between languages)."""
+    (no letters) or whose score is below ``min_score``. Even odds between many
+    languages are a low score too, so by default no score is too low. Where there is
+    nothing to learn from, all rows with letters stay."""
     return predict_rows(docs, fit(docs.where(~held_out())), min_score=min_score)

@@ -101,6 +101,26 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.keep_clean(docs_frame(spark, rows), nothing).count() == 1
 
 
+@pytest.mark.parametrize("module", [decontaminate, license_scan])
+def test_windows_are_counted_before_they_are_broadcast(spark, monkeypatch, module):
+    item = " ".join(words(random.Random(16), 20, 300))
+    sums = []
+
+    def counted(df, size, limit):
+        sums.append((df.count(), df.agg(F.sum(size)).first()[0], limit))
+        return df
+
+    monkeypatch.setattr(module, "limited", counted, raising=False)
+    docs = docs_frame(spark, [(1, " ".join([item] * 30))])
+    if module is decontaminate:
+        got = module.contaminated_windows(docs, benchmark_frame(spark, [(1, item)]), max_broadcast_rows=5).collect()
+    else:
+        got = module.scan(docs, spark.createDataFrame([("a", item)], "template_id string, text string"), max_broadcast_rows=5).collect()
+    assert len(got) == 1
+    (rows, windows, limit), = sums
+    assert rows == 1 and windows > 30 and limit == 5
+
+
 def test_simhash_and_weighted_jaccard(spark):
     rng = random.Random(13)
     hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(21)]

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, small_or_shuffled, text_or_empty
+from tradelens.llm.common import cut, limited, small_or_shuffled, text_or_empty
 
 BITS = 64
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -158,7 +158,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarit
 
     # 2. fingerprints
     keys = ["doc_id", "text_key"]
-    wanted = small_or_shuffled(wanted.withColumnsRenamed({k: f"_{k}" for k in keys}), max_broadcast_rows // 4)
+    wanted = limited(wanted.withColumnsRenamed({k: f"_{k}" for k in keys}), F.size("windows"), max_broadcast_rows)
     windows = (worded.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")))
                .dropDuplicates(keys)
                .select(*keys, "w", F.explode("windows").alias("window"))

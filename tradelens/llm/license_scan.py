@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, small_or_shuffled, text_or_empty
+from tradelens.llm.common import cut, limited, small_or_shuffled, text_or_empty
 from tradelens.llm.decontaminate import shingle_hashes, shingle_texts, word_array
 
 # Public license and proprietary notices: the name or sentence by which a
@@ -193,7 +193,7 @@ def scan(docs: DataFrame, templates: DataFrame, shingle: int = 5, containment: f
     wanted = cut(wanted.groupBy(*keys).agg(F.collect_set("window").alias("windows")))
 
     # 2. bands
-    renamed = small_or_shuffled(wanted.withColumnsRenamed({k: f"_{k}" for k in keys}), max_broadcast_rows // 4)
+    renamed = limited(wanted.withColumnsRenamed({k: f"_{k}" for k in keys}), F.size("windows"), max_broadcast_rows)
     windows = (worded.join(renamed, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")))
                .dropDuplicates(keys)
                .select(*keys, "w", F.explode("windows").alias("window"))

@@ -124,3 +124,11 @@ def test_sharding_an_empty_table_and_writing(spark, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/shards")
     assert sorted((r.doc_id, r.text) for r in back.collect()) == rows
     assert back.select("shard_id").distinct().count() > 4
+
+
+def test_optional_fields_without_a_value_do_not_change_the_layout(spark):
+    rows = [(1, [("user", "hi", None), ("assistant", None, None)]), (2, []), (3, [("user", "hi", "Ann")]), (4, None)]
+    records = spark.createDataFrame(rows, "id int, messages array<struct<role:string,content:string,name:string>>")
+    got = {r.id: r for r in chat_format.format_chat(records).collect()}
+    assert [got[i].layout for i in (1, 2, 3, 4)] == ["messages", "messages", None, None]
+    assert [tuple(t) for t in got[1].turns] == [("user", "hi"), ("assistant", "")] and got[2].formatted == ""

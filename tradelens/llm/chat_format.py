@@ -115,20 +115,27 @@ MAPPINGS = [
 FIELDS = sorted({p.split("[")[0].split(".")[0] for m in MAPPINGS for p in m.paths})
 
 
-def _paths(field: T.StructField, column: Column, path: str) -> list[tuple[str, Column]]:
+def _some(column: Column, name: str) -> Column:
+    return F.coalesce(F.exists(column, lambda e: e[name].isNotNull()), F.lit(False))
+
+
+def _paths(field: T.StructField, column: Column, path: str, needed: set[str]) -> list[tuple[str, Column]]:
     """(path, is it there) of a column: a struct by its fields, an array of structs
-    by its elements' fields (an empty list has them, its type says so)."""
+    by its elements' fields. A field that a mapping needs is there with the list (an
+    empty list has it, its type says so), any other if some element has a value."""
     kind = field.dataType
     if isinstance(kind, T.StructType):
-        return [x for f in kind.fields for x in _paths(f, column[f.name], f"{path}.{f.name}")]
+        return [x for f in kind.fields for x in _paths(f, column[f.name], f"{path}.{f.name}", needed)]
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return [(f"{path}[].{f.name}", column.isNotNull()) for f in kind.elementType.fields]
+        return [(p := f"{path}[].{f.name}", column.isNotNull() if p in needed else _some(column, f.name))
+                for f in kind.elementType.fields]
     return [(path, column.isNotNull())]
 
 
-def field_paths(df: DataFrame, fields: list[str] | None = None) -> Column:
+def field_paths(df: DataFrame, fields: list[str] | None = None, mappings: list[Mapping] = MAPPINGS) -> Column:
     """Sorted array of the field paths a row has."""
-    there = [x for f in df.schema.fields if f.name in (fields or FIELDS) for x in _paths(f, F.col(f"`{f.name}`"), f.name)]
+    needed = {p for m in mappings for p in m.paths}
+    there = [x for f in df.schema.fields if f.name in (fields or FIELDS) for x in _paths(f, F.col(f"`{f.name}`"), f.name, needed)]
     present = [F.when(ok, F.lit(path)) for path, ok in there]
     return F.sort_array(F.array_compact(F.array(*present))) if present else F.array().cast("array<string>")
 
@@ -139,13 +146,14 @@ def fingerprint(paths: Column) -> Column:
 
 def canonical(records: DataFrame, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """``records`` with ``fingerprint``, ``layout`` and ``turns``."""
-    here = {p for f in records.schema.fields for p, _ in _paths(f, F.lit(None), f.name)}
+    needed = {p for m in mappings for p in m.paths}
+    here = {p for f in records.schema.fields for p, _ in _paths(f, F.col(f"`{f.name}`"), f.name, needed)}
     known = [m for m in mappings if set(m.paths) <= here]  # others cannot be resolved here, nor occur
     own = F.col("fingerprint")
     expected = [(m, fingerprint(F.array(*[F.lit(p) for p in sorted(m.paths)]))) for m in known]
     layout = reduce(lambda e, x: e.when(own == x[1], x[0].name), expected, F.when(F.lit(False), ""))
     turns = reduce(lambda e, x: e.when(own == x[1], x[0].turns()), expected, F.when(F.lit(False), F.lit(None).cast(TURNS)))
-    marked = records.withColumn("fingerprint", fingerprint(field_paths(records, sorted({p.split("[")[0].split(".")[0] for m in mappings for p in m.paths}))))
+    marked = records.withColumn("fingerprint", fingerprint(field_paths(records, sorted({p.split("[")[0].split(".")[0] for m in mappings for p in m.paths}), mappings)))
     return marked.withColumns({"layout": layout, "turns": turns})
 
 

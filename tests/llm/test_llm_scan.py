@@ -93,6 +93,15 @@ def test_clean_rows_that_share_an_id_or_have_none_stay(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
 
 
+def test_short_items_are_found(spark):
+    items = [(1, "Paris"), (2, "forty two"), (3, "the capital of France"), (4, "an item of at least five words"), (5, "...")]
+    rows = [(1, "it is PARIS"), (2, "forty, two"), (3, "so the capital of France is Paris"), (4, "two forty the capital"),
+            (5, "x an item of at least five words y"), (6, None)]
+    got = decontaminate.contaminated_windows(docs_frame(spark, rows), benchmark_frame(spark, items)).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.n_words) for r in got) == [(1, 1, 2, 1), (2, 2, 0, 2), (3, 1, 6, 1), (3, 3, 1, 4), (5, 4, 1, 7)]
+    assert {r.similarity for r in got} == {1.0}
+
+
 def test_decontamination_of_empty_tables(spark):
     rows = [(1, "some words of a text that is long enough")]
     nothing = benchmark_frame(spark, [])

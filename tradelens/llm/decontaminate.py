@@ -106,6 +106,13 @@ def _block_rows(df: DataFrame, parts: int, radius: int | None = None) -> DataFra
     return df.select("*", F.explode(F.concat(*listed)).alias("b")).select("*", "b.block", "b.value").drop("b")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8,
                          radius: int = 20, parts: int = 6, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per (doc_id, item_id) with a contaminated window: the most similar
@@ -113,8 +120,8 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle: int = 5
     ``hamming``; of equals the first. ``docs`` needs doc_id and text, ``benchmark`` item_id and
     text; other columns are ignored.
 
-    Null or empty texts contain nothing. Items of fewer words than a shingle are
-    no passages and are not looked for. A document shorter than an item is one
+    Null or empty texts contain nothing. An item of fewer words than a shingle is
+    one shingle of its own length; a wordless item is never found. A document shorter than an item is one
     window. Rows that repeat a doc_id count as one document with several
     texts. Empty tables give no rows.
     """
@@ -129,20 +136,23 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle: int = 5
 def _verified(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20,
               parts: int = 6, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """All contaminated windows, with the ``text_key`` (xxhash64) of their text."""
-    items = cut(
-        benchmark.select("item_id", word_array(text_or_empty()).alias("w"))
-        .where(F.size("w") >= shingle)
-        .select("item_id", F.size("w").alias("item_words"), shingle_texts(F.col("w"), shingle).alias("item_shingles"),
-                shingle_hashes(F.col("w"), shingle).alias("hashes"))
-        .select("item_id", "item_words", "item_shingles", "hashes", simhash(F.col("hashes")).alias("item_fp")))
-    anchors = cut(items.select("item_id", "item_words", F.posexplode("hashes").alias("at", "hash")))
+    worded_items = (benchmark.select("item_id", word_array(text_or_empty()).alias("w")).where(F.size("w") > 0)
+                    .select("item_id", F.size("w").alias("item_words"), "w"))
+    own = F.least("item_words", F.lit(shingle))
+    lengths = sorted(r["own"] for r in worded_items.select(own.alias("own")).distinct().collect()) or [shingle]
+    items = cut(_union([
+        worded_items.where(own == k)
+        .select("item_id", "item_words", F.lit(k).alias("own"), shingle_texts(F.col("w"), k).alias("item_shingles"),
+                shingle_hashes(F.col("w"), k).alias("hashes")) for k in lengths])
+        .select("item_id", "item_words", "own", "item_shingles", "hashes", simhash(F.col("hashes")).alias("item_fp")))
+    anchors = cut(items.select("item_id", "item_words", "own", F.posexplode("hashes").alias("at", "hash")))
 
     # 1. windows
     worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select(
         "doc_id", F.xxhash64("text").alias("text_key"), word_array(F.col("text")).alias("w"))
-    shared = (worded.select("doc_id", "text_key", F.size("w").alias("doc_words"),
-                            F.posexplode(shingle_hashes(F.col("w"), shingle)).alias("pos", "hash"))
-              .join(small_or_shuffled(anchors, max_broadcast_rows), "hash"))
+    listed = _union([worded.select("doc_id", "text_key", F.size("w").alias("doc_words"), F.lit(k).alias("own"),
+                                   F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "hash")) for k in lengths])
+    shared = listed.join(small_or_shuffled(anchors, max_broadcast_rows), ["own", "hash"])
     starts = shared.select("doc_id", "text_key", "doc_words", "item_id", "item_words",
                            (F.col("pos") - F.col("at")).alias("start")).distinct()
     following = F.lead("start").over(Window.partitionBy("doc_id", "text_key", "item_id").orderBy("start"))
@@ -162,10 +172,11 @@ def _verified(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarit
     windows = (worded.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")))
                .dropDuplicates(keys)
                .select(*keys, "w", F.explode("windows").alias("window"))
-               .select(*keys, "window.start", "window.n", F.slice("w", F.col("window.start") + 1, F.col("window.n")).alias("w"))
-               .select(*keys, "start", "n", shingle_texts(F.col("w"), shingle).alias("shingles"),
-                       simhash(shingle_hashes(F.col("w"), shingle)).alias("fp")))
-    windows = cut(windows)
+               .select(*keys, "window.start", "window.n", F.slice("w", F.col("window.start") + 1, F.col("window.n")).alias("w")))
+    windows = cut(_union([
+        windows.where(F.least("n", F.lit(shingle)) == k)
+        .select(*keys, "start", "n", shingle_texts(F.col("w"), k).alias("shingles"),
+                simhash(shingle_hashes(F.col("w"), k)).alias("fp")) for k in lengths]))
 
     # 3. blocks
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))

@@ -19,8 +19,9 @@ from tradelens.llm import (
     sharding,
     simhash_dedup,
     substring_dedup,
+    warc,
 )
-from tradelens.llm.common import table
+from tradelens.llm.common import cut, remove_folder, shared_path, table
 from tradelens.llm.packing import Vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +218,28 @@ FROM documents d LEFT JOIN kept USING (doc_id)"""
 @_query("op10_packing")
 def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary(), size=1024)
+
+
+@_query("op13_warc")
+def op13(spark, sf_dir):
+    folder = shared_path(spark, "warc")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    pages = cut(warc.read_archives(spark, archives, payloads=False)
+                .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove_folder(spark, folder)
+    return pages
+
+
+# Base 32 from the hex digits: five of them are four letters.
+ORACLE_SQL["op13_warc"] = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+       translate(array_to_string(list_transform(range(0, 8), lambda k:
+         to_base(CAST('0x' || substr(h, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT), 32, 4)), ''),
+         '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts"""

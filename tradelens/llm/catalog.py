@@ -19,10 +19,11 @@ from tradelens.llm import (
     sharding,
     simhash_dedup,
     substring_dedup,
+    tokenizer_alignment,
     warc,
 )
 from tradelens.llm.common import cut, remove_folder, shared_path, table
-from tradelens.llm.packing import Vocabulary
+from tradelens.llm.tokens import Vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -243,3 +244,11 @@ SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM firsts"""
+
+
+@_query("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), public_vocabulary(),
+                                     public_tokenizers.path("piece_bpe_32k.model"))[0]

@@ -5,14 +5,16 @@ from __future__ import annotations
 import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
 from helpers import SF, docs_frame, odd_rows, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tradelens.llm import language_id, packing
+from tradelens.llm import language_id, packing, tokens
 from tradelens.llm.catalog import QUERIES, public_vocabulary
 
 
@@ -95,12 +97,15 @@ def test_longest_known_ngrams_come_first():
 # ---- packing ----------------------------------------------------------------
 
 
-def reference_ids(text):
+@cache
+def reference():
     from tokenizers import Tokenizer
 
-    t = reference_ids.__dict__.setdefault("t", Tokenizer.from_file(public_vocabulary().path))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_vocabulary().path)
+
+
+def reference_ids(text):
+    return reference().encode(text or "", add_special_tokens=False).ids
 
 
 alphabet = st.sampled_from([*"aB 7\n\t'é.ßñ-_#", "  ", "'s", " ", "’", "　", "漢", "😀", "<|endoftext|>", "\x1c", "\x85"])
@@ -109,11 +114,29 @@ alphabet = st.sampled_from([*"aB 7\n\t'é.ßñ-_#", "  ", "'s", " ", "’", "
 @settings(max_examples=300, deadline=None, database=None)
 @given(st.lists(alphabet, max_size=30).map("".join))
 def test_ids_are_the_tokenizer_files(text):
-    v = public_vocabulary()
-    got = np.frombuffer(packing.encoder(v.path, v.ranks_path, v.pattern)(text), dtype="<u4").tolist()
+    got = np.frombuffer(tokens.encoder(public_vocabulary())(text), dtype="<u4").tolist()
     assert got == reference_ids(text)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a <|endoftext|> b", "<|endoftext|>", "x" + "\t \n" * 400_000 + "y",
+                                  "\u2003" * 30_000, "a" * 300_000])
+def test_ids_of_long_white_space_and_control_strings(text):
+    assert tokens.encoder(public_vocabulary()).ids(text) == reference_ids(text)
+
+
+def test_control_strings_as_text():
+    special = tokens.encoder(public_vocabulary(), special_as_text=True)
+    assert 50256 not in special.ids("a <|endoftext|> b") and 50256 in tokens.encoder(public_vocabulary()).ids("a <|endoftext|> b")
+
+
+def test_one_row_repeated_without_end_is_spread_over_all_chunks(spark):
+    docs = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    pieces = packing.pack(docs, public_vocabulary(), 64)
+    assert pieces.count() == 40_000 and pieces.select("sequence_id", "offset").distinct().count() == 40_000
+    chunks = packing.dealt(packing.pieces(docs, public_vocabulary(), 64), 16).groupBy("chunk").count().collect()
+    assert len(chunks) == 16 and max(r["count"] for r in chunks) < 2 * 40_000 / 16
+
+
 def check_packed(rows, pieces, size):
     """Every id in exactly one piece, sequences gapless and within the size."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)

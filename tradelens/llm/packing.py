@@ -9,14 +9,12 @@ most ``size`` entries whatever the corpus, and so has the plan on the driver.
 
 Pieces meet the plan by rank: the k-th piece of a length takes the k-th place
 the plan has for it. Ranks are made without gathering a length in one task: rows
-are numbered inside (length, chunk), where a chunk is a hash range of documents,
-and shifted by the counts of the chunks before.
+are numbered inside (length, chunk), where a chunk is dealt by a piece's place in the
+written table, and shifted by the counts of the chunks before.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -27,61 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.common import cut, map_arrow, text_or_empty
-
-# ---- tokens ---------------------------------------------------------------
-
-# Texts of these characters alone (Latin, the usual marks) are encoded by tiktoken from
-# the same vocabulary's rank file, if one is given: same ids (tested), about four
-# times as fast. Any other text goes through the tokenizer file itself, so that two
-# libraries' Unicode tables never decide an id.
-PLAIN = re.compile("[\u0000-\u017f\u2010-\u2027\u20ac]*")
-
-
-class Encoder:
-    """Ids of a byte-level BPE tokenizer file as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        import base64
-
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
-        self.plain = None
-        if ranks_path:
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            self.plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def __call__(self, text: str) -> bytes:
-        if self.plain is not None and PLAIN.fullmatch(text):
-            ids = self.plain.encode_ordinary(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder(*files) -> Encoder:
-    """One encoder per worker process and set of files."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if files not in _ENCODERS:
-        _ENCODERS[files] = Encoder(*files)
-    return _ENCODERS[files]
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Where a tokenizer lies on every executor: its file and, for speed, the same
-    vocabulary as a rank file with its pre-token pattern."""
-
-    path: str
-    ranks_path: str | None = None
-    pattern: str | None = None
-
+from tradelens.llm.tokens import Vocabulary, encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -91,7 +35,7 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, size: int, end_id: int = 0)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = encoder(vocabulary.path, vocabulary.ranks_path, vocabulary.pattern)
+        encode = encoder(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -167,6 +111,12 @@ def places(histogram: dict[int, int], size: int) -> list[Place]:
 # ---- the operator ---------------------------------------------------------
 
 
+def dealt(rows: DataFrame, chunks: int) -> DataFrame:
+    """With ``chunk`` by a row's place in its partition, so that one row repeated without
+    end is spread over all of them. To be written before it is read twice."""
+    return rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)))
+
+
 def pack(docs: DataFrame, vocabulary: Vocabulary, size: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.
@@ -177,8 +127,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, size: int = 1024, end_id: int
     """
     spark = docs.sparkSession
     chunks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut_up = cut(pieces(docs, vocabulary, size, end_id)
-                 .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(chunks))))
+    cut_up = cut(dealt(pieces(docs, vocabulary, size, end_id), chunks))
     counts = cut_up.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     shifts = cut(counts.select("length", "chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")))

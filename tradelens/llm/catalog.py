@@ -18,6 +18,7 @@ from tradelens.llm import (
     packing,
     sharding,
     simhash_dedup,
+    spelling_variants,
     substring_dedup,
     tokenizer_alignment,
     warc,
@@ -252,3 +253,8 @@ def op12(spark, sf_dir):
 
     return tokenizer_alignment.align(table(spark, sf_dir, "documents"), public_vocabulary(),
                                      public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+@_query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))

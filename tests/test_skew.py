@@ -84,3 +84,32 @@ def test_seller_review_summary_with_a_hot_order_matches_brute_force(spark):
                   r2(Decimal(sum(a[2])) / len(a[2])) if a[2] else None, len(a[3]))
             for sid, a in acc.items()}
     assert got == want
+
+
+def test_a_hot_key_of_an_anti_join_is_split(spark):
+    from pyspark.sql import functions as F
+
+    from tradelens.operators.audits import payments_without_orders
+
+    n = 60_000  # half of the payments have one order, a tenth have none
+    payments = spark.range(n).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 10 == 1, None)
+                                     .otherwise(F.concat(F.lit("o"), F.col("id").cast("string"))).alias("order_id"))
+    orders = spark.range(0, n, 3).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("order_id"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = payments_without_orders(payments.repartition(8), orders)
+        counts = {r["order_id"]: r["count"] for r in found.groupBy("order_id").count().where("order_id is null or order_id = 'hot'").collect()}
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = [None if i % 2 and i % 10 == 1 else "hot" if i % 2 == 0 else f"o{i}" for i in range(n)]
+    assert counts == {"hot": n // 2, None: n // 10}
+    assert len(rows) == sum(w is None or w == "hot" or int(w[1:]) % 3 != 0 for w in want)
+    assert "skew=true" in plan

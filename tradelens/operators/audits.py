@@ -26,8 +26,8 @@ from tradelens.operators.common import (
     FULFILLED,
     fulfilled_payments,
     is_fulfilled,
-    matched_in_salts,
     more_than_one,
+    without_match,
 )
 from tradelens.operators.freight import delivery_days, has_delivery_times
 from tradelens.operators.payments import HIGH_INSTALLMENTS
@@ -83,7 +83,7 @@ def order_payment_detail(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 # A05
 def payments_without_orders(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    return matched_in_salts(payments.select("order_id"), orders, "order_id", "left_anti")
+    return without_match(payments.select("order_id"), orders, "order_id")
 
 
 # A06
@@ -201,9 +201,9 @@ def orders_without_items(orders: DataFrame, items: DataFrame) -> DataFrame:
             .agg(big(F.count(F.lit(1))).alias("orders_without_items")))
 
 
-# A20 -- a bestseller's items are dealt over several tasks.
+# A20 -- a bestseller's items are split by adaptive execution.
 def orders_with_unmatched_products(items: DataFrame, products: DataFrame) -> DataFrame:
-    return (matched_in_salts(items.select("order_id", "product_id"), products, "product_id", "left_anti")
+    return (without_match(items.select("order_id", "product_id"), products, "product_id")
             .agg(big(F.countDistinct("order_id")).alias("unmatched_orders")))
 
 

@@ -65,18 +65,13 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
                  F.count("review_score").alias("scored")))
 
 
-def matched_in_salts(left: DataFrame, keys: DataFrame, key: str, how: str, salts: int = 16) -> DataFrame:
-    """``left`` semi- or anti-joined with the distinct values of ``key`` in
-    ``keys``, where one value may hold a large part of ``left``: rows are dealt
-    over ``salts`` copies of each key value, so a hot value fills that many
-    tasks. Rows without a key never enter the shuffle (they would all meet in
-    one task): a semi join drops them, an anti join keeps them."""
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    dealt = keys.select(key).where(F.col(key).isNotNull()).distinct().select(
-        key, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("__salt"))
-    keyed = left.where(F.col(key).isNotNull()).withColumn("__salt", salt)
-    joined = keyed.join(dealt, [key, "__salt"], how).select(*left.columns)
-    return joined.unionByName(left.where(F.col(key).isNull())) if how == "left_anti" else joined
+def without_match(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``left`` rows whose ``key`` is not in ``keys``: an anti join of two plain shuffles, which
+    adaptive execution splits where one value holds a large part of ``left`` (an aggregate or
+    distinct on the key's side would forbid that). Rows without a key never match; they go
+    around the join, where they would all meet in one task."""
+    keyed = left.where(F.col(key).isNotNull()).join(keys.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    return keyed.select(*left.columns).unionByName(left.where(F.col(key).isNull()))
 
 
 def category_of(products: DataFrame, translation: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ pruning down into the Parquet scans.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,20 +75,27 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-@dataclass(frozen=True)
 class Roles:
     """Input tables of the reports. ``orders`` is the raw table; reports after
-    the clean-up step use :attr:`paid_orders`."""
-
-    orders: DataFrame
-    payments: DataFrame
-    items: DataFrame
-    products: DataFrame
-    translation: DataFrame
-    customers: DataFrame
-    sellers: DataFrame
-    reviews: DataFrame
-    cleaned: DataFrame | None = None  # paid_orders as a written table, if a batch made one
+    the clean-up step use :attr:`paid_orders`.
+
+    A role may be given as a DataFrame or as a function that makes it: then it is bound when a
+    report first asks for it, so a report binds only the roles it reads."""
+
+    def __init__(self, cleaned: DataFrame | Callable[[], DataFrame] | None = None,
+                 **roles: DataFrame | Callable[[], DataFrame]):
+        if set(roles) != set(SCHEMAS):
+            raise TypeError(f"roles missing or unknown: {sorted(set(roles) ^ set(SCHEMAS))}")
+        self._given = {**roles, "cleaned": cleaned}  # cleaned: paid_orders as a written table, if a batch made one
+        self._bound: dict[str, DataFrame | None] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._given:
+            raise AttributeError(name)
+        if name not in self._bound:
+            given = self._given[name]
+            self._bound[name] = given if given is None or isinstance(given, DataFrame) else given()
+        return self._bound[name]
 
     @property
     def paid_orders(self) -> DataFrame:
@@ -99,7 +106,7 @@ class Roles:
         return keep_paid_orders(self.orders, self.payments)
 
     def with_(self, **changes: DataFrame) -> "Roles":
-        return replace(self, **changes)
+        return Roles(**{**self._given, **changes})
 
 
 def read_roles(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
@@ -114,6 +121,21 @@ def read_roles(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
     return Roles(**frames)
 
 
+# Declared schemas of the test tables' columns that the roles are made of: binding them
+# reads no file footer and starts no job.
+TEST_TABLES = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_returnflag string",
+    "supplier": "s_suppkey long",
+    "part": "p_partkey long, p_brand string, p_size int",
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "documents": "doc_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
 def _negated(key, every: int):
     """``key``, negated where it is a multiple of ``every``."""
     return F.when(key % every == 0, -key).otherwise(key)
@@ -136,94 +158,92 @@ def bind_test_tables(spark: SparkSession, sf_dir: str) -> Roles:
     """
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(TEST_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     ok = F.col("o_orderkey")
-    orders = read("orders").select(
-        _negated(ok, 97).alias("order_id"),
-        ok.alias("customer_id"),
-        F.when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "O", "shipped")
-        .when(F.col("o_orderstatus") == "P", "canceled")
-        .alias("order_status"),
-        F.col("o_orderdate").alias("purchase_time"),
-        _days_after("o_orderdate", ok % 3).alias("order_approved_at"),
-        F.when(ok % 23 == 0, F.lit(None))
-        .otherwise(_days_after("o_orderdate", ok % 3 + F.expr("o_orderkey div 3") % 14 - 1))
-        .alias("order_delivered_carrier_date"),
-        F.when(ok % 29 == 0, F.lit(None))
-        .otherwise(_days_after("o_orderdate", ok % 61 - 2))
-        .alias("delivered_time"),
-    )
-
-    lineitem = read("lineitem")
-    payments = lineitem.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_returnflag").alias("payment_type"),
-        (F.col("l_linenumber") * 2).alias("payment_installments"),
-        money("l_extendedprice").alias("payment_value"),
-    )
-    items = lineitem.select(
-        _negated(F.col("l_orderkey"), 89).alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        (F.col("l_suppkey") * 200 + F.col("l_orderkey") % 200).alias("seller_id"),
-        money("l_extendedprice").alias("price"),
-        money("l_quantity").alias("freight_value"),
-    )
-
-    # 200 seller accounts per supplier: a fixed fan-out by explode, not a join.
-    sellers = (read("supplier")
-               .select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
-               .select((F.col("s_suppkey") * 200 + F.col("k")).alias("seller_id")))
-
-    part = read("part")
-    size = F.col("p_size")
+
+    def orders() -> DataFrame:
+        return read("orders").select(
+            _negated(ok, 97).alias("order_id"),
+            ok.alias("customer_id"),
+            F.when(F.col("o_orderstatus") == "F", "delivered")
+            .when(F.col("o_orderstatus") == "O", "shipped")
+            .when(F.col("o_orderstatus") == "P", "canceled")
+            .alias("order_status"),
+            F.col("o_orderdate").alias("purchase_time"),
+            _days_after("o_orderdate", ok % 3).alias("order_approved_at"),
+            F.when(ok % 23 == 0, F.lit(None))
+            .otherwise(_days_after("o_orderdate", ok % 3 + F.expr("o_orderkey div 3") % 14 - 1))
+            .alias("order_delivered_carrier_date"),
+            F.when(ok % 29 == 0, F.lit(None))
+            .otherwise(_days_after("o_orderdate", ok % 61 - 2))
+            .alias("delivered_time"),
+        )
+
+    def payments() -> DataFrame:
+        return read("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_returnflag").alias("payment_type"),
+            (F.col("l_linenumber") * 2).alias("payment_installments"),
+            money("l_extendedprice").alias("payment_value"),
+        )
+
+    def items() -> DataFrame:
+        return read("lineitem").select(
+            _negated(F.col("l_orderkey"), 89).alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            (F.col("l_suppkey") * 200 + F.col("l_orderkey") % 200).alias("seller_id"),
+            money("l_extendedprice").alias("price"),
+            money("l_quantity").alias("freight_value"),
+        )
+
+    def sellers() -> DataFrame:
+        # 200 seller accounts per supplier: a fixed fan-out by explode, not a join.
+        return (read("supplier")
+                .select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
+                .select((F.col("s_suppkey") * 200 + F.col("k")).alias("seller_id")))
+
     brand = F.col("p_brand")
-    products = part.select(
-        _negated(F.col("p_partkey"), 41).alias("product_id"),
-        F.when(F.col("p_partkey") % 23 == 0, F.concat(F.lit("Own-"), brand)).otherwise(brand)
-        .alias("product_category_name"),
-        (size * 100).cast("double").alias("product_weight_g"),
-        size.cast("double").alias("product_length_cm"),
-        (size + 1).cast("double").alias("product_height_cm"),
-        (size + 2).cast("double").alias("product_width_cm"),
-    )
-    translation = (
-        part.select(brand.alias("product_category_name")).distinct()
-        .select(
+
+    def products() -> DataFrame:
+        size = F.col("p_size")
+        return read("part").select(
+            _negated(F.col("p_partkey"), 41).alias("product_id"),
+            F.when(F.col("p_partkey") % 23 == 0, F.concat(F.lit("Own-"), brand)).otherwise(brand)
+            .alias("product_category_name"),
+            (size * 100).cast("double").alias("product_weight_g"),
+            size.cast("double").alias("product_length_cm"),
+            (size + 1).cast("double").alias("product_height_cm"),
+            (size + 2).cast("double").alias("product_width_cm"),
+        )
+
+    def translation() -> DataFrame:
+        return read("part").select(brand.alias("product_category_name")).distinct().select(
             "product_category_name",
             F.lower(F.replace(F.col("product_category_name"), F.lit("#"), F.lit("_")))
             .alias("product_category_name_english"),
         )
-    )
-
-    # nation is a few KB: Spark's size-checked auto-broadcast picks it up.
-    nation = read("nation").select("n_nationkey", "n_name")
-    buyers = read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    customers = read("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
-        ok.alias("customer_id"),
-        F.when(ok % 5 == 0, F.col("o_custkey")).otherwise(-ok).alias("customer_unique_id"),
-        (F.col("c_custkey") % 50).alias("customer_zip_code_prefix"),
-        F.col("c_mktsegment").alias("customer_city"),
-        F.col("n_name").alias("customer_state"),
-    )
-
-    labels = read("labels")
-    reviews = read("documents").join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("review_id"),
-        F.col("doc_id").alias("order_id"),
-        (F.lit(1) + F.col("quality") * 2 + (F.lit(1) - F.col("toxic"))).alias("review_score"),
-        F.lit(None).cast("string").alias("review_comment_title"),
-        F.col("text").alias("review_comment_message"),
-    )
-
-    return Roles(
-        orders=orders,
-        payments=payments,
-        items=items,
-        products=products,
-        translation=translation,
-        customers=customers,
-        sellers=sellers,
-        reviews=reviews,
-    )
+
+    def customers() -> DataFrame:
+        # nation is a few KB: Spark's size-checked auto-broadcast picks it up.
+        nation = read("nation").select("n_nationkey", "n_name")
+        buyers = read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        return read("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
+            ok.alias("customer_id"),
+            F.when(ok % 5 == 0, F.col("o_custkey")).otherwise(-ok).alias("customer_unique_id"),
+            (F.col("c_custkey") % 50).alias("customer_zip_code_prefix"),
+            F.col("c_mktsegment").alias("customer_city"),
+            F.col("n_name").alias("customer_state"),
+        )
+
+    def reviews() -> DataFrame:
+        return read("documents").join(read("labels"), "doc_id", "left").select(
+            F.col("doc_id").alias("review_id"),
+            F.col("doc_id").alias("order_id"),
+            (F.lit(1) + F.col("quality") * 2 + (F.lit(1) - F.col("toxic"))).alias("review_score"),
+            F.lit(None).cast("string").alias("review_comment_title"),
+            F.col("text").alias("review_comment_message"),
+        )
+
+    return Roles(orders=orders, payments=payments, items=items, products=products, translation=translation,
+                 customers=customers, sellers=sellers, reviews=reviews)

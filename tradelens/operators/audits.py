@@ -142,11 +142,14 @@ def sellers_with_no_sales(sellers: DataFrame, items: DataFrame) -> DataFrame:
 # A14
 def sellers_with_only_unfulfilled_orders(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                                          statuses=FULFILLED) -> DataFrame:
+    return sellers_with_only_unfulfilled_orders_of(
+        sellers, items.select("order_id", "seller_id").join(orders.select("order_id", "order_status"), "order_id"), statuses)
+
+
+def sellers_with_only_unfulfilled_orders_of(sellers: DataFrame, sold: DataFrame, statuses=FULFILLED) -> DataFrame:
     # One row per seller before membership is tested (a repeated seller row
     # cannot turn a zero into a non-zero).
-    per_seller = (items.select("order_id", "seller_id")
-                  .join(orders.select("order_id", "order_status"), "order_id")
-                  .groupBy("seller_id")
+    per_seller = (sold.groupBy("seller_id")
                   .agg(F.count_if(is_fulfilled(statuses)).alias("fulfilled_rows")))
     return (per_seller.where(F.col("fulfilled_rows") == 0)
             .join(keys_of(sellers, "seller_id"), "seller_id", "left_semi")

@@ -46,10 +46,11 @@ def monthly_orders_revenue_summary(merged: DataFrame) -> DataFrame:
             .orderBy("month"))
 
 
-def _sold(items: DataFrame, orders: DataFrame, statuses, *order_cols: str) -> DataFrame:
-    """Item rows of fulfilled orders: the one shuffle of the items."""
+def ordered_items(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Item rows with their orders' status and purchase time: the one shuffle of the items. A
+    batch writes it once for all reports that take it (``sold``)."""
     return (items.select("order_id", "product_id", "seller_id", "price")
-            .join(orders.where(is_fulfilled(statuses)).select("order_id", *order_cols), "order_id"))
+            .join(orders.select("order_id", "order_status", "purchase_time"), "order_id"))
 
 
 def _english(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -64,7 +65,12 @@ def _english(products: DataFrame, translation: DataFrame) -> DataFrame:
 # R03
 def monthly_category_revenue(items: DataFrame, products: DataFrame, translation: DataFrame,
                              orders: DataFrame, statuses=FULFILLED) -> DataFrame:
-    per_product = (_sold(items, orders, statuses, "purchase_time")
+    return monthly_category_revenue_of(ordered_items(items, orders), products, translation, statuses)
+
+
+def monthly_category_revenue_of(sold: DataFrame, products: DataFrame, translation: DataFrame,
+                                statuses=FULFILLED) -> DataFrame:
+    per_product = (sold.where(is_fulfilled(statuses))
                    .groupBy(_month().alias("month"), "product_id")
                    .agg(F.sum("price").alias("revenue")))
     return (per_product.join(_english(products, translation), "product_id")
@@ -76,7 +82,12 @@ def monthly_category_revenue(items: DataFrame, products: DataFrame, translation:
 # R04
 def category_sales_summary(items: DataFrame, products: DataFrame, translation: DataFrame,
                            orders: DataFrame, statuses=FULFILLED) -> DataFrame:
-    per_product = (_sold(items, orders, statuses).groupBy("product_id")
+    return category_sales_summary_of(ordered_items(items, orders), products, translation, statuses)
+
+
+def category_sales_summary_of(sold: DataFrame, products: DataFrame, translation: DataFrame,
+                              statuses=FULFILLED) -> DataFrame:
+    per_product = (sold.where(is_fulfilled(statuses)).groupBy("product_id")
                    .agg(F.sum("price").alias("revenue"), F.count(F.lit(1)).alias("n")))
     return (per_product.join(_english(products, translation), "product_id")
             .groupBy("category")
@@ -112,16 +123,20 @@ def state_revenue_summary(orders: DataFrame, payments: DataFrame, customers: Dat
             .orderBy(F.desc("total_revenue"), "customer_state"))
 
 
-def _seller_orders(items: DataFrame, orders: DataFrame, statuses) -> DataFrame:
+def _seller_orders(sold: DataFrame, statuses) -> DataFrame:
     """(order_id, seller_id) -> value, n_items over fulfilled orders, combined
     where the join on order_id left the rows."""
-    return (_sold(items, orders, statuses).groupBy("order_id", "seller_id")
+    return (sold.where(is_fulfilled(statuses)).groupBy("order_id", "seller_id")
             .agg(F.sum("price").alias("value"), F.count(F.lit(1)).alias("n_items")))
 
 
 # R07
 def seller_total_revenue(items: DataFrame, orders: DataFrame, statuses=FULFILLED) -> DataFrame:
-    return (_seller_orders(items, orders, statuses)
+    return seller_total_revenue_of(ordered_items(items, orders), statuses)
+
+
+def seller_total_revenue_of(sold: DataFrame, statuses=FULFILLED) -> DataFrame:
+    return (_seller_orders(sold, statuses)
             .groupBy("seller_id").agg(*_revenue_aggs("avg_revenue_per_order"))
             .orderBy(F.desc("total_revenue"), "seller_id"))
 
@@ -135,7 +150,11 @@ def seller_total_revenue(items: DataFrame, orders: DataFrame, statuses=FULFILLED
 # "score IS NOT NULL OR score IS NULL" filter is dropped.
 def seller_revenue_review_summary(items: DataFrame, orders: DataFrame, reviews: DataFrame,
                                   statuses=FULFILLED) -> DataFrame:
-    pairs = _seller_orders(items, orders, statuses)
+    return seller_revenue_review_summary_of(ordered_items(items, orders), reviews, statuses)
+
+
+def seller_revenue_review_summary_of(sold: DataFrame, reviews: DataFrame, statuses=FULFILLED) -> DataFrame:
+    pairs = _seller_orders(sold, statuses)
     rows = pairs.join(reviews_per_order(reviews), "order_id", "left")
     times = F.greatest(F.coalesce("review_rows", F.lit(1)), F.lit(1))
     money = (rows.groupBy("seller_id")

@@ -37,7 +37,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
-    """DROP TABLE IF EXISTS + CREATE TABLE AS: an atomic-per-job overwrite."""
+    """DROP TABLE IF EXISTS + CREATE TABLE AS in place. Spark removes the old files before the
+    job runs: whoever reads meanwhile, or loses the driver, finds nothing. Tables that must
+    stay readable go through :class:`tradelens.sources.versioned.VersionedTable`."""
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry
-from tradelens.plans.catalog import REGISTRY
+from tradelens.plans.catalog import REGISTRY, WRITING
 from tradelens.plans.oracle import build_oracle
 
 SF = "/root/testdata/sf0.001"
@@ -39,7 +39,7 @@ def oracle_sql():
 
 
 # DuckDB's type of each Spark type a report may return.
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+TYPES = {"bigint": "BIGINT", "boolean": "BOOLEAN", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
          "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
 
@@ -165,8 +165,8 @@ def test_anti_joins_are_two_plain_shuffles(spark):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_building_a_report_starts_no_job(spark, name):
-    if name.startswith("review_") and "csv" in name:
-        return  # the file hand-off writes
+    if name in WRITING:
+        return
     tracker, group = spark.sparkContext.statusTracker(), f"build-{name}"
     spark.sparkContext.setJobGroup(group, name)
     try:
@@ -174,3 +174,28 @@ def test_building_a_report_starts_no_job(spark, name):
         assert not tracker.getJobIdsForGroup(group)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name,table", [("revenue_by_place_levels", "l_extendedprice"), ("freight_ratio_levels", "l_quantity"),
+                                        ("delivery_band_levels", "o_orderdate")])
+def test_all_levels_come_from_one_pass(spark, name, table):
+    scans = re.findall(r"ReadSchema: struct<([^>]*)>", _large_plan(spark, name))
+    assert sum(table in s for s in scans) == 1, scans
+
+
+def test_levels_agree_with_the_reports(spark):
+    q = queries()
+    levels = q["revenue_by_place_levels"](spark, SF)
+    for level, report, keys in (("city", "state_city_revenue", ["customer_state", "customer_city"]), ("state", "state_revenue_summary", ["customer_state"])):
+        own = levels.where(f"level = '{level}'").select(*keys, "total_revenue", "total_orders", "avg_order_value")
+        assert _sorted(map(tuple, own.collect())) == _sorted(map(tuple, q[report](spark, SF).select(*keys, "total_revenue", "total_orders", own_avg(report)).collect()))
+
+
+def own_avg(report: str) -> str:
+    return "avg_revenue_per_order" if report == "state_city_revenue" else "avg_order_value"
+
+
+def test_distinct_counts_read_each_table_once(spark):
+    """Orders are read for themselves and for their customers."""
+    scans = re.findall(r"ReadSchema: struct<([^>]*)>", _large_plan(spark, "distinct_counts"))
+    assert len([s for s in scans if "o_orderkey" in s]) <= 2 and len([s for s in scans if "l_orderkey" in s]) <= 2, scans

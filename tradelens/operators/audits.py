@@ -1,4 +1,4 @@
-"""Data-quality and exploration operators.
+"""Data-quality and exploration operators.
 
 Every "LEFT JOIN ... WHERE right.key IS NULL" probe of the reference is written
 as a ``left_anti`` join and every ``IN (subquery)`` / ``EXISTS`` as a
@@ -31,12 +31,14 @@ from tradelens.operators.common import (
 )
 from tradelens.operators.freight import delivery_days, has_delivery_times
 from tradelens.operators.payments import HIGH_INSTALLMENTS
+from tradelens.sources.versioned import VersionedTable
 
 
 # ---------------------------------------------------------------------------
-# Size of the repeated-person sample.
+# Sizes of the repeated-person sample and of a preview.
 # ---------------------------------------------------------------------------
 PERSON_SAMPLE = 10
+PREVIEW_ROWS = 10
 
 
 def keys_of(df: DataFrame, key: str) -> DataFrame:
@@ -180,22 +182,17 @@ def items_per_order_histogram(items: DataFrame) -> DataFrame:
             .orderBy("item_count"))
 
 
-# A18
+# A18 -- one scan per table, whatever the number of its keys.
 def distinct_counts(items: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
     """The five exact distinct counts of the reference, one row per metric."""
-    specs = [
-        ("order_items.order_id", items, "order_id"),
-        ("orders.order_id", orders, "order_id"),
-        ("orders.customer_id", orders, "customer_id"),
-        ("customers.customer_id", customers, "customer_id"),
-        ("customers.customer_unique_id", customers, "customer_unique_id"),
-    ]
-    parts = [df.agg(F.lit(name).alias("metric"), big(F.countDistinct(col)).alias("distinct_count"))
-             for name, df, col in specs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    specs = [("order_items", items, ["order_id"]), ("orders", orders, ["order_id", "customer_id"]),
+             ("customers", customers, ["customer_id", "customer_unique_id"])]
+    parts = []
+    for table, df, keys in specs:
+        counts = df.agg(*[big(F.countDistinct(k)).alias(k) for k in keys])
+        metrics = F.array(*[F.struct(F.lit(f"{table}.{k}").alias("metric"), F.col(k).alias("distinct_count")) for k in keys])
+        parts.append(counts.select(F.explode(metrics).alias("m")).select("m.*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # A19
@@ -267,3 +264,25 @@ def repeat_customers_with_cancellations(customers: DataFrame, orders: DataFrame,
     return (per_person.where(F.col("repeat") & (F.col("cancelled") == 1)
                              & F.col("customer_unique_id").isNotNull())
             .agg(big(F.count(F.lit(1))).alias("repeat_customers_with_cancellations")))
+
+
+# A26 -- a preview by definition: the first k rows in key order.
+def preview(df: DataFrame, key: str, k: int = PREVIEW_ROWS) -> DataFrame:
+    return df.orderBy(key).limit(k)
+
+
+# P07 -- the clean-up as a change of a stored table.
+PURCHASE_MONTH = "date_format(purchase_time, 'yyyy-MM')"
+
+
+def delete_unpaid_orders(table: VersionedTable, payments: DataFrame) -> DataFrame:
+    """DELETE the orders without a payment from a stored orders table, partition by partition. One row per
+    partition before: month, rows_before, rows_deleted, rewritten, and of what the table holds
+    afterwards rows_kept, first_order, last_order (NULL where nothing is left)."""
+    report = table.delete_unmatched(payments, "order_id")
+    kept = table.read().groupBy(F.expr(PURCHASE_MONTH).alias("label")).agg(
+        big(F.count(F.lit(1))).alias("rows_kept"), F.min("order_id").alias("first_order"), F.max("order_id").alias("last_order"))
+    own = kept.select(F.col("label").alias("kept_label"), "rows_kept", "first_order", "last_order")
+    return (report.join(own, F.col("label").eqNullSafe(F.col("kept_label")), "left")
+            .select(F.col("label").alias("month"), "rows_before", "rows_deleted", "rewritten",
+                    F.coalesce("rows_kept", F.lit(0)).cast("long").alias("rows_kept"), "first_order", "last_order"))

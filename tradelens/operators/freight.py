@@ -32,8 +32,6 @@ DIM_WEIGHT_DIVISOR = 6000
 # depends on the order rows arrive in, so the last bits are not reproducible.
 RATIO_AVG_DIGITS = 8
 
-_SUM_TYPE = "decimal(38,2)"
-
 
 def delivery_days() -> Column:
     """DATEDIFF(delivered, purchased): whole calendar days, time of day ignored."""
@@ -123,10 +121,10 @@ def order_value_vs_freight(items: DataFrame, orders: DataFrame,
     )
 
 
-def _freight_ratio_by(keys: list[str], items: DataFrame, orders: DataFrame,
-                      customers: DataFrame, statuses) -> DataFrame:
-    """R16's values by place, in one pass over the orders: where the reference
-    joins R16 to the orders again for the customer, the aggregate per order
+def freight_ratio_rows(keys: list[str], items: DataFrame, orders: DataFrame,
+                       customers: DataFrame, statuses) -> DataFrame:
+    """R16's values with their place (order_id, value, freight, ``keys``), in one pass over the orders: where the
+    reference joins R16 to the orders again for the customer, the aggregate per order
     carries the customers of its rows (one, unless an order id is repeated)."""
     paid = is_fulfilled(statuses)
     per_order = (items_per_order(items).select("order_id", "price_sum", "freight_max")
@@ -136,8 +134,13 @@ def _freight_ratio_by(keys: list[str], items: DataFrame, orders: DataFrame,
                       F.max(F.when(paid, F.col("freight_max"))).alias("freight"),
                       F.count_if(paid).alias("n"), F.collect_list("customer_id").alias("ids"))
                  .where(F.col("n") > 0))
-    rows = (per_order.select("order_id", "value", "freight", F.explode("ids").alias("customer_id"))
+    return (per_order.select("order_id", "value", "freight", F.explode("ids").alias("customer_id"))
             .join(customers.select("customer_id", *keys), "customer_id"))
+
+
+def _freight_ratio_by(keys: list[str], items: DataFrame, orders: DataFrame,
+                      customers: DataFrame, statuses) -> DataFrame:
+    rows = freight_ratio_rows(keys, items, orders, customers, statuses)
     ratio = safe_ratio(F.col("freight").cast("double"), F.col("value").cast("double"))
     return (rows.groupBy(*keys)
             .agg(big(F.count("order_id")).alias("total_orders"),

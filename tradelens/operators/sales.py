@@ -96,7 +96,7 @@ def category_sales_summary_of(sold: DataFrame, products: DataFrame, translation:
             .orderBy(F.desc("total_revenue"), "category"))
 
 
-def _paid_by_place(orders: DataFrame, payments: DataFrame, customers: DataFrame, statuses,
+def paid_by_place(orders: DataFrame, payments: DataFrame, customers: DataFrame, statuses,
                    *place: str) -> DataFrame:
     """Payments per order and place; the last join is on order_id, so the
     aggregate needs no shuffle."""
@@ -110,7 +110,7 @@ def _paid_by_place(orders: DataFrame, payments: DataFrame, customers: DataFrame,
 def state_city_revenue(orders: DataFrame, payments: DataFrame, customers: DataFrame,
                        statuses=FULFILLED) -> DataFrame:
     place = ["customer_state", "customer_city"]
-    return (_paid_by_place(orders, payments, customers, statuses, *place)
+    return (paid_by_place(orders, payments, customers, statuses, *place)
             .groupBy(*place).agg(*_revenue_aggs("avg_revenue_per_order"))
             .orderBy(F.desc("total_revenue"), *place))
 
@@ -118,7 +118,7 @@ def state_city_revenue(orders: DataFrame, payments: DataFrame, customers: DataFr
 # R06 -- recounts distinct orders per state (R05's averages do not roll up).
 def state_revenue_summary(orders: DataFrame, payments: DataFrame, customers: DataFrame,
                           statuses=FULFILLED) -> DataFrame:
-    return (_paid_by_place(orders, payments, customers, statuses, "customer_state")
+    return (paid_by_place(orders, payments, customers, statuses, "customer_state")
             .groupBy("customer_state").agg(*_revenue_aggs("avg_order_value"))
             .orderBy(F.desc("total_revenue"), "customer_state"))
 

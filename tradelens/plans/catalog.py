@@ -21,6 +21,7 @@ from tradelens.operators import (
     payments as pay,
     products as prod,
     reviews as rev,
+    rollups,
     sales,
     text_mining,
 )
@@ -28,6 +29,7 @@ from tradelens.session import shared_folder
 from tradelens.sources import files
 from tradelens.sources.roles import Roles, bind_test_tables
 from tradelens.sources.stopwords import default_stop_words
+from tradelens.sources.versioned import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 Report = Callable[[Roles, SparkSession], DataFrame]
@@ -195,5 +197,30 @@ def _exported(r: Roles, s: SparkSession) -> DataFrame:
 _q("review_text_csv_hand_off")(_handed_off)
 _q("review_word_frequency_csv_export")(_exported)
 
+# --- totals beside groups, distinct counts that merge, the stored clean-up --
+_q("revenue_by_place_levels")(
+    lambda r, s: rollups.revenue_levels(rollups.revenue_states(r.orders, r.payments, r.customers)))
+_q("freight_ratio_levels")(
+    lambda r, s: rollups.freight_ratio_levels(r.items, r.paid_orders, r.customers))
+_q("delivery_band_levels")(lambda r, s: rollups.delivery_band_levels(r.paid_orders, r.customers))
+_q("buyers_by_period")(lambda r, s: rollups.buyers_by_period(r.paid_orders, r.customers))
+_q("orders_preview")(lambda r, s: audits.preview(r.orders, "order_id"))
+
+
+def _stored_clean_up(r: Roles, s: SparkSession) -> DataFrame:
+    table = VersionedTable(s, f"{shared_folder(s)}/orders-{uuid.uuid4().hex}")
+    try:
+        table.replace(r.orders, partition_by=audits.PURCHASE_MONTH)
+        done = audits.delete_unpaid_orders(table, r.payments)
+        # a row per month; the stored table goes, so they are taken out of it here
+        return s.createDataFrame(done.collect(), done.schema)
+    finally:
+        table.drop()
+
+
+_q("paid_orders_stored")(_stored_clean_up)
+
+# Queries that write while they are built: the file hand-off and the stored clean-up.
+WRITING = {"review_text_csv_hand_off", "review_word_frequency_csv_export", "paid_orders_stored"}
 
 FLAGSHIP = "monthly_orders_revenue_summary"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -38,9 +40,47 @@ def test_any_text_comes_back(spark, conversations):
         r = got[i]
         assert [(t.role, t.text) for t in r.back] == c
         assert r.learned == "".join(t for role, t in c if role == "assistant")
-        inner = r.formatted.replace(chat_format.START, "").replace(chat_format.SEPARATOR, "").replace(chat_format.END, "")
-        assert r.formatted.count(chat_format.END) == len(c)
-        assert not any(x in inner for x in chat_format.CONTROL if len(c) == 1 and not c[0][0])
+        assert [(r.formatted[s.start:s.start + s.length]) for s in r.loss_spans] == own_escaped(r.formatted)
+        marks = [chat_format.START, chat_format.SEPARATOR, chat_format.END]
+        assert all(r.formatted.count(m) == len(c) for m in marks)
+        # the marks are where turns begin, part and end; between them no control string is left
+        parts = [p for turn in r.formatted.split(chat_format.END)[:-1] for p in turn.removeprefix(chat_format.START).split(chat_format.SEPARATOR)]
+        assert len(parts) == 2 * len(c) and not any(x in p for x in chat_format.CONTROL for p in parts)
+
+
+def own_escaped(formatted):
+    turns = [t.removeprefix(chat_format.START).split(chat_format.SEPARATOR) for t in formatted.split(chat_format.END)[:-1]]
+    return [text for role, text in turns if role == "assistant"]
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    def run(n):
+        one = [("user" if k % 2 else "assistant", f"turn {k} é\\ <s> " + "x" * (k % 70)) for k in range(n)]
+        rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 1, 'user', 'assistant') as role",
+                                         "concat('turn ', id, ' é\\\\ <s> ', repeat('x', cast(id % 70 as int))) as text")
+        began = time.time()
+        chat = chat_format.format_chat(chat_format.gathered(rows)).select(
+            "formatted", "loss_spans", chat_format.read_turns(F.col("formatted")).alias("back"),
+            chat_format.masked_text(F.col("formatted"), F.col("loss_spans")).alias("learned"))
+        row = chat.select(F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], t["text"])), ""), 256).alias("back"),
+                          F.sha2("learned", 256).alias("learned"), F.size("loss_spans").alias("spans")).first()
+        took = time.time() - began
+        assert row.spans == (n + 1) // 2
+        assert row.learned == hashlib.sha256("".join(t for role, t in one if role == "assistant").encode()).hexdigest()
+        assert row.back == hashlib.sha256("".join(r + t for r, t in one).encode()).hexdigest()
+        return took
+
+    run(1_000)
+    small, large = run(1_000), run(100_000)
+    assert large < 100 * max(small, 1.0), (small, large)
+
+
+@settings(max_examples=5, deadline=None, database=None)
+@given(st.lists(st.lists(st.integers(0, 1 << 40), max_size=70), min_size=5, max_size=8))
+def test_running_sums(spark, lists):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i long, x array<long>")
+    got = {r.i: r.s for r in df.select("i", chat_format.running_sums(F.col("x")).alias("s")).collect()}
+    assert got == {i: list(itertools.accumulate(x)) for i, x in enumerate(lists)}
 
 
 def test_layouts_by_fingerprint(spark):

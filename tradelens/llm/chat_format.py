@@ -173,25 +173,57 @@ def read_turns(formatted: Column) -> Column:
         unescaped(F.split_part(s, F.lit(SEPARATOR), F.lit(2))).alias("text")))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Inclusive running sums of an array of longs, in rounds that add the sums of 1, 2, 4, ... places
+    before (an appended-to array would be copied for every element)."""
+    def summed(own: Column) -> Column:
+        rounds = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k) < F.size(own))
+        return F.aggregate(rounds, own, lambda sums, k: F.zip_with(
+            F.concat(F.array_repeat(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("int")),
+                     F.slice(sums, F.lit(1), F.size(sums) - F.pow(F.lit(2), k).cast("int"))),
+            sums, lambda before, here: before + here))
+    return _bound(numbers, summed)
+
+
 def loss_spans(formatted: Column, roles: tuple[str, ...] = ("assistant",)) -> Column:
     """(start, length) in code points of the texts of the given roles' turns, as they
     stand in the formatted string: what a model is trained on."""
     segments = F.split(formatted, _quoted(END))
-    turns = F.slice(segments, 1, F.size(segments) - 1)
-    ends = F.aggregate(turns, F.array(F.lit(0).cast("long")), lambda acc, s: F.concat(
-        acc, F.array(F.element_at(acc, -1) + F.length(s) + len(END))))
-    marked = F.transform(turns, lambda s, i: F.struct(
-        F.substring(F.split_part(s, F.lit(SEPARATOR), F.lit(1)), len(START) + 1, 1 << 30).alias("role"),
-        (F.get(ends, i) + F.length(F.split_part(s, F.lit(SEPARATOR), F.lit(1))) + len(SEPARATOR)).alias("start"),
-        F.length(F.split_part(s, F.lit(SEPARATOR), F.lit(2))).cast("long").alias("length")))
-    return F.transform(F.filter(marked, lambda t: t["role"].isin(*roles)),
-                       lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    size = lambda s: (F.length(s) + len(END)).cast("long")
+
+    def spans(turns: Column) -> Column:
+        marked = F.zip_with(turns, running_sums(F.transform(turns, size)), lambda s, end: F.struct(
+            F.substring(F.split_part(s, F.lit(SEPARATOR), F.lit(1)), len(START) + 1, 1 << 30).alias("role"),
+            (end - size(s) + F.length(F.split_part(s, F.lit(SEPARATOR), F.lit(1))) + len(SEPARATOR)).alias("start"),
+            F.length(F.split_part(s, F.lit(SEPARATOR), F.lit(2))).cast("long").alias("length")))
+        return F.transform(F.filter(marked, lambda t: t["role"].isin(*roles)),
+                           lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+
+    return _bound(F.slice(segments, F.lit(1), F.size(segments) - 1), spans)
+
+
+PORTION = 4096
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(
-        F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the mask, unescaped, in order. A string is searched for a place from its
+    beginning, so it is cut into portions first and every span looks into its own only."""
+    portions = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PORTION}}}"), F.lit(0))
+
+    def under(portion: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.floor(s["start"] / PORTION).cast("int")
+            last = F.floor((s["start"] + F.greatest(s["length"], F.lit(1)) - 1) / PORTION).cast("int")
+            own = F.array_join(F.slice(portion, first + 1, last - first + 1), "")
+            return unescaped(F.substring(own, (s["start"] - first * PORTION + 1).cast("int"), s["length"].cast("int")))
+        return F.array_join(F.transform(spans, one), "")
+
+    return _bound(portions, under)
 
 
 def format_chat(records: DataFrame, mappings: list[Mapping] = MAPPINGS) -> DataFrame:

@@ -66,6 +66,83 @@ def test_nothing_to_learn_from(spark):
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
 
 
+def test_numerals_are_no_letters(spark):
+    import regex
+
+    for text in ("½ ② Ⅷ ²", "٣ 12", "ª º", "Ⅷa", "x②y", "漢字", "é", "\u0301"):
+        assert language_id.words_of(text) == regex.findall(r"\p{L}+", text.lower()), text
+    rows = _two_languages(random.Random(24)) + [(900, "½ ② Ⅷ"), (901, "½ kaqto")]
+    got = {r.doc_id: r for r in language_id.identify(docs_frame(spark, rows)).collect()}
+    assert (got[900].lang_pred, got[900].score) == ("und", 0.0) and got[901].lang_pred == "aa"
+
+
+def brute_languages(rows):
+    """Plain loops over the definition, without sampling or a bound on words (rows are few)."""
+    import math
+
+    import regex
+
+    counts = defaultdict(lambda: defaultdict(int))  # word -> language -> n
+    for doc_id, text, lang in rows:
+        if lang is not None and not held(doc_id):
+            for w in regex.findall(r"\p{L}+", (text or "").lower()):
+                counts[w][lang] += 1
+    languages = sorted({lang for by in counts.values() for lang in by})
+    grams = defaultdict(lambda: defaultdict(int))
+    for w, by in counts.items():
+        m = f"^{w}$"
+        for i in range(len(m)):
+            for j in range(i + 1, min(len(m), i + 5) + 1):
+                for lang, n in by.items():
+                    grams[m[i:j]][lang] += n
+    known = {w: by for w, by in counts.items() if sum(by.values()) > 1}
+
+    def logs(table):
+        whole = {lang: sum(by.get(lang, 0) for by in table.values()) + 0.1 * len(table) for lang in languages}
+        return {k: {lang: math.log((by.get(lang, 0) + 0.1) / whole[lang]) for lang in languages} for k, by in table.items()}
+
+    word_logs, gram_logs = logs(known), {}
+    for n in range(1, 6):
+        gram_logs.update(logs({g: by for g, by in grams.items() if len(g) == n}))
+    memory = {}
+
+    def score(w):
+        if w in word_logs:
+            return word_logs[w]
+        total, m, at = dict.fromkeys(languages, 0.0), f"^{w}$", 0
+        while at < len(m):
+            found = next((m[at:at + n] for n in range(min(5, len(m) - at), 0, -1) if m[at:at + n] in gram_logs), None)
+            for lang in languages:
+                total[lang] += gram_logs[found][lang] if found else math.log(1e-7)
+            at += len(found) if found else 1
+        return total
+
+    out = {}
+    for doc_id, text, _ in rows:
+        words = regex.findall(r"\p{L}+", (text or "").lower())
+        if not words or not languages:
+            out[doc_id] = ("und", 0.0)
+            continue
+        total = dict.fromkeys(languages, 0.0)
+        for w in words:
+            if w not in memory:
+                memory[w] = score(w)
+            for lang in languages:
+                total[lang] += memory[w][lang]
+        scaled = {lang: t / len(words) * min(len(words), 32) for lang, t in total.items()}
+        best = max(languages, key=lambda lang: scaled[lang])
+        out[doc_id] = (best, 1 / sum(math.exp(s - scaled[best]) for s in scaled.values()))
+    return out
+
+
+def test_query_against_plain_scorer(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    expected = brute_languages(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op7_language_id"](spark, SF).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[i][0] == expected[i][0] and abs(got[i][1] - expected[i][1]) < 1e-6 for i in got)
+
+
 def test_keep_identified(spark):
     rows = _two_languages(random.Random(23)) + [(500, None), (501, "... 1 2"), (502, "", "aa")]
     docs = docs_frame(spark, rows)

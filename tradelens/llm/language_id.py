@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,7 +28,11 @@ from pyspark.sql import functions as F
 
 from tradelens.llm.common import cut, map_arrow, small_or_shuffled, text_or_empty
 
-WORD = re.compile(r"[^\W\d_]+")
+# Letters are the code points of Unicode's category L; Python's \\w also takes numerals such as
+# one half or a circled two, which are left out one by one.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1))
+                    if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+WORD = re.compile(f"[^\\W\\d_{_NUMERALS}]+")
 LONGEST = 5  # characters of an n-gram
 UNDETERMINED = "und"
 EVIDENCE_WORDS = 32  # words a score counts at most, so that long texts do not all score 1

@@ -3,16 +3,19 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``. All but the last
 return the columns of ``documents``.
+
+Every stage reads doc_id and text (the first also lang) of its input and carries all other
+columns, whatever their names. Nulls and empty texts: the first stage rejects texts without letters,
+null and empty ones among them; the others take them as empty texts. An empty table gives an
+empty table of the same columns. Repeated rows are equal texts: one of them stays.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.llm.catalog import public_vocabulary
-from tradelens.llm.common import table, use_shared_checkpoints
+from tradelens.llm.common import cut, remove_folder, shared_path, table
 from tradelens.llm.decontaminate import keep_clean
 from tradelens.llm.exact_dedup import keep_rows
 from tradelens.llm.language_id import keep_identified
@@ -55,11 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; results between stages are Parquet tables in
-    the shared checkpoint folder."""
-    use_shared_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    the shared checkpoint folder, which go when the last stage's rows are written."""
+    folder = shared_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    pieces = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove_folder(spark, folder)
+    return pieces

@@ -8,6 +8,8 @@ already set.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 SQL_DEFAULTS = {
@@ -46,6 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset
     (tests, a laptop), one beside the warehouse's tables."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 

@@ -135,3 +135,44 @@ def test_lines_of_an_empty_table_and_a_frequent_block(spark):
     rows = [(i, f"own {i}\nx\ny\nz\nlast {i}") for i in range(200)]
     got = line_dedup.remove_repeated_lines(docs_frame(spark, rows)).collect()
     assert Counter(sum(s.length for s in r.removed) for r in got) == {0: 1, 3: 199}
+
+
+def brute_single_lines(rows, least):
+    """Of rows with distinct ids: (doc_id, line numbers) that go as long or adjacent lines."""
+    seen, gone = set(), {}
+    for doc_id, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        lines = (text or "").split("\n")
+        gone[doc_id] = set()
+        for k, line in enumerate(lines):
+            if not line.strip(" \t\n\v\f\r"):
+                continue
+            if k and lines[k - 1] == line:
+                gone[doc_id].add(k)
+            if len(line) >= least:
+                if line in seen:
+                    gone[doc_id].add(k)
+                seen.add(line)
+    return gone
+
+
+def test_long_and_adjacent_lines_go(spark):
+    rng = random.Random(61)
+    pool = ["", "  ", " " * 50, "ab", "ééééééééé", "exactly ten", "a long line that comes often", "another long one, é", "x" * 9, "y" * 10]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own line {i} {k}" for k in range(rng.randrange(9)))) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "ab\nab\nab\n\n\n\nab"), (103, "z" * 100_000 + "\nq"), (104, "q\n" + "z" * 100_000),
+             (105, "s1\ns2\ns3"), (106, "t\ns1\ns2\ns3\n\n")]
+    gone = brute_single_lines(rows, 10)
+    runs = {d: set() for d, _ in rows}
+    for r in line_dedup.remove_repeated_lines(docs_frame(spark, rows), 3, 2).collect():
+        for s in r.removed:
+            runs[r.doc_id] |= set(range(s.start, s.start + s.length))
+    assert any(runs.values()) and any(gone.values())
+    for r in line_dedup.remove_repeated_lines(docs_frame(spark, rows + [(None, "ab\nab\nexactly ten")]), 3, 2, long_line=10).collect():
+        if r.doc_id is None:
+            assert r.kept_text == "ab\nexactly ten"
+            continue
+        text = dict(rows)[r.doc_id]
+        want = gone[r.doc_id] | runs[r.doc_id]
+        got = {k for s in r.removed for k in range(s.start, s.start + s.length)}
+        assert got == (want if text else set()), r.doc_id
+        assert r.kept_text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want) if text else r.kept_text == ""

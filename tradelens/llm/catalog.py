@@ -188,12 +188,15 @@ def op8(spark, sf_dir):
 
 @_query("op9_line_dedup")
 def op9(spark, sf_dir):
-    return _digest(line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), run=3), "n_lines")
+    return _digest(line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), run=3, long_line=LONG_LINE), "n_lines")
 
 
+LONG_LINE = 40
+
 # A line goes if it lies in three lines that also begin earlier (in the same
-# document three lines earlier at least).
-ORACLE_SQL["op9_line_dedup"] = """
+# document three lines earlier at least), if it is long and has come before, or if it
+# equals the line above; for the last two it must not be blank.
+ORACLE_SQL["op9_line_dedup"] = f"""
 WITH texts AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
 starts AS (
@@ -204,10 +207,17 @@ later AS (
   SELECT doc_id, pos FROM (
     SELECT doc_id, pos, min(row(doc_id, pos)) OVER (PARTITION BY three) AS f FROM windows)
   WHERE f[1] <> doc_id OR pos >= f[2] + 3),
-gone AS (
-  SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM later),
 numbered AS (
   SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS content FROM texts),
+gone AS (
+  SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM later
+  UNION SELECT doc_id, line FROM (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY content ORDER BY doc_id, line) AS nth
+    FROM numbered WHERE length(content) >= {LONG_LINE} AND NOT regexp_full_match(content, '[ \t\v\f\r]*'))
+  WHERE nth > 1
+  UNION SELECT a.doc_id, a.line FROM numbered AS a JOIN numbered AS b
+    ON a.doc_id = b.doc_id AND a.line = b.line + 1 AND a.content = b.content
+  WHERE NOT regexp_full_match(a.content, '[ \t\v\f\r]*')),
 kept AS (
   SELECT n.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
          string_agg(content, chr(10) ORDER BY n.line) FILTER (g.line IS NULL) AS kept_text

@@ -1,9 +1,16 @@
 """Removal of repeated runs of lines, found by winnowing.
 
-Lines are what line feeds separate, compared as written. A window is ``run``
-consecutive lines; a line goes if it lies in a window that has already come:
-in a document with a smaller doc_id, or further up in the same document without
-overlapping. The first occurrence of a run stays.
+Lines are what line feeds separate, compared as written; a line of white space only is
+blank. "Already come" means in a document with a smaller doc_id, or further up in the same
+document without overlapping. A line goes if
+
+* it lies in a window of ``run`` consecutive lines that has already come (blank lines
+  included), or
+* it has at least ``long_line`` characters, is not blank, and has already come as a line, or
+* it is not blank and equals the line directly above it.
+
+The first occurrence of a run or of a long line stays. The runs are found by winnowing; the long lines by an exact
+pass beside it.
 
 1. *Winnowing.* Every ``gram`` consecutive lines have a hash, and of every
    ``run - gram + 1`` consecutive hashes the smallest (the rightmost of equals) is
@@ -16,6 +23,9 @@ overlapping. The first occurrence of a run stays.
    hashes; the earliest (doc_id, position) among them stays, later ones go, and
    overlapping windows grow together to the whole repeated run.
 
+4. *Long lines.* Every long line is a window of its own, hashed in full; the same minima
+   decide. Equal lines in a row need no search.
+
 No pairs are made: minima are partial aggregates and the joins back have two
 plainly shuffled sides, which adaptive execution splits for a line found everywhere.
 """
@@ -61,15 +71,40 @@ def _fingerprints(rows: DataFrame, run: int, gram: int) -> DataFrame:
     return map_arrow(rows, select, "hash long, doc_id long, tk long, pos int")
 
 
-def remove_repeated_lines(docs: DataFrame, run: int = 3, gram: int = 2,
+def is_blank(line: bytes) -> bool:
+    return not line.strip(b" \t\n\v\f\r")
+
+
+def _long_lines(rows: DataFrame, least: int) -> DataFrame:
+    def run(batches):
+        one, two = Windows(BASES[0]), Windows(BASES[1])
+        for batch in batches:
+            parts = []
+            for i, text in enumerate(batch.column(2)):
+                lines = line_list(text.as_py())
+                at = np.array([k for k, line in enumerate(lines) if len(line) >= least and not is_blank(line)
+                               and len(line.decode("utf-8", "surrogatepass")) >= least], dtype=np.int64)
+                items = item_hashes([lines[k] for k in at])
+                parts.append((i, at, one.hashes(items, 1).view(np.int64), two.hashes(items, 1).view(np.int64)))
+            yield from position_batches(batch, parts, ["h1", "h2"])
+
+    return map_arrow(rows, run, "h1 long, h2 long, doc_id long, tk long, pos int")
+
+
+def repeated_above(lines: list[bytes]) -> np.ndarray:
+    """Which lines are not blank and equal the line directly above."""
+    return np.array([k > 0 and line == lines[k - 1] and not is_blank(line) for k, line in enumerate(lines)], dtype=bool)
+
+
+def remove_repeated_lines(docs: DataFrame, run: int = 3, gram: int = 2, long_line: int | None = None,
                           broadcast_limit: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs`` (needs doc_id and text; other columns are
     ignored): doc_id, ``n_lines``, ``removed`` (array of line spans start, length)
     and ``kept_text``, the lines that stay joined by line feeds.
 
-    A null or empty text has no lines. A text with fewer lines than ``run`` is
-    never touched, nor is a row without doc_id, which also removes nothing
-    elsewhere. Rows that share doc_id and text are one document; other rows
+    Without ``long_line`` only runs go. A null or empty text has no lines. A row without
+    doc_id comes before or after nothing: only its lines that equal the line above go, and it
+    removes nothing elsewhere. Rows that share doc_id and text are one document; other rows
     that share a doc_id are ordered by a hash of their text. An empty table
     gives no rows.
     """
@@ -96,24 +131,30 @@ def remove_repeated_lines(docs: DataFrame, run: int = 3, gram: int = 2,
             yield from position_batches(batch, parts, ["h1", "h2"])
 
     near = known.join(limited(anchored, F.size("at"), broadcast_limit), keys).select(*keys, "text", "at")
-    windows = map_arrow(near, extend, "h1 long, h2 long, doc_id long, tk long, pos int")
-    first = cut(windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "pos")).alias("first"))
-                .where("n > 1").select("h1", "h2", "first"))
+    windows = map_arrow(near, extend, "h1 long, h2 long, doc_id long, tk long, pos int").withColumn("width", F.lit(run))
+    if long_line is not None:
+        windows = windows.unionByName(_long_lines(known, long_line).withColumn("width", F.lit(1)))
+    first = cut(windows.groupBy("width", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "pos")).alias("first"))
+                .where("n > 1").select("width", "h1", "h2", "first"))
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
-    later = windows.join(first, ["h1", "h2"]).where(~same | (F.col("pos") >= F.col("first.pos") + run))
-    again = cut(later.groupBy(*keys).agg(F.collect_set("pos").alias("at"))).select(
-        F.col("doc_id").alias("r_id"), F.col("tk").alias("r_tk"), "at")
-    joined = rows.join(limited(again, F.size("at"), broadcast_limit),
+    later = windows.join(first, ["width", "h1", "h2"]).where(~same | (F.col("pos") >= F.col("first.pos") + F.col("width")))
+    found = cut(later.groupBy(*keys).agg(F.collect_set(F.when(F.col("width") == run, F.col("pos"))).alias("at"),
+                                         F.collect_set(F.when(F.col("width") != run, F.col("pos"))).alias("lines")))
+    again = found.select(F.col("doc_id").alias("r_id"), F.col("tk").alias("r_tk"), "at", "lines")
+    joined = rows.join(limited(again, F.size("at") + F.size("lines"), broadcast_limit),
                        (F.col("doc_id") == F.col("r_id")) & (F.col("tk") == F.col("r_tk")), "left")
 
     def keep(batches):
         for batch in batches:
             out = []
-            for text, at in zip(batch.column(1), batch.column(2)):
+            for text, at, single in zip(batch.column(1), batch.column(2), batch.column(3)):
                 lines = line_list(text.as_py())
                 n, gone = len(lines), []
+                mask = repeated_above(lines) if long_line is not None else np.zeros(n, dtype=bool)
                 if at.is_valid:
-                    mask = covered(at.values.to_numpy(zero_copy_only=False).astype(np.int64), run, n)
+                    mask |= covered(at.values.to_numpy(zero_copy_only=False).astype(np.int64), run, n)
+                    mask[single.values.to_numpy(zero_copy_only=False).astype(np.int64)] = True
+                if mask.any():
                     gone, lines = spans(mask), list(itertools.compress(lines, (~mask).tolist()))
                 out.append((n, [{"start": a, "length": b} for a, b in gone], b"\n".join(lines).decode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +162,7 @@ def remove_repeated_lines(docs: DataFrame, run: int = 3, gram: int = 2,
                  pa.array([o[1] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
                  pa.array([o[2] for o in out], pa.string())], names=["doc_id", "n_lines", "removed", "kept_text"])
 
-    return map_arrow(joined.select("doc_id", "text", "at"), keep,
+    return map_arrow(joined.select("doc_id", "text", "at", "lines"), keep,
                      "doc_id long, n_lines long, removed array<struct<start:long,length:long>>, kept_text string")
 
 

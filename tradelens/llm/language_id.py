@@ -28,18 +28,22 @@ from pyspark.sql import functions as F
 
 from tradelens.llm.common import cut, map_arrow, small_or_shuffled, text_or_empty
 
-# Letters are the code points of Unicode's category L; Python's \\w also takes numerals such as
-# one half or a circled two, which are left out one by one.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1))
-                    if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-WORD = re.compile(f"[^\\W\\d_{_NUMERALS}]+")
+# Letters are the code points of Unicode's category L. Python's \w also takes numerals such as one
+# half or a circled two; a text that has one is cut at them as well.
+WORD = re.compile(r"[^\W\d_]+")
+NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1))
+                     if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+_AS_SPACES = dict.fromkeys(map(ord, NUMERALS), " ")
 LONGEST = 5  # characters of an n-gram
 UNDETERMINED = "und"
 EVIDENCE_WORDS = 32  # words a score counts at most, so that long texts do not all score 1
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    if not text.isascii() and not NUMERALS.isdisjoint(text):
+        text = text.translate(_AS_SPACES)
+    return WORD.findall(text)
 
 
 @dataclass

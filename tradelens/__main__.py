@@ -22,6 +22,7 @@ from pyspark.sql import SparkSession
 from tradelens.plans.batch import materialise_roles, run_reports
 from tradelens.plans.catalog import REPORTS
 from tradelens.session import SQL_DEFAULTS, shared_folder
+from tradelens.sources.quarantine import read_roles_checked
 from tradelens.sources.roles import SCHEMAS, read_roles
 
 
@@ -30,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--roles", help="directory with one entry per role")
     p.add_argument("--out", help="output directory for the reports")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    p.add_argument("--rejects", help="with csv: put records that do not fit the schemas here and go on without them")
     p.add_argument("--reports", default="", help="comma-separated report names (default: all)")
     p.add_argument("--buckets", type=int, default=0, help="bucket the roles on order_id first")
     p.add_argument("--jobs", type=int, default=1, help="reports submitted concurrently")
@@ -40,6 +42,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not args.roles or not args.out:
         p.error("--roles and --out are required")
+    if args.rejects and args.format != "csv":
+        p.error("--rejects needs --format csv")
     names = [n for n in args.reports.split(",") if n] or list(REPORTS)
     unknown = [n for n in names if n not in REPORTS]
     if unknown:
@@ -49,7 +53,12 @@ def main(argv: list[str] | None = None) -> int:
     for key, value in SQL_DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    roles = read_roles(spark, {r: f"{args.roles.rstrip('/')}/{r}" for r in SCHEMAS}, fmt=args.format)
+    paths = {r: f"{args.roles.rstrip('/')}/{r}" for r in SCHEMAS}
+    if args.rejects:
+        roles, rejects = read_roles_checked(spark, paths)
+        rejects.write.mode("overwrite").partitionBy("role").parquet(args.rejects)
+    else:
+        roles = read_roles(spark, paths, fmt=args.format)
     if args.buckets:
         roles = materialise_roles(spark, roles, args.buckets, shared_folder(spark))
     for name in run_reports(spark, roles, args.out, names, concurrent_jobs=args.jobs):

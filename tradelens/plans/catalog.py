@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradelens.operators import (
     audits,
@@ -27,6 +28,7 @@ from tradelens.operators import (
 )
 from tradelens.session import shared_folder
 from tradelens.sources import files
+from tradelens.sources.quarantine import read_csv_checked
 from tradelens.sources.roles import Roles, bind_test_tables
 from tradelens.sources.stopwords import default_stop_words
 from tradelens.sources.versioned import VersionedTable
@@ -220,7 +222,30 @@ def _stored_clean_up(r: Roles, s: SparkSession) -> DataFrame:
 
 _q("paid_orders_stored")(_stored_clean_up)
 
-# Queries that write while they are built: the file hand-off and the stored clean-up.
-WRITING = {"review_text_csv_hand_off", "review_word_frequency_csv_export", "paid_orders_stored"}
+
+def _quarantined(r: Roles, s: SparkSession) -> DataFrame:
+    """The review text as a CSV hand-off in which every eleventh text length lost its score's
+    digits, its score or got a field too many: what the checked source lets through, by score, and
+    what it rejects, by reason."""
+    folder = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}/damaged"
+    quoted = F.concat(F.lit('"'), F.replace("full_review_text", F.lit('"'), F.lit('""')), F.lit('"'))
+    score = F.coalesce(F.col("review_score").cast("string"), F.lit(""))
+    fault = F.length("full_review_text") % 11
+    line = (F.when(fault == 0, F.concat(F.lit("n/a,"), quoted)).when(fault == 1, quoted)
+            .when(fault == 2, F.concat(score, F.lit(","), quoted, F.lit(",more")))
+            .otherwise(F.concat(score, F.lit(","), quoted)))
+    rev.review_text_by_score(r.reviews).select(line.alias("value")).write.text(folder)
+    checked = read_csv_checked(s, folder, files.REVIEW_TEXT_SCHEMA, header="false")
+    good = checked.good.groupBy("review_score").agg(
+        F.count("*").alias("rows"), F.sum(F.length("full_review_text")).alias("chars"))
+    rejected = checked.rejected.groupBy("reason").agg(F.count("*").alias("rows"))
+    return (good.select(F.lit("good").alias("outcome"), "review_score", "rows", "chars")
+            .unionByName(rejected.select(F.col("reason").alias("outcome"), "rows"), allowMissingColumns=True))
+
+
+_q("review_csv_quarantine")(_quarantined)
+
+# Queries that write while they are built: the file hand-offs and the stored clean-up.
+WRITING = {"review_text_csv_hand_off", "review_word_frequency_csv_export", "paid_orders_stored", "review_csv_quarantine"}
 
 FLAGSHIP = "monthly_orders_revenue_summary"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, mean_of, percent
 from tradelens.operators.common import CANCELED, FULFILLED, category_of, is_fulfilled, items_per
+from tradelens.operators.heavy_hitters import top_k
 
 _SUM_TYPE = "decimal(38,2)"
 
@@ -24,6 +25,16 @@ def most_sold_products(items: DataFrame, products: DataFrame, translation: DataF
     return out if k is None else out.limit(k)
 
 
+def top_products(items: DataFrame, products: DataFrame, translation: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows of R35 for very many products: only products that may be among them are
+    counted one by one. Repeated product rows weigh as in R35's join."""
+    english = F.col("product_category_name_english").alias("category_name")
+    named = (category_of(products, translation).where(F.col("product_id").isNotNull())
+             .groupBy("product_id", english).agg(F.count(F.lit(1)).alias("weight")))
+    return (top_k(items.where(F.col("product_id").isNotNull()), "product_id", k, weights=named)
+            .withColumnRenamed("n", "total_units_sold"))
+
+
 def _single_items(items: DataFrame) -> DataFrame:
     """One aggregate per order finds the single-item orders *and* carries
     their item: in a group of exactly one row, any_value is that row. Items

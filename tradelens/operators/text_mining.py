@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big
 from tradelens.functions.text import is_word, tokens
+from tradelens.operators.heavy_hitters import top_k
 from tradelens.sources.files import write_csv
 
 # ---------------------------------------------------------------------------
@@ -65,6 +66,14 @@ def review_word_frequency_by_score(review_text: DataFrame, stop_words: Iterable[
     return top.orderBy("review_score", F.desc("count"), "word")
 
 
+def frequent_words_by_score(review_text: DataFrame, stop_words: Iterable[str], k: int = TOP_K,
+                            missing_as_nan: bool = True) -> DataFrame:
+    """T07 for vocabularies too large to shuffle: the same rows, unordered. The texts are read three times
+    (``heavy_hitters``), so T06 + T07 stay the better way where the vocabulary is small."""
+    words = review_words(review_text.where(F.col("review_score").isNotNull()), stop_words, missing_as_nan)
+    return top_k(words, "word", k, ["review_score"]).withColumnRenamed("n", "count")
+
+
 # T08 -- rows (review_score, word, count), scores ascending, as CSV part files.
 def export_word_frequency(top_words: DataFrame, path: str) -> None:
     write_csv(top_words.orderBy("review_score", F.desc("count"), "word"), path)

@@ -206,6 +206,10 @@ _q("freight_ratio_levels")(
     lambda r, s: rollups.freight_ratio_levels(r.items, r.paid_orders, r.customers))
 _q("delivery_band_levels")(lambda r, s: rollups.delivery_band_levels(r.paid_orders, r.customers))
 _q("buyers_by_period")(lambda r, s: rollups.buyers_by_period(r.paid_orders, r.customers))
+# --- top-k over very many keys: candidates from frequent-items states, exact counts
+_q("top_products")(lambda r, s: prod.top_products(r.items, r.products, r.translation, 100))
+_q("frequent_words_by_score")(lambda r, s: text_mining.frequent_words_by_score(
+    rev.review_text_by_score(r.reviews), default_stop_words()))
 _q("orders_preview")(lambda r, s: audits.preview(r.orders, "order_id"))
 
 

@@ -1,0 +1,98 @@
+"""A task's part of the items stays the same size however many items there are."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tradelens.operators import audits, common, sales
+
+TYPES = {"order_id": "bigint", "product_id": "bigint", "seller_id": "bigint", "price": "decimal(18,2)"}
+
+
+@pytest.fixture
+def large(spark, monkeypatch):
+    """Shares of 64 KB; every table is taken for large."""
+    monkeypatch.setattr(common, "SHARE_BYTES", 64 << 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def tables(spark, folder, n):
+    """Items with null and repeated keys, orders of which some come twice, reviews that share ids."""
+    key = F.xxhash64("id")
+    order = F.when(F.col("id") % 50 == 0, None).otherwise(F.pmod(key, F.lit(n // 4)))
+    items = spark.range(n).select(order.alias("order_id"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("product_id"),
+                                  F.when(F.col("id") % 41 == 0, None).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n // 20))).alias("seller_id"),
+                                  F.when(F.col("id") % 31 != 0, F.pmod(F.xxhash64("id", F.lit(3)), F.lit(100_000)) / 100).alias("price"))
+    items = items.select(*[F.col(c).cast(t) for c, t in TYPES.items()])
+    orders = spark.range(n // 3).select(F.when(F.col("id") % 99 == 0, 7).otherwise(F.col("id")).alias("order_id"),
+                                        F.when(F.col("id") % 5 == 0, "canceled").otherwise("delivered").alias("order_status"),
+                                        F.timestamp_seconds("id").alias("purchase_time"))
+    reviews = spark.range(n // 6).select(F.when(F.col("id") % 9 != 0, F.col("id") % 500).alias("review_id"), (F.col("id") * 2).alias("order_id"),
+                                         F.when(F.col("id") % 7 != 0, F.col("id") % 5 + 1).alias("review_score"))
+    out = []
+    for name, df in (("items", items), ("orders", orders), ("reviews", reviews)):
+        df.coalesce(2).write.parquet(f"{folder}/{name}")
+        out.append(spark.read.parquet(f"{folder}/{name}"))
+    return out
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_partitions_of_the_joined_items_grow_with_them(large, tmp_path):
+    most = []
+    for n in (40_000, 200_000):
+        items, orders, _ = tables(large, tmp_path / str(n), n)
+        joined = sales.ordered_items(items, orders)
+        most.append(max(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()))
+        assert joined.rdd.getNumPartitions() >= n // 8_000
+    assert most[1] < 2 * most[0]
+
+
+@pytest.mark.parametrize("report", ["seller_revenue_review_summary"])
+def test_reports_over_dealt_items_are_the_same(large, tmp_path, monkeypatch, report):
+    items, orders, reviews = tables(large, tmp_path, 60_000)
+    products = large.range(0, 60_000, 2).select(F.col("id").alias("product_id"), F.concat(F.lit("c"), F.col("id") % 9).alias("product_category_name"))
+    english = large.range(8).select(F.concat(F.lit("c"), F.col("id")).alias("product_category_name"), F.col("id").cast("string").alias("product_category_name_english"))
+    sellers = large.range(4_000).select(F.col("id").alias("seller_id"))
+    given = {"seller_revenue_review_summary": (items, orders, reviews), "seller_total_revenue": (items, orders),
+             "monthly_category_revenue": (items, products, english, orders), "category_sales_summary": (items, products, english, orders),
+             "sellers_with_only_unfulfilled_orders": (sellers, items, orders)}[report]
+    made = getattr(audits if report.startswith("sellers_") else sales, report)
+    dealt = made(*given)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    got = rows_of(dealt)
+    monkeypatch.setattr(common, "SHARE_BYTES", 1 << 40)
+    plain = made(*given)
+    assert "REPARTITION_BY_NUM" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert got and got == rows_of(plain)
+
+
+def test_review_summary_meets_its_sellers_once(large, tmp_path):
+    """One aggregate per seller after the union, not one per branch and one over both."""
+    items, orders, reviews = tables(large, tmp_path, 4_000)
+    plan = sales.seller_revenue_review_summary(items, orders, reviews)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(seller_id#\d+L, \d+\)", plan)) == 1
+
+
+def test_few_unsized_and_stored_rows_are_left_alone(large, tmp_path):
+    items, _, _ = tables(large, tmp_path, 60_000)
+    unsized = large.createDataFrame(large.sparkContext.parallelize([(1, 2)]), "order_id long, n long")
+    assert common.dealt_by(unsized, "order_id") is unsized
+    few = large.range(10).withColumnRenamed("id", "order_id")
+    assert common.dealt_by(few, "order_id") is few
+    items.write.bucketBy(4, "order_id").option("path", str(tmp_path / "stored")).saveAsTable("shares_stored")
+    try:
+        stored = large.table("shares_stored")
+        assert common.dealt_by(stored, "order_id") is stored
+        assert common.dealt_by(stored, "seller_id") is not stored
+    finally:
+        large.sql("DROP TABLE shares_stored")

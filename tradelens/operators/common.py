@@ -65,6 +65,28 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
                  F.count("review_score").alias("scored")))
 
 
+# One task of a join on an order's key holds its rows in several sorts and hash tables at once, some
+# 450 bytes a row in all: with a share of 4 MB of a column store (0.7 million rows) about 300 MB.
+SHARE_BYTES = 4 << 20
+MOST_SHARES = 10_000  # beyond that the session's own, larger count of partitions is the one to raise
+
+
+def dealt_by(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key`` ahead of a join on it, so that a task's part stays the same
+    size however many rows there are: adaptive execution merges partitions up to its advisory
+    size of *compressed* shuffle data, and a fixed partition count grows with the input. The count is Spark's
+    estimate of the rows' size over SHARE_BYTES, at least the session's. Rows are left
+    as they are if they are few, stored by ``key`` (buckets) or of unknown size."""
+    spark, planned = rows.sparkSession, rows._jdf.queryExecution()
+    size = int(str(planned.optimizedPlan().stats().sizeInBytes()))
+    shares = -(-size // SHARE_BYTES)
+    if shares <= spark.sparkContext.defaultParallelism or size >= 1 << 60:
+        return rows
+    if planned.sparkPlan().outputPartitioning().toString().startswith(f"hashpartitioning({key}#"):
+        return rows
+    return rows.repartition(max(min(shares, MOST_SHARES), int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def without_match(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``left`` rows whose ``key`` is not in ``keys``: an anti join of two plain shuffles, which
     adaptive execution splits where one value holds a large part of ``left`` (an aggregate or

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import big, round_half_up, rounded_ratio, year_month
-from tradelens.operators.common import FULFILLED, is_fulfilled, reviews_per_order
+from tradelens.operators.common import FULFILLED, dealt_by, is_fulfilled, reviews_per_order
 
 
 def _month(col: str = "purchase_time"):
@@ -49,7 +49,7 @@ def monthly_orders_revenue_summary(merged: DataFrame) -> DataFrame:
 def ordered_items(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Item rows with their orders' status and purchase time: the one shuffle of the items. A
     batch writes it once for all reports that take it (``sold``)."""
-    return (items.select("order_id", "product_id", "seller_id", "price")
+    return (dealt_by(items.select("order_id", "product_id", "seller_id", "price"), "order_id")
             .join(orders.select("order_id", "order_status", "purchase_time"), "order_id"))
 
 
@@ -145,9 +145,9 @@ def seller_total_revenue_of(sold: DataFrame, statuses=FULFILLED) -> DataFrame:
 # counted once per review row of its order (once if it has none), AVG skips
 # NULL scores and reviews are counted as distinct ids. Reviews are combined per
 # order, so the left join stays at one row per (order, seller); only the
-# distinct review ids need rows of their own, in a second branch that is added to
-# the first by a union (which also matches a NULL seller). The always-true
-# "score IS NOT NULL OR score IS NULL" filter is dropped.
+# distinct review ids need rows of their own, which a union adds ahead of the one
+# aggregate per seller. The always-true "score IS NOT NULL OR score IS NULL"
+# filter is dropped.
 def seller_revenue_review_summary(items: DataFrame, orders: DataFrame, reviews: DataFrame,
                                   statuses=FULFILLED) -> DataFrame:
     return seller_revenue_review_summary_of(ordered_items(items, orders), reviews, statuses)
@@ -157,14 +157,13 @@ def seller_revenue_review_summary_of(sold: DataFrame, reviews: DataFrame, status
     pairs = _seller_orders(sold, statuses)
     rows = pairs.join(reviews_per_order(reviews), "order_id", "left")
     times = F.greatest(F.coalesce("review_rows", F.lit(1)), F.lit(1))
-    money = (rows.groupBy("seller_id")
-             .agg(F.sum(F.col("value") * times).alias("value"), F.count(F.lit(1)).alias("orders"),
-                  F.sum(F.col("n_items") * F.col("score_sum")).alias("scores"),
-                  F.sum(F.col("n_items") * F.col("scored")).alias("scored")))
+    money = rows.select("seller_id", (F.col("value") * times).alias("value"), F.lit(1).alias("orders"),
+                        (F.col("n_items") * F.col("score_sum")).alias("scores"),
+                        (F.col("n_items") * F.col("scored")).alias("scored"))
     ids = (pairs.select("order_id", "seller_id")
            .join(reviews.where(F.col("review_id").isNotNull()).select("order_id", "review_id"), "order_id")
            .select("seller_id", "review_id").distinct()
-           .groupBy("seller_id").agg(F.count(F.lit(1)).alias("reviews")))
+           .select("seller_id", F.lit(1).alias("reviews")))
     both = money.unionByName(ids, allowMissingColumns=True)
     return (both.groupBy("seller_id")
             .agg(round_half_up(F.sum("value"), 2).alias("total_revenue"),

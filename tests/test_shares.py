@@ -57,7 +57,8 @@ def test_partitions_of_the_joined_items_grow_with_them(large, tmp_path):
     assert most[1] < 2 * most[0]
 
 
-@pytest.mark.parametrize("report", ["seller_revenue_review_summary"])
+@pytest.mark.parametrize("report", ["seller_revenue_review_summary", "seller_total_revenue", "monthly_category_revenue",
+                                    "category_sales_summary", "sellers_with_only_unfulfilled_orders"])
 def test_reports_over_dealt_items_are_the_same(large, tmp_path, monkeypatch, report):
     items, orders, reviews = tables(large, tmp_path, 60_000)
     products = large.range(0, 60_000, 2).select(F.col("id").alias("product_id"), F.concat(F.lit("c"), F.col("id") % 9).alias("product_category_name"))

@@ -24,6 +24,7 @@ from tradelens.functions.bands import (
 from tradelens.functions.numeric import big, mean_of, percent, round_half_up, year_month
 from tradelens.operators.common import (
     FULFILLED,
+    dealt_by,
     fulfilled_payments,
     is_fulfilled,
     more_than_one,
@@ -145,7 +146,7 @@ def sellers_with_no_sales(sellers: DataFrame, items: DataFrame) -> DataFrame:
 def sellers_with_only_unfulfilled_orders(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                                          statuses=FULFILLED) -> DataFrame:
     return sellers_with_only_unfulfilled_orders_of(
-        sellers, items.select("order_id", "seller_id").join(orders.select("order_id", "order_status"), "order_id"), statuses)
+        sellers, dealt_by(items.select("order_id", "seller_id"), "order_id").join(orders.select("order_id", "order_status"), "order_id"), statuses)
 
 
 def sellers_with_only_unfulfilled_orders_of(sellers: DataFrame, sold: DataFrame, statuses=FULFILLED) -> DataFrame:
